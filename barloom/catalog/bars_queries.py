@@ -135,9 +135,9 @@ def j14(spark, d):
     return bb.missed_days(daily, daily.where(F.col("count") > 1))
 
 
-@query("w20_retain_last_rows", f"SELECT {BAR} FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM bars) WHERE rn <= 200")
+@query("w20_retain_last_rows", f"SELECT {BAR} FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM daily) WHERE rn <= 200")
 def w20(spark, d):
-    return bb.retain_newest(b.bars(spark, d), 200)
+    return bb.retain_newest(b.daily(spark, d), 200)
 
 
 @query("k01_last_n_bars", f"SELECT {BAR} FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM minutes) WHERE rn <= 50")
@@ -172,10 +172,10 @@ def k09(spark, d):
 
 def _holes(spark, d):
     odd = F.col("volume") % 3 == 0
-    return b.bars(spark, d).select("ticker", "date", F.when(odd, F.col("close")).alias("mark"))
+    return b.daily(spark, d).select("ticker", "date", F.when(odd, F.col("close")).alias("mark"))
 
 
-HOLES = "SELECT ticker, date, CASE WHEN volume % 3 = 0 THEN close END AS mark FROM bars"
+HOLES = "SELECT ticker, date, CASE WHEN volume % 3 = 0 THEN close END AS mark FROM daily"
 
 
 @query("w17_carry_previous_value", f"SELECT ticker, date, coalesce(mark, lag(mark) OVER (PARTITION BY ticker ORDER BY date)) AS mark FROM ({HOLES})")

@@ -7,11 +7,13 @@ group is gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom import constants as c
-from barloom.operators.series import spread_join
+from barloom.operators.series import day_of, spread_join
 
 GROUP = ["ticker", "action", "strategy", "session_period"]
 ROW = ["ticker", "action", "date"]
@@ -184,3 +186,36 @@ def update_labels(stored: DataFrame, new: DataFrame) -> DataFrame:
     fresh = new.select(*ROW, *[F.col(name).alias(f"_{name}") for name in c.LABELS])
     merged = stored.join(fresh, ROW, "left")
     return merged.withColumns({name: F.coalesce(f"_{name}", name) for name in c.LABELS}).select(*stored.columns)
+
+
+def first_bar_false(rows: DataFrame, columns: Sequence[str], key: Sequence[str] = ("ticker", "action")) -> DataFrame:
+    """Predictions at the first bar of a day are false."""
+    day = Window.partitionBy(*key, "_day").orderBy("date")
+    first = F.row_number().over(day) == 1
+    tagged = rows.withColumn("_day", day_of()).withColumn("_first", first)
+    return tagged.withColumns({name: ~F.col("_first") & F.col(name) for name in columns}).select(*rows.columns)
+
+
+def fill_predictions(rows: DataFrame, columns: Sequence[str], key: Sequence[str] = ("ticker", "action")) -> DataFrame:
+    """First bar of a day false, then nulls take the last earlier prediction.
+
+    The first bar always has a value, so no fill crosses a day and each (key, day) group
+    is bounded by the bars of a day.
+    """
+    so_far = Window.partitionBy(*key, "_day").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    started = first_bar_false(rows, columns, key).withColumn("_day", day_of())
+    return started.withColumns({name: F.last(name, ignorenulls=True).over(so_far) for name in columns}).drop("_day")
+
+
+def merge_predictions(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two label predictions of the same rows side by side."""
+    return first.join(second, ROW)
+
+
+def union_predictions(long_rows: DataFrame) -> DataFrame:
+    """Long predictions of all periods and strategies to one row per bar, absent labels null."""
+
+    def of(label: str) -> Column:
+        return F.max(F.when(F.col("label") == label, F.col("value"))).alias(label)
+
+    return long_rows.groupBy(*ROW).agg(*[of(label) for label in c.LABELS])
