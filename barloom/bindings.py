@@ -17,6 +17,7 @@ from barloom.operators import orders as oo
 from barloom.operators import params as pp
 from barloom.operators import signals as ss
 from barloom.schemas import SessionSpec
+from barloom.sources.stage import stage
 
 SPEC = SessionSpec(bar="2 hours", bars_per_day=12, bars_per_period=2)
 HALF_HOURS = SessionSpec(bar="30 minutes", bars_per_day=48, bars_per_period=8)
@@ -149,6 +150,14 @@ def labelled(spark, sf_dir) -> DataFrame:
     return ll.with_benchmark_delta(ll.with_difference(ll.label_data(keyed)))
 
 
+def coarse(spark, sf_dir) -> DataFrame:
+    """Stored labelled rows with deltas in halves: two-hour bars move far more than
+    five-minute bars, and values must repeat."""
+    rows = labelled(spark, sf_dir)
+    half = {name: F.floor(F.col(name) * 2) / 2 for name in ("open_delta", "benchmark_delta")}
+    return stage(rows.withColumns(half), "labelled")
+
+
 # --- signals and orders from ticks --------------------------------------------------
 
 

@@ -93,7 +93,8 @@ CTES = {
         CASE WHEN tp.spy THEN spy_difference ELSE benchmark_difference END AS difference,
         CASE WHEN tp.spy THEN spy_open_delta ELSE benchmark_open_delta END AS benchmark_delta
       FROM feats f JOIN tp ON tp.ticker = f.ticker AND tp.action = f.action AND tp.strategy = f.strategy""",
-    "banded": """SELECT * FROM labelled WHERE benchmark_negative IS NULL OR benchmark_positive IS NULL OR
+    "coarse": "SELECT * REPLACE (floor(open_delta * 2) / 2 AS open_delta, floor(benchmark_delta * 2) / 2 AS benchmark_delta) FROM labelled",
+    "banded": """SELECT * FROM coarse WHERE benchmark_negative IS NULL OR benchmark_positive IS NULL OR
       CASE WHEN strategy = 'trend' THEN
         difference BETWEEN least(benchmark_negative, benchmark_positive) AND greatest(benchmark_negative, benchmark_positive)
       ELSE NOT (difference BETWEEN least(benchmark_negative, benchmark_positive) AND greatest(benchmark_negative, benchmark_positive)) END""",
@@ -105,9 +106,8 @@ CTES = {
       ('correction', 'sell', 'low_delta'), ('correction', 'sell', 'high_stop')) m(strategy, action, label)""",
     "longrows": """SELECT l.ticker, l.action, l.strategy, session_period, date, volume_delta, open_delta, benchmark_delta, m.label,
         CASE m.label WHEN 'high_delta' THEN high_delta WHEN 'low_delta' THEN low_delta WHEN 'high_stop' THEN high_stop ELSE low_stop END AS value
-      FROM labelled l JOIN matrix m ON m.strategy = l.strategy AND m.action = l.action""",
-    "longcoarse": """SELECT * REPLACE (floor(open_delta * 2) / 2 AS open_delta, floor(benchmark_delta * 2) / 2 AS benchmark_delta) FROM longrows""",
-    "conflicts": """SELECT ticker, action, strategy, session_period, label, open_delta, benchmark_delta, CAST(count(*) AS BIGINT) AS n FROM longcoarse
+      FROM coarse l JOIN matrix m ON m.strategy = l.strategy AND m.action = l.action""",
+    "conflicts": """SELECT ticker, action, strategy, session_period, label, open_delta, benchmark_delta, CAST(count(*) AS BIGINT) AS n FROM longrows
       GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT value) > 1""",
     "signals": """SELECT ts AS date, ticker, CASE WHEN k % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
       CASE WHEN price > 40 THEN 'trend' ELSE 'correction' END AS strategy, price AS last_close, event_id AS signal_no, user_id AS conid, k FROM ticks""",

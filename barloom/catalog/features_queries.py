@@ -145,7 +145,8 @@ def j02(spark, d):
     return ff.benchmark_of(b.trade_params(spark, d).select("ticker", "industry"), b.benchmark_utils(spark, d))
 
 
-@query("p01_strategy_tag", "SELECT ticker, date, action, strategy, close, prev_day_close FROM feats")
+@query("p01_strategy_tag", """SELECT ticker, date, action, CASE WHEN (action = 'buy' AND close > prev_day_close) OR (action = 'sell' AND close < prev_day_close)
+    THEN 'trend' ELSE 'correction' END AS strategy, close, prev_day_close FROM prepared, (VALUES ('buy'), ('sell')) a(action)""")
 def p01(spark, d):
     actions = b.technical_params(spark, d).select(F.col("symbol").alias("ticker"), "action")
     return ff.with_actions(b.prepared(spark, d), actions).select("ticker", "date", "action", "strategy", "close", "prev_day_close")

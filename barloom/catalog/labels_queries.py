@@ -13,14 +13,11 @@ GROUP = "ticker, action, strategy, session_period"
 
 
 def _banded(spark, d):
-    return ll.benchmark_band_filter(b.labelled(spark, d))
+    return ll.benchmark_band_filter(b.coarse(spark, d))
 
 
-def _coarse(spark, d):
-    """Pairs rounded down to halves, so that equal inputs meet often."""
-    rows = ll.long_labels(b.labelled(spark, d))
-    half = lambda name: F.floor(F.col(name) * 2) / 2
-    return rows.withColumns({"open_delta": half("open_delta"), "benchmark_delta": half("benchmark_delta")})
+def _long_rows(spark, d):
+    return ll.long_labels(b.coarse(spark, d))
 
 
 @query("x02_label_data_buy", "SELECT ticker, date, strategy, high_delta, high_stop, low_delta, low_stop FROM labelled WHERE action = 'buy'")
@@ -73,42 +70,42 @@ def a07_dates(spark, d):
 
 @query(
     "a08_cube_pair_count",
-    f"""SELECT * FROM (SELECT {GROUP}, open_delta, benchmark_delta, CAST(count(*) AS BIGINT) AS n FROM labelled
+    f"""SELECT * FROM (SELECT {GROUP}, open_delta, benchmark_delta, CAST(count(*) AS BIGINT) AS n FROM coarse
     GROUP BY {GROUP}, CUBE (open_delta, benchmark_delta)) WHERE open_delta IS NOT NULL AND benchmark_delta IS NOT NULL""",
 )
 def a08(spark, d):
-    return ll.pair_counts(b.labelled(spark, d))
+    return ll.pair_counts(b.coarse(spark, d))
 
 
 @query("a09_label_conflicts", f"SELECT {GROUP}, label, open_delta, benchmark_delta, n FROM conflicts")
 def a09(spark, d):
-    return ll.label_conflicts(_coarse(spark, d))
+    return ll.label_conflicts(_long_rows(spark, d))
 
 
-CONFLICT_DATES = """SELECT r.ticker, r.action, r.strategy, r.session_period, r.label, r.date FROM longcoarse r JOIN conflicts x ON x.ticker = r.ticker AND x.action = r.action
+CONFLICT_DATES = """SELECT r.ticker, r.action, r.strategy, r.session_period, r.label, r.date FROM longrows r JOIN conflicts x ON x.ticker = r.ticker AND x.action = r.action
   AND x.strategy = r.strategy AND x.session_period = r.session_period AND x.label = r.label AND x.open_delta = r.open_delta AND x.benchmark_delta = r.benchmark_delta"""
 
 
 @query("a10_conflict_dates", CONFLICT_DATES)
 def a10(spark, d):
-    return ll.conflict_dates(_coarse(spark, d))
+    return ll.conflict_dates(_long_rows(spark, d))
 
 
 @query("a10_conflict_pairs", f"SELECT {GROUP}, label, '[' || open_delta || ',' || benchmark_delta || ']' AS pair FROM conflicts")
 def a10_pairs(spark, d):
-    return ll.conflict_pairs(_coarse(spark, d))
+    return ll.conflict_pairs(_long_rows(spark, d))
 
 
-@query("j07_exceptions_left_join", f"SELECT r.ticker, r.action, r.strategy, r.session_period, r.label, r.date, r.value FROM longcoarse r WHERE (r.ticker, r.action, r.strategy, r.session_period, r.label, r.date) NOT IN (SELECT (ticker, action, strategy, session_period, label, date) FROM ({CONFLICT_DATES}))")
+@query("j07_exceptions_left_join", f"SELECT r.ticker, r.action, r.strategy, r.session_period, r.label, r.date, r.value FROM longrows r WHERE (r.ticker, r.action, r.strategy, r.session_period, r.label, r.date) NOT IN (SELECT (ticker, action, strategy, session_period, label, date) FROM ({CONFLICT_DATES}))")
 def j07(spark, d):
-    rows = _coarse(spark, d)
-    return ll.drop_conflicts(rows, ll.conflict_dates(rows)).select(*ll.GROUP, "label", "date", "value")
+    rows = _long_rows(spark, d)
+    return ll.drop_conflicts(rows).select(*ll.GROUP, "label", "date", "value")
 
 
-@query("j06_keep_possibles", f"SELECT {GROUP}, date, close FROM labelled WHERE ({GROUP}, date) IN (SELECT ({GROUP}, date) FROM rep3)")
+@query("j06_keep_possibles", f"SELECT {GROUP}, date, close FROM coarse WHERE ({GROUP}, date) IN (SELECT ({GROUP}, date) FROM rep3)")
 def j06(spark, d):
-    rows = b.labelled(spark, d)
-    return ll.keep_possibles(rows, ll.possible_dates(_banded(spark, d))).select(*ll.GROUP, "date", "close")
+    rows = b.coarse(spark, d)
+    return ll.keep_possibles(rows, ll.possible_dates(ll.benchmark_band_filter(rows))).select(*ll.GROUP, "date", "close")
 
 
 @query(
@@ -128,13 +125,13 @@ A25 = f"""WITH prunedlong AS (SELECT r.ticker, r.action, r.strategy, r.session_p
 
 @query("a25_prune_training_rows", A25)
 def a25(spark, d):
-    rows = prune.prune_training_rows(b.features(spark, d), b.params(spark, d)).training
+    rows = prune.prune_labelled(b.coarse(spark, d)).training
     return rows.select(*ll.GROUP, "date", "label", "volume_delta", "open_delta", "benchmark_delta", "value")
 
 
 @query("m03_label_matrix", "SELECT strategy, action, label, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE value) AS BIGINT) AS positive FROM longrows GROUP BY 1, 2, 3")
 def m03(spark, d):
-    rows = ll.long_labels(b.labelled(spark, d))
+    rows = _long_rows(spark, d)
     return rows.groupBy("strategy", "action", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if("value").alias("positive"))
 
 
@@ -157,7 +154,7 @@ def s09(spark, d):
     return ll.update_labels(rows, flipped).drop("session_period")
 
 
-CHAIN = """WITH thin AS (SELECT ticker, action, date, rk, CASE WHEN volume % 3 <> 0 THEN high_stop END AS guess FROM labelled),
+CHAIN = """WITH thin AS (SELECT ticker, action, date, row_number() OVER (PARTITION BY ticker, action, day ORDER BY date) AS rk, CASE WHEN volume % 3 <> 0 THEN high_stop END AS guess FROM labelled),
   firsts AS (SELECT *, CASE WHEN rk = 1 THEN false ELSE guess END AS started FROM thin)"""
 
 

@@ -87,34 +87,45 @@ def period_strategy_grid(tickers: DataFrame, periods: int = c.SESSION_PERIODS) -
 # --- outliers: values seen only once ------------------------------------------------
 
 
-def _repeated(rows: DataFrame, value: str) -> DataFrame:
-    counts = rows.groupBy(*GROUP, value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.where((F.col("n") >= 2) & F.col(value).isNotNull())
+VALUES = ["volume_delta", "open_delta", "benchmark_delta"]
 
 
-def _keep_repeated(rows: DataFrame, value: str) -> DataFrame:
-    seen = _repeated(rows, value).drop("n")
-    return spread_join(rows, seen, [*GROUP, value], ["date"], "left_semi")
+def _repeated(counts: DataFrame, value: str) -> DataFrame:
+    seen = counts.groupBy(*GROUP, value).agg(F.sum("n").alias("n"))
+    return seen.where((F.col("n") >= 2) & F.col(value).isNotNull())
+
+
+def _cascade(rows: DataFrame) -> list[DataFrame]:
+    """Value combinations with counts: all, then after each of the three steps.
+
+    The steps depend on the values alone, so they run on the counted combinations and
+    the rows are read only to count and to filter.
+    """
+    steps = [rows.groupBy(*GROUP, *VALUES).agg(F.count(F.lit(1)).alias("n"))]
+    for value in VALUES:
+        others = [name for name in VALUES if name != value]
+        seen = _repeated(steps[-1], value).drop("n")
+        steps.append(spread_join(steps[-1], seen, [*GROUP, value], others, "left_semi"))
+    return steps
 
 
 def value_frequency_prune(rows: DataFrame) -> DataFrame:
     """Keep rows whose volume delta repeats, of those whose open delta repeats, then the
     benchmark delta."""
-    kept = rows
-    for value in ("volume_delta", "open_delta", "benchmark_delta"):
-        kept = _keep_repeated(kept, value)
-    return kept
+    kept = _cascade(rows)[-1].select(*GROUP, *VALUES)
+    return spread_join(rows, kept, [*GROUP, *VALUES], ["date"], "left_semi")
 
 
 def possible_values(rows: DataFrame) -> DataFrame:
     """The values that pass each step, one row per value."""
-    by_volume = _keep_repeated(rows, "volume_delta")
-    by_open = _keep_repeated(by_volume, "open_delta")
-    parts = [
-        _repeated(source, value).select(*GROUP, F.lit(value).alias("kind"), F.col(value).alias("value"), "n")
-        for source, value in ((rows, "volume_delta"), (by_volume, "open_delta"), (by_open, "benchmark_delta"))
+    steps = _cascade(rows)
+    first, *rest = [
+        _repeated(counts, value).select(*GROUP, F.lit(value).alias("kind"), F.col(value).alias("value"), "n")
+        for counts, value in zip(steps, VALUES)
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    for part in rest:
+        first = first.unionByName(part)
+    return first
 
 
 def possible_dates(rows: DataFrame) -> DataFrame:
@@ -174,8 +185,10 @@ def conflict_pairs(long_rows: DataFrame) -> DataFrame:
     return label_conflicts(long_rows).select(*GROUP, "label", F.to_json(F.array(*PAIR)).alias("pair"))
 
 
-def drop_conflicts(long_rows: DataFrame, dates: DataFrame) -> DataFrame:
-    return long_rows.join(dates, [*GROUP, "label", "date"], "left_anti")
+def drop_conflicts(long_rows: DataFrame) -> DataFrame:
+    """Rows that are in no conflicting pair of their label."""
+    pairs = label_conflicts(long_rows).drop("n")
+    return spread_join(long_rows, pairs, [*GROUP, "label", *PAIR], ["date"], "left_anti")
 
 
 # --- predictions --------------------------------------------------------------------

@@ -30,16 +30,16 @@ def prune_training_rows(features: DataFrame, params: DataFrame) -> Pruned:
 
 
 def prune_labelled(labelled: DataFrame) -> Pruned:
+    """Pruning of labelled rows, best a stored table: it is read more than once."""
     banded = ll.benchmark_band_filter(labelled)
     possible = ll.value_frequency_prune(banded)
     long_rows = ll.long_labels(possible)
-    dates = ll.conflict_dates(long_rows)
     return Pruned(
         labelled=labelled,
         keep_dates=banded.select(*ll.GROUP, "date"),
         values=ll.possible_values(banded),
         possible_dates=possible.select(*ll.GROUP, "date"),
         conflict_pairs=ll.conflict_pairs(long_rows),
-        conflict_dates=dates,
-        training=ll.drop_conflicts(long_rows, dates),
+        conflict_dates=ll.conflict_dates(long_rows),
+        training=ll.drop_conflicts(long_rows),
     )
