@@ -59,7 +59,7 @@ def w19(spark, d):
 
 @query("o02_position_gate", "SELECT ticker, day, action, strategy, positions, blocked FROM gate")
 def o02(spark, d):
-    return ss.position_gate(b.day_orders(spark, d), b.params(spark, d))
+    return ss.position_gate(b.rare_orders(spark, d), b.params(spark, d))
 
 
 @query(
@@ -70,8 +70,7 @@ def o02(spark, d):
         OR CASE WHEN c.strategy = 'trend' THEN trend_ml ELSE correction_ml END)""",
 )
 def p17(spark, d):
-    """Orders of the day before decide: the gate runs on every third bracket."""
-    gate = ss.position_gate(b.day_orders(spark, d), b.params(spark, d))
+    gate = ss.position_gate(b.rare_orders(spark, d), b.params(spark, d))
     return ss.entry_signals(b.live_bars(spark, d), b.params(spark, d), gate)
 
 
