@@ -91,7 +91,7 @@ def technical_params(spark, sf_dir) -> DataFrame:
     fields = {
         "benchmark_negative": F.when(buy, -band).otherwise(band),
         "benchmark_positive": F.when(buy, band).otherwise(-band),
-        "limit_price": pick(2.0, 0.5, 1.5, 0.7),
+        "limit_price": pick(6.0, 0.5, 8.0, 0.7),
         "limit_time": F.lit(60),
         "limit_trades": F.when(size != 4, F.lit(1)),
         "min_trail_percent": pick(0.6, 1.6, 0.7, 1.4),

@@ -67,7 +67,7 @@ CTES = {
     "tp": """SELECT ticker, strategy, action, length(ticker) AS size,
         CASE WHEN length(ticker) <> 6 THEN CAST(length(ticker) AS DOUBLE) * (CASE WHEN action = 'buy' THEN -1 ELSE 1 END) END AS benchmark_negative,
         CASE WHEN length(ticker) <> 6 THEN CAST(length(ticker) AS DOUBLE) * (CASE WHEN action = 'buy' THEN 1 ELSE -1 END) END AS benchmark_positive,
-        CAST(CASE strategy || action WHEN 'trendbuy' THEN 2.0 WHEN 'trendsell' THEN 0.5 WHEN 'correctionbuy' THEN 1.5 ELSE 0.7 END AS DOUBLE) AS limit_price,
+        CAST(CASE strategy || action WHEN 'trendbuy' THEN 6.0 WHEN 'trendsell' THEN 0.5 WHEN 'correctionbuy' THEN 8.0 ELSE 0.7 END AS DOUBLE) AS limit_price,
         60 AS limit_time, CASE WHEN length(ticker) <> 4 THEN 1 END AS limit_trades,
         CAST(CASE strategy || action WHEN 'trendbuy' THEN 0.6 WHEN 'trendsell' THEN 1.6 WHEN 'correctionbuy' THEN 0.7 ELSE 1.4 END AS DOUBLE) AS min_trail_percent,
         CASE WHEN length(ticker) <> 5 THEN 2 END AS stop_trades,

@@ -11,17 +11,17 @@ BID, ASK = 1, 2
 def standing_quotes(quotes: DataFrame) -> DataFrame:
     """Last bid and ask at every quote, once both are known.
 
-    A contract may hold any share of the quotes, so it is cut by hour: inside an hour a
-    window carries the last values, and the last values of earlier hours come from one
-    summary row per hour.
+    A contract may hold any share of the quotes, so it is cut by minute: inside one a
+    window carries the last values, and those of earlier minutes come from one summary
+    row per minute.
     """
-    keys = ["contract", "_hour"]
+    keys = ["contract", "_minute"]
     sides = {"bid": F.when(F.col("field") == BID, F.col("price")), "ask": F.when(F.col("field") == ASK, F.col("price"))}
-    tagged = quotes.withColumn("_hour", F.date_trunc("hour", "ts")).withColumns(sides)
+    tagged = quotes.withColumn("_minute", F.date_trunc("minute", "ts")).withColumns(sides)
     ends = tagged.groupBy(*keys).agg(
         *[F.max_by(name, F.when(F.col(name).isNotNull(), F.col("ts"))).alias(f"_{name}") for name in sides]
     )
-    before = Window.partitionBy("contract").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("contract").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
     earlier = ends.select(*keys, *[F.last(f"_{name}", ignorenulls=True).over(before).alias(f"_{name}") for name in sides])
     inside = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     carried = tagged.withColumns({name: F.last(name, ignorenulls=True).over(inside) for name in sides})
