@@ -42,8 +42,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ticks(spark, sf_dir) -> DataFrame:
+    return ticks_of(table(spark, sf_dir, "events"))
+
+
+def ticks_of(events: DataFrame) -> DataFrame:
     price = F.col("value")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_type").alias("ticker"),
         "ts",
         price.alias("open"),
@@ -413,9 +417,13 @@ def executions(spark, sf_dir) -> DataFrame:
 
 
 def commission_reports(spark, sf_dir) -> DataFrame:
+    return commission_reports_of(table(spark, sf_dir, "lineitem"))
+
+
+def commission_reports_of(lines: DataFrame) -> DataFrame:
     missing = F.lit(1.7976931348623157e308)
     gain = F.col("l_extendedprice") * F.col("l_tax")
-    return table(spark, sf_dir, "lineitem").select(
+    return lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("exec_id"),
         (F.col("l_extendedprice") * F.col("l_discount")).alias("commission"),
         F.when(F.col("l_tax") == 0, missing).otherwise(gain).alias("realized_pnl"),
@@ -436,9 +444,13 @@ def quotes(spark, sf_dir) -> DataFrame:
 
 def status_reports(spark, sf_dir) -> DataFrame:
     """Broker status text per order, from ticks."""
+    return status_reports_of(ticks(spark, sf_dir))
+
+
+def status_reports_of(source: DataFrame) -> DataFrame:
     k = F.col("k")
     text = F.element_at(F.array(*[F.lit(name) for name in c.BROKER_STATUS]), (k % 8 + 1).cast("int"))
-    return ticks(spark, sf_dir).select(
+    return source.select(
         F.col("user_id").alias("order_id"),
         F.col("ts").alias("event_time"),
         F.when(k % 11 == 0, F.lit("Unknown")).otherwise(text).alias("text"),

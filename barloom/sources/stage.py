@@ -14,7 +14,11 @@ def stage(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
 
     Later plans start from the files, so a lost executor costs only its own tasks.
     """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stage_path(df, name, by))
+
+
+def stage_path(df: DataFrame, name: str, by: Sequence[str] = ()) -> str:
+    path = fresh_path(df.sparkSession, name)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    return path
