@@ -97,10 +97,7 @@ def w02(spark, d):
 @query("w03_sma", f"""SELECT ticker, date, {r6('avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 17 PRECEDING AND CURRENT ROW)')} AS fast_sma,
     {r6('avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 203 PRECEDING AND CURRENT ROW)')} AS slow_sma FROM daily""")
 def w03(spark, d):
-    def add(rows, last):
-        return rows.withColumns({"fast_sma": F.avg("close").over(last(c.FAST_SMA)), "slow_sma": F.avg("close").over(last(c.SLOW_SMA))})
-
-    averaged = series.trailing(b.daily(spark, d), c.SLOW_SMA - 1, add)
+    averaged = ff.moving_averages(b.daily(spark, d), "close", {"fast_sma": c.FAST_SMA, "slow_sma": c.SLOW_SMA})
     return sixes(averaged.select("ticker", "date", "fast_sma", "slow_sma"), "fast_sma", "slow_sma")
 
 

@@ -257,25 +257,24 @@ def _screens(spark, d):
 
 @query("p23_screen", "SELECT ticker, date, screen FROM screens WHERE screen <> 'market_change'")
 def p23(spark, d):
-    found = _screens(spark, d)
-    return uu.screen_union([found["main"], found["new_high"], found["new_low"]])
+    return _screens(spark, d).where("screen <> 'market_change'")
 
 
 @query("u02_screen_union", "SELECT ticker, date, screen FROM screens")
 def u02(spark, d):
-    return uu.screen_union(list(_screens(spark, d).values()))
+    return _screens(spark, d)
 
 
 @query("u03_new_tickers", "SELECT DISTINCT ticker FROM screens WHERE screen = 'new_high' AND ticker NOT IN (SELECT ticker FROM illiquid)")
 def u03(spark, d):
-    return uu.new_tickers(_screens(spark, d)["new_high"], b.illiquid_list(spark, d))
+    return uu.new_tickers(_screens(spark, d).where("screen = 'new_high'"), b.illiquid_list(spark, d))
 
 
 @query("u03_flag_screened", """SELECT coalesce(k.ticker, s.ticker) AS ticker, k.date, CASE WHEN s.ticker IS NOT NULL THEN true ELSE k.day_trade END AS day_trade
     FROM (SELECT ticker, date, NULL::BOOLEAN AS day_trade FROM illiquid) k FULL JOIN (SELECT DISTINCT ticker FROM screens WHERE screen = 'new_high') s ON s.ticker = k.ticker""")
 def u03_flag(spark, d):
     known = b.illiquid_list(spark, d).withColumn("day_trade", F.lit(None).cast("boolean"))
-    return uu.flag_screened(known, _screens(spark, d)["new_high"], "day_trade")
+    return uu.flag_screened(known, _screens(spark, d).where("screen = 'new_high'"), "day_trade")
 
 
 @query("u04_all_tickers", "SELECT ticker FROM trade_params WHERE day_trade_buy UNION SELECT ticker FROM trade_params WHERE day_trade_sell UNION SELECT ticker FROM daily")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom import constants as c
 from barloom.functions import scalars as sf
 from barloom.operators.bars import BY_DAY, with_day
-from barloom.operators.series import CHUNK_ROWS, exponential_averages, spread_join, trailing
+from barloom.operators.series import CHUNK_ROWS, Trailing, exponential_averages, spread_join, trailing
 from barloom.schemas import SessionSpec
 
 
@@ -93,28 +93,27 @@ def range_average(frame) -> Column:
 
 
 def high_low_average(bars: DataFrame, n: int = c.RANGE_AVERAGE_BARS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    add = lambda rows, last: rows.withColumn("high_low_average", range_average(last(n)))
+    def add(rows: DataFrame, frames: Trailing) -> DataFrame:
+        return rows.withColumn("high_low_average", range_average(frames.last(n)))
+
     return trailing(bars, n - 1, add, chunk_rows=chunk_rows)
 
 
-def moving_average(
-    bars: DataFrame, n: int, source: str, target: str, chunk_rows: int = CHUNK_ROWS
-) -> DataFrame:
-    add = lambda rows, last: rows.withColumn(target, F.avg(source).over(last(n)))
-    return trailing(bars, n - 1, add, chunk_rows=chunk_rows)
+def moving_averages(bars: DataFrame, source: str, targets: dict[str, int], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Means of the last n rows, one column per target."""
+
+    def add(rows: DataFrame, frames: Trailing) -> DataFrame:
+        return frames.with_means(rows, source, targets)
+
+    return trailing(bars, max(targets.values()) - 1, add, chunk_rows=chunk_rows)
 
 
 def benchmark_averages(bars: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Range average, both simple and both exponential averages, and their difference."""
 
-    def add(rows, last):
-        ranged = rows.withColumn("high_low_average", range_average(last(c.RANGE_AVERAGE_BARS)))
-        return ranged.withColumns(
-            {
-                "fast_sma": F.avg("high_low_average").over(last(c.FAST_SMA)),
-                "slow_sma": F.avg("high_low_average").over(last(c.SLOW_SMA)),
-            }
-        )
+    def add(rows: DataFrame, frames: Trailing) -> DataFrame:
+        ranged = rows.withColumn("high_low_average", range_average(frames.last(c.RANGE_AVERAGE_BARS)))
+        return frames.with_means(ranged, "high_low_average", {"fast_sma": c.FAST_SMA, "slow_sma": c.SLOW_SMA})
 
     reach = c.RANGE_AVERAGE_BARS + c.SLOW_SMA - 2
     simple = trailing(bars, reach, add, chunk_rows=chunk_rows)
@@ -179,31 +178,27 @@ def screen_columns(
 ) -> DataFrame:
     """Average and relative volume, average true range, change and 52-week extremes."""
 
-    def add(rows, last):
-        previous = F.lag("close").over(_ordered(rows))
-        ranged = rows.withColumns({"_previous": previous}).withColumns(
-            {
-                "avg_volume": F.avg("volume").over(last(volume_bars)),
-                "_range": F.greatest(
-                    F.col("high") - F.col("low"),
-                    F.abs(F.col("high") - F.col("_previous")),
-                    F.abs(F.col("low") - F.col("_previous")),
-                ),
-                "new_high": F.col("high") == F.max("high").over(last(year_bars)),
-                "new_low": F.col("low") == F.min("low").over(last(year_bars)),
-            }
+    def add(rows: DataFrame, frames: Trailing) -> DataFrame:
+        ranged = rows.withColumn("_previous", F.lag("close").over(frames.ordered)).withColumn(
+            "_range",
+            F.greatest(
+                F.col("high") - F.col("low"),
+                F.abs(F.col("high") - F.col("_previous")),
+                F.abs(F.col("low") - F.col("_previous")),
+            ),
         )
-        return ranged.withColumns(
+        means = frames.with_means(ranged, "volume", {"avg_volume": volume_bars})
+        means = frames.with_means(means, "_range", {"average_true_range": range_bars})
+        extremes = frames.with_extremes(means, year_bars, {"_top": "high"}, {"_bottom": "low"})
+        return extremes.withColumns(
             {
-                "average_true_range": F.avg("_range").over(last(range_bars)),
                 "relative_volume": F.try_divide(F.col("volume").cast("double"), F.col("avg_volume")),
                 "change": F.col("close") - F.col("_previous"),
+                "new_high": F.col("high") == F.col("_top"),
+                "new_low": F.col("low") == F.col("_bottom"),
             }
-        ).drop("_previous", "_range")
+        ).drop("_previous", "_range", "_top", "_bottom")
 
     reach = max(volume_bars, year_bars, range_bars + 1) - 1
     return trailing(daily, reach, add, chunk_rows=chunk_rows).drop("_chunk")
 
-
-def _ordered(rows: DataFrame):
-    return Window.partitionBy("ticker", "_chunk").orderBy("seq")

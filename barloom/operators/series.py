@@ -135,18 +135,67 @@ def previous_values(
     )
 
 
+class Trailing:
+    """Trailing frames inside the chunks of :func:`trailing`.
+
+    Means come from running sums and long extremes from block extremes, so the work per
+    row does not grow with the frame.
+    """
+
+    def __init__(self, key: Sequence[str]) -> None:
+        self.keys = [*key, "_chunk"]
+
+    @property
+    def ordered(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy("seq")
+
+    def last(self, n: int) -> WindowSpec:
+        return self.ordered.rowsBetween(1 - n, 0)
+
+    def with_means(self, rows: DataFrame, source: str, targets: dict[str, int]) -> DataFrame:
+        """Mean of the last n values, of all so far where there are fewer."""
+        running = F.sum(source).over(self.ordered.rowsBetween(Window.unboundedPreceding, 0))
+
+        def mean(n: int) -> Column:
+            before = F.coalesce(F.lag("_sum", n).over(self.ordered), F.lit(0))
+            return (F.col("_sum") - before) / F.least(F.col("seq") + 1, F.lit(n))
+
+        summed = rows.withColumn("_sum", running)
+        return summed.withColumns({name: mean(n) for name, n in targets.items()}).drop("_sum")
+
+    def with_extremes(self, rows: DataFrame, n: int, highest: dict[str, str], lowest: dict[str, str]) -> DataFrame:
+        """Maximum (``target: source``) and minimum of the last n values.
+
+        With the series cut into blocks of n rows, a frame is the end of one block and the
+        start of the next: a running extreme forward and one backward answer every frame.
+        """
+        block = Window.partitionBy(*self.keys, "_block")
+        forward = block.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+        backward = block.orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
+        parts = [(F.max, F.greatest, highest), (F.min, F.least, lowest)]
+        heads = {f"_head_{t}": pick(src).over(forward) for pick, _, names in parts for t, src in names.items()}
+        tails = {f"_tail_{t}": pick(src).over(backward) for pick, _, names in parts for t, src in names.items()}
+        found = {
+            t: join(F.col(f"_head_{t}"), F.lag(f"_tail_{t}", n - 1).over(self.ordered))
+            for _, join, names in parts
+            for t in names
+        }
+        blocks = rows.withColumn("_block", F.floor(F.col("seq") / n))
+        return blocks.withColumns({**heads, **tails}).withColumns(found).drop("_block", *heads, *tails)
+
+
 def trailing(
     rows: DataFrame,
     reach: int,
-    add: Callable[[DataFrame, Callable[[int], WindowSpec]], DataFrame],
+    add: Callable[[DataFrame, Trailing], DataFrame],
     key: Sequence[str] = ("ticker",),
     order: str = "date",
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Evaluate frames of the last n rows, n - 1 summing up to at most ``reach``.
+    """Add columns over the last n rows, n - 1 summing up to at most ``reach``.
 
-    ``add(rows, last)`` adds the columns; ``last(n)`` is the frame of the last n rows.
-    The result keeps ``seq`` and ``_chunk``.
+    Every chunk gets copies of the ``reach`` rows before it. The result keeps ``seq`` and
+    ``_chunk``.
     """
     chunk_rows = max(chunk_rows, reach + 1)
     numbered = rows if "seq" in rows.columns else number_rows(rows, key, order)
@@ -160,8 +209,7 @@ def trailing(
         .withColumns({"_chunk": F.col("_copy.chunk"), "_own": F.col("_copy.own")})
         .drop("_copy")
     )
-    base = Window.partitionBy(*key, "_chunk").orderBy("seq")
-    return add(chunks, lambda n: base.rowsBetween(1 - n, 0)).where("_own").drop("_own")
+    return add(chunks, Trailing(key)).where("_own").drop("_own")
 
 
 def exponential_averages(

@@ -218,8 +218,8 @@ def market_step(relative_volume: Column) -> Column:
     return F.floor(relative_volume / SCREEN_VOLUME_STEP) * SCREEN_VOLUME_STEP
 
 
-def screen(columns: DataFrame, market: DataFrame, avg_volume: float = SCREEN_AVG_VOLUME, price: float = SCREEN_PRICE) -> dict[str, DataFrame]:
-    """The four screens over the newest bar of each ticker.
+def screen(columns: DataFrame, market: DataFrame, avg_volume: float = SCREEN_AVG_VOLUME, price: float = SCREEN_PRICE) -> DataFrame:
+    """All four screens in one pass: a row per bar and screen it passes, as ``screen``.
 
     ``market`` holds the market's relative volume by date. The change screen follows the
     sign of that figure: tickers that rose while it is positive, else tickers that fell.
@@ -227,18 +227,16 @@ def screen(columns: DataFrame, market: DataFrame, avg_volume: float = SCREEN_AVG
     base = columns.join(
         market.select("date", F.col("relative_volume").alias("_market")), "date"
     ).where((F.col("avg_volume") > avg_volume) & (F.col("close") > price))
-    lively = base.where(
-        (F.col("average_true_range") > SCREEN_RANGE) & (F.col("relative_volume") > market_step(F.col("_market")))
-    )
+    lively = (F.col("average_true_range") > SCREEN_RANGE) & (F.col("relative_volume") > market_step(F.col("_market")))
     direction = F.when(F.col("_market") > 0, F.col("change") > 0).otherwise(F.col("change") < 0)
-    moving = base.where((F.col("average_true_range") > SCREEN_RANGE_CHANGE) & direction)
-    picked = {
+    passed = {
         "main": lively,
-        "market_change": moving,
-        "new_high": lively.where("new_high"),
-        "new_low": lively.where("new_low"),
+        "market_change": (F.col("average_true_range") > SCREEN_RANGE_CHANGE) & direction,
+        "new_high": lively & F.col("new_high"),
+        "new_low": lively & F.col("new_low"),
     }
-    return {name: rows.select("ticker", "date", F.lit(name).alias("screen")) for name, rows in picked.items()}
+    names = F.array(*[F.when(condition, F.lit(name)) for name, condition in passed.items()])
+    return base.select("ticker", "date", F.explode(F.array_compact(names)).alias("screen"))
 
 
 def screen_union(screens: Sequence[DataFrame]) -> DataFrame:
