@@ -63,7 +63,7 @@ def ticks_of(events: DataFrame) -> DataFrame:
 
 
 def bars(spark, sf_dir, width: str = "2 hours") -> DataFrame:
-    return bb.bars_from_ticks(ticks(spark, sf_dir), width, ["event_id"])
+    return bb.bars_from_ticks(ticks(spark, sf_dir), width)
 
 
 def minutes(spark, sf_dir) -> DataFrame:
@@ -120,6 +120,12 @@ def technical_params(spark, sf_dir) -> DataFrame:
 
 
 def params(spark, sf_dir) -> DataFrame:
+    """Parsed parameters by ticker, action and strategy."""
+    parsed = pp.parse_params(technical_params(spark, sf_dir))
+    return parsed.drop("time_frame").withColumnRenamed("symbol", "ticker")
+
+
+def bounded_params(spark, sf_dir) -> DataFrame:
     """Parsed parameters with the volume bounds of their ticker."""
     bounds = ff.volume_bounds(bars(spark, sf_dir))
     joined = pp.scan_params(pp.parse_params(technical_params(spark, sf_dir)), bounds)
@@ -224,13 +230,20 @@ def live_bars(spark, sf_dir) -> DataFrame:
 # --- daily --------------------------------------------------------------------------
 
 
+def _line_order() -> Column:
+    """Order of the lines of a day as one number, so that the bars hash-aggregate."""
+    line = F.col("l_orderkey").cast("decimal(18,0)") * F.lit(10).cast("decimal(2,0)") + F.col("l_linenumber").cast("decimal(1,0)")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("decimal(11,0)")
+    return line * F.lit(10**11).cast("decimal(12,0)") + cents
+
+
 def daily(spark, sf_dir) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_suppkey").alias("ticker"),
         F.col("l_shipdate").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         "l_quantity",
-        F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("at"),
+        _line_order().alias("at"),
     )
     return lines.groupBy("ticker", "date").agg(
         F.min_by("price", "at").alias("open"),

@@ -20,8 +20,8 @@ def half_up(x: str, digits: int) -> str:
 
 def _bars(width: str) -> str:
     return f"""SELECT event_type AS ticker, time_bucket(INTERVAL '{width}', ts) AS date,
-      arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
-      arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS BIGINT) AS volume, CAST(count(*) AS BIGINT) AS count
+      arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
+      arg_max(value, ts) AS close, CAST(count(*) AS BIGINT) AS volume, CAST(count(*) AS BIGINT) AS count
     FROM events GROUP BY 1, 2"""
 
 

@@ -32,12 +32,12 @@ def x06(spark, d):
 
 @query("s02_scan_params", f"SELECT tp.ticker, strategy, action, performance, vol_max, vol_min, {PARAMS} FROM tp JOIN bounds ON bounds.ticker = tp.ticker")
 def s02(spark, d):
-    return b.params(spark, d)
+    return b.bounded_params(spark, d)
 
 
 @query("j03_params_join", "SELECT tp.ticker, strategy, action, vol_max, vol_min FROM tp JOIN bounds ON bounds.ticker = tp.ticker")
 def j03(spark, d):
-    return b.params(spark, d).select("ticker", "strategy", "action", "vol_max", "vol_min")
+    return b.bounded_params(spark, d).select("ticker", "strategy", "action", "vol_max", "vol_min")
 
 
 @query("j26_params_by_ticker", """SELECT ticker, action, max(limit_price) FILTER (WHERE strategy = 'trend') AS trend_limit, max(limit_price) FILTER (WHERE strategy = 'correction') AS correction_limit,

@@ -25,8 +25,9 @@ def with_day(bars: DataFrame) -> DataFrame:
 def bars_from_ticks(ticks: DataFrame, width: str = "1 minute", tie: Sequence[str] = ()) -> DataFrame:
     """Ticks or short bars to bars stamped at the start of their window.
 
-    All aggregates combine before the shuffle, so a busy ticker costs one row per window
-    and task.
+    All aggregates combine in a hash map before the shuffle, so a busy ticker costs one
+    row per window and task. ``tie`` orders ticks of the same time and makes the
+    aggregate sort-based; leave it out where times are unique.
     """
     at = F.struct("ts", *tie) if tie else F.col("ts")
     return (
@@ -185,8 +186,14 @@ def retain_years(daily: DataFrame, now: Column, years: int = 2) -> DataFrame:
 
 
 def latest_bar(bars: DataFrame) -> DataFrame:
-    rest = [name for name in bars.columns if name != "ticker"]
-    return bars.groupBy("ticker").agg(F.max_by(F.struct(*rest), "date").alias("_bar")).select("ticker", "_bar.*")
+    """Newest bar per ticker; (ticker, date) is unique, so all columns come from one row.
+
+    One aggregate per column keeps the aggregation in a hash map, where a struct would
+    sort all rows by ticker.
+    """
+    rest = [name for name in bars.columns if name not in ("ticker", "date")]
+    newest = [F.max_by(name, "date").alias(name) for name in rest]
+    return bars.groupBy("ticker").agg(F.max("date").alias("date"), *newest)
 
 
 def latest_value(bars: DataFrame, column: str) -> DataFrame:

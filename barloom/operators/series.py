@@ -124,8 +124,10 @@ def previous_values(
     """Add the values of the row before, null on the first row of a series."""
     month = [*key, "_month"]
     tagged = rows.withColumn("_month", month_of(order))
-    ends = tagged.groupBy(*month).agg(F.max_by(F.struct(*columns), order).alias("_end"))
-    earlier = ends.select(*month, F.lag("_end").over(Window.partitionBy(*key).orderBy("_month")).alias("_end"))
+    ends = tagged.groupBy(*month).agg(*[F.max_by(name, order).alias(name) for name in columns])
+    earlier = ends.select(
+        *month, F.lag(F.struct(*columns)).over(Window.partitionBy(*key).orderBy("_month")).alias("_end")
+    )
     inside = Window.partitionBy(*month).orderBy(order)
     return (
         tagged.withColumn("_before", F.lag(F.struct(*columns)).over(inside))

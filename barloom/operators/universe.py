@@ -65,7 +65,7 @@ def distinct_tickers(bars: DataFrame, benchmarks: DataFrame, illiquid: DataFrame
 
 def has_processing(bars: DataFrame) -> DataFrame:
     """Whether the newest bar of a ticker carries a previous close."""
-    newest = F.max_by(F.struct("prev_day_close"), "date")["prev_day_close"]
+    newest = F.max_by("prev_day_close", "date")
     return bars.groupBy("ticker").agg(newest.isNotNull().alias("processed"))
 
 

@@ -50,7 +50,7 @@ def _stamped(bars: DataFrame) -> DataFrame:
 def minute_windows(ticks: DataFrame, width: str = "1 minute", delay: str = DELAY) -> DataFrame:
     """Bars that close once the watermark passes their window; later ticks are dropped."""
     watched = watermarked(ticks, "ts", delay)
-    return _windowed(watched, F.col("ts"), F.struct("ts", "event_id"), width)
+    return _windowed(watched, F.col("ts"), F.col("ts"), width)
 
 
 def minute_bars_stream(ticks: DataFrame, width: str = "1 minute", delay: str = DELAY) -> DataFrame:
