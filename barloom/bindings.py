@@ -161,11 +161,11 @@ def labelled(spark, sf_dir) -> DataFrame:
 
 
 def coarse(spark, sf_dir) -> DataFrame:
-    """Stored labelled rows with deltas in halves: two-hour bars move far more than
-    five-minute bars, and values must repeat."""
+    """Stored labelled rows with deltas in halves and volume in tenths: two-hour bars move
+    far more than five-minute bars, and values must repeat."""
+    steps = {"open_delta": 2, "benchmark_delta": 2, "volume_delta": 10}
     rows = labelled(spark, sf_dir)
-    half = {name: F.floor(F.col(name) * 2) / 2 for name in ("open_delta", "benchmark_delta")}
-    return stage(rows.withColumns(half), "labelled")
+    return stage(rows.withColumns({n: F.floor(F.col(n) * k) / k for n, k in steps.items()}), "labelled")
 
 
 # --- signals and orders from ticks --------------------------------------------------
@@ -316,7 +316,7 @@ def test_params(spark, sf_dir) -> DataFrame:
 
 
 def backtest_errors(spark, sf_dir) -> DataFrame:
-    rows = trade_params(spark, sf_dir).where(F.col("nation") % 6 == 5)
+    rows = trade_params(spark, sf_dir).where(F.col("nation").isin(5, 11, 17, 23))
     return rows.select(
         "ticker",
         F.when(F.col("nation") == 5, F.lit("trend")).when(F.col("nation") == 11, F.lit("reports")).alias("strategy"),
@@ -384,8 +384,8 @@ def positions(spark, sf_dir) -> DataFrame:
 
 
 def broker_orders(spark, sf_dir) -> DataFrame:
-    """Orders as the broker lists them: stops go out as trailing orders."""
-    own = instructions(spark, sf_dir).where(F.col("instruction_id") % 3 != 1)
+    """Orders of 150 lots and more as the broker lists them: stops go out as trailing."""
+    own = instructions(spark, sf_dir).where(F.col("quantity") >= 150)
     return own.select(
         F.col("instruction_id").alias("order_id"),
         "account",

@@ -9,6 +9,10 @@ def r6(x: str) -> str:
     return f"(floor(({x}) * 1e6 + 0.5) / 1e6)"
 
 
+def r4(x: str) -> str:
+    return f"(floor(({x}) * 1e4 + 0.5) / 1e4)"
+
+
 def r2(x: str) -> str:
     return f"(floor(({x}) * 1e2 + 0.5) / 1e2)"
 
@@ -47,7 +51,7 @@ CTES = {
       WINDOW d AS (PARTITION BY ticker, CAST(date AS DATE) ORDER BY date),
         r AS (PARTITION BY ticker, CAST(date AS DATE) ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
     "prepared": f"""SELECT ranked.ticker, date, open, high, low, close, volume, count, day, day_open, day_max, day_min, rk,
-      CAST(least(ceil(rk / 2.0), 6) AS INTEGER) AS session_period, {half_up('close / day_open', 4)} AS open_delta,
+      CAST(least(ceil(rk / 2.0), 6) AS INTEGER) AS session_period, {half_up('close / nullif(day_open, 0)', 4)} AS open_delta,
       coalesce(last_value(CASE WHEN rk = 12 THEN close END IGNORE NULLS) OVER
         (PARTITION BY ranked.ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), day_open) AS prev_day_close,
       {half_up('(volume - vol_min) / (vol_max - vol_min)', 3)} AS volume_delta
@@ -62,7 +66,7 @@ CTES = {
       sum(pow(1 - 2.0::DOUBLE / 331, t.seq - i.seq) * i.hla) / sum(pow(1 - 2.0::DOUBLE / 331, t.seq - i.seq)) AS slow_ema
       FROM numbered t JOIN numbered i ON i.ticker = t.ticker AND i.seq <= t.seq GROUP BY 1, 2""",
     "bench": f"""SELECT a.ticker AS ticker, a.date AS date, fast_sma - slow_sma - (fast_ema - slow_ema) AS difference,
-      {half_up('a.close / first_value(a.open) OVER (PARTITION BY a.ticker, CAST(a.date AS DATE) ORDER BY a.date)', 4)} AS open_delta
+      {half_up('a.close / nullif(first_value(a.open) OVER (PARTITION BY a.ticker, CAST(a.date AS DATE) ORDER BY a.date), 0)', 4)} AS open_delta
       FROM averaged a JOIN emas e ON e.ticker = a.ticker AND e.date = a.date""",
     "tp": """SELECT ticker, strategy, action, length(ticker) AS size,
         CASE WHEN length(ticker) <> 6 THEN CAST(length(ticker) AS DOUBLE) * (CASE WHEN action = 'buy' THEN -1 ELSE 1 END) END AS benchmark_negative,
@@ -86,14 +90,14 @@ CTES = {
       FROM prepared p JOIN bench b ON b.ticker = 'view' AND b.date = p.date JOIN bench m ON m.ticker = 'click' AND m.date = p.date,
         (VALUES ('buy'), ('sell')) a(action)""",
     "labelled": """SELECT f.*, tp.benchmark_negative, tp.benchmark_positive, tp.limit_price, tp.min_trail_percent, tp.spy,
-        CASE WHEN f.action = 'buy' THEN day_max / close > limit_price END AS high_delta,
-        CASE WHEN f.action = 'buy' THEN day_max / close < 1.0005 ELSE day_max / close < min_trail_percent END AS high_stop,
-        CASE WHEN f.action = 'sell' THEN close / day_min > 1 - limit_price + 1 END AS low_delta,
-        CASE WHEN f.action = 'buy' THEN close / day_min < 1 - min_trail_percent + 1 ELSE close / day_min < 1.0005 END AS low_stop,
+        CASE WHEN f.action = 'buy' THEN coalesce(day_max / nullif(close, 0) > limit_price, false) END AS high_delta,
+        coalesce(CASE WHEN f.action = 'buy' THEN day_max / nullif(close, 0) < 1.0005 ELSE day_max / nullif(close, 0) < min_trail_percent END, false) AS high_stop,
+        CASE WHEN f.action = 'sell' THEN coalesce(close / nullif(day_min, 0) > 1 - limit_price + 1, false) END AS low_delta,
+        coalesce(CASE WHEN f.action = 'buy' THEN close / nullif(day_min, 0) < 1 - min_trail_percent + 1 ELSE close / nullif(day_min, 0) < 1.0005 END, false) AS low_stop,
         CASE WHEN tp.spy THEN spy_difference ELSE benchmark_difference END AS difference,
         CASE WHEN tp.spy THEN spy_open_delta ELSE benchmark_open_delta END AS benchmark_delta
       FROM feats f JOIN tp ON tp.ticker = f.ticker AND tp.action = f.action AND tp.strategy = f.strategy""",
-    "coarse": "SELECT * REPLACE (floor(open_delta * 2) / 2 AS open_delta, floor(benchmark_delta * 2) / 2 AS benchmark_delta) FROM labelled",
+    "coarse": "SELECT * REPLACE (floor(open_delta * 2) / 2 AS open_delta, floor(benchmark_delta * 2) / 2 AS benchmark_delta, floor(volume_delta * 10) / 10 AS volume_delta) FROM labelled",
     "banded": """SELECT * FROM coarse WHERE benchmark_negative IS NULL OR benchmark_positive IS NULL OR
       CASE WHEN strategy = 'trend' THEN
         difference BETWEEN least(benchmark_negative, benchmark_positive) AND greatest(benchmark_negative, benchmark_positive)
@@ -179,7 +183,7 @@ CTES = {
       FROM trade_params, (VALUES ('trend', 'buy', 0), ('trend', 'sell', 1), ('correction', 'buy', 2), ('correction', 'sell', 3)) v(strategy, action, step)
       WHERE nation <> 11 OR step < 3""",
     "errors": """SELECT ticker, CASE nation WHEN 5 THEN 'trend' WHEN 11 THEN 'reports' END AS strategy,
-        CASE WHEN nation = 17 THEN 'combined' ELSE 'ml' END AS test_param FROM trade_params WHERE nation % 6 = 5""",
+        CASE WHEN nation = 17 THEN 'combined' ELSE 'ml' END AS test_param FROM trade_params WHERE nation IN (5, 11, 17, 23)""",
     "failed": "SELECT DISTINCT ticker FROM errors WHERE strategy IN ('trend', 'correction') OR test_param = 'combined'",
     "daily_numbered": """SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rn, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS back,
         lag(close) OVER (PARTITION BY ticker ORDER BY date) AS previous FROM daily""",
@@ -218,7 +222,7 @@ CTES = {
       FROM ins WHERE order_status = 'filled' GROUP BY ALL""",
     "broker_orders": """SELECT instruction_id AS order_id, account, symbol,
         CASE WHEN instruction_id % 4 = 0 THEN order_type WHEN order_type = 'STP' THEN 'TRAIL' ELSE order_type END AS order_type, quantity, ib_id,
-        CASE WHEN order_status = 'new' THEN 'submitted' ELSE order_status END AS status FROM ins WHERE instruction_id % 3 <> 1""",
+        CASE WHEN order_status = 'new' THEN 'submitted' ELSE order_status END AS status FROM ins WHERE quantity >= 150""",
     "checked": """SELECT i.*, EXISTS (SELECT 1 FROM positions p WHERE p.account = i.account AND p.symbol = i.symbol AND abs(p.pos) = i.quantity
           AND p.sec_type = i.sec_type AND (i.sec_type <> 'OPT' OR (p.strike = i.strike AND p.put_or_call = i.put_or_call AND p.expire = i.expire))) AS has_position,
         EXISTS (SELECT 1 FROM broker_orders b WHERE b.status NOT IN ('filled', 'cancelled') AND b.account = i.account AND b.symbol = i.symbol

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from barloom import bindings as b
 from barloom import constants as c
-from barloom.catalog.ctes import r6
-from barloom.catalog.registry import query, six, sixes
+from barloom.catalog.ctes import r4, r6
+from barloom.catalog.registry import fours, query, six, sixes
 from barloom.functions import scalars as sf
 from barloom.operators import features as ff
 from barloom.operators import series
@@ -82,11 +82,11 @@ def flagship(spark, d):
 # --- trailing windows: on daily bars, which span years ------------------------------
 
 
-@query("w01_high_low_average", f"""SELECT ticker, date, {r6('(max(high) OVER w + min(low) OVER w) / 2')} AS high_low_average FROM daily
+@query("w01_high_low_average", f"""SELECT ticker, date, {r4('(max(high) OVER w + min(low) OVER w) / 2')} AS high_low_average FROM daily
     WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
 def w01(spark, d):
     rows = ff.high_low_average(b.daily(spark, d)).select("ticker", "date", "high_low_average")
-    return sixes(rows, "high_low_average")
+    return fours(rows, "high_low_average")
 
 
 @query("w02_row_number0", "SELECT ticker, date, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS seq FROM daily")
@@ -94,11 +94,11 @@ def w02(spark, d):
     return series.number_rows(b.daily(spark, d)).select("ticker", "date", "seq")
 
 
-@query("w03_sma", f"""SELECT ticker, date, {r6('avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 17 PRECEDING AND CURRENT ROW)')} AS fast_sma,
-    {r6('avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 203 PRECEDING AND CURRENT ROW)')} AS slow_sma FROM daily""")
+@query("w03_sma", f"""SELECT ticker, date, {r4('avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 17 PRECEDING AND CURRENT ROW)')} AS fast_sma,
+    {r4('avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 203 PRECEDING AND CURRENT ROW)')} AS slow_sma FROM daily""")
 def w03(spark, d):
     averaged = ff.moving_averages(b.daily(spark, d), "close", {"fast_sma": c.FAST_SMA, "slow_sma": c.SLOW_SMA})
-    return sixes(averaged.select("ticker", "date", "fast_sma", "slow_sma"), "fast_sma", "slow_sma")
+    return fours(averaged.select("ticker", "date", "fast_sma", "slow_sma"), "fast_sma", "slow_sma")
 
 
 @query("w04_ema", f"SELECT ticker, date, {r6('fast_ema')} AS fast_ema, {r6('slow_ema')} AS slow_ema FROM emas")
@@ -156,14 +156,14 @@ def _screens(spark, d):
     return ff.screen_columns(b.daily(spark, d))
 
 
-@query("w12_relative_volume", f"SELECT ticker, date, {r6('avg_volume')} AS avg_volume, {r6('relative_volume')} AS relative_volume FROM screen_cols")
+@query("w12_relative_volume", f"SELECT ticker, date, {r4('avg_volume')} AS avg_volume, {r4('relative_volume')} AS relative_volume FROM screen_cols")
 def w12(spark, d):
-    return sixes(_screens(spark, d).select("ticker", "date", "avg_volume", "relative_volume"), "avg_volume", "relative_volume")
+    return fours(_screens(spark, d).select("ticker", "date", "avg_volume", "relative_volume"), "avg_volume", "relative_volume")
 
 
-@query("w13_average_true_range", f"SELECT ticker, date, {r6('average_true_range')} AS average_true_range, {r6('change')} AS change FROM screen_cols")
+@query("w13_average_true_range", f"SELECT ticker, date, {r4('average_true_range')} AS average_true_range, {r4('change')} AS change FROM screen_cols")
 def w13(spark, d):
-    return sixes(_screens(spark, d).select("ticker", "date", "average_true_range", "change"), "average_true_range", "change")
+    return fours(_screens(spark, d).select("ticker", "date", "average_true_range", "change"), "average_true_range", "change")
 
 
 @query("w14_new_high_low", "SELECT ticker, date, new_high, new_low FROM screen_cols")

@@ -56,10 +56,11 @@ def k07(spark, d):
 
 # --- instructions -------------------------------------------------------------------
 
-STORED = "(SELECT * FROM ins WHERE instruction_id % 5 <> 0)"
+# the written instructions are those of 50 lots and more, the incoming ones those up to 400
+STORED = "(SELECT * FROM ins WHERE quantity >= 50)"
 INCOMING = """(SELECT symbol, strategy_id, cll_int_id, account, day, instruction_id, date, order_type, CASE WHEN instruction_id % 11 = 0 THEN 'Canceled' ELSE 'new' END AS order_status,
   CASE WHEN instruction_id % 3 = 0 THEN limit_price * 2 ELSE limit_price END AS limit_price, CASE WHEN instruction_id % 4 = 0 THEN stop_price * 2 ELSE stop_price END AS stop_price
-  FROM ins WHERE instruction_id % 7 <> 0)"""
+  FROM ins WHERE quantity <= 400)"""
 
 
 def _shape(rows):
@@ -67,12 +68,12 @@ def _shape(rows):
 
 
 def _stored(spark, d):
-    return _shape(b.instructions(spark, d).where("instruction_id % 5 <> 0"))
+    return _shape(b.instructions(spark, d).where("quantity >= 50"))
 
 
 def _incoming(spark, d):
     key = F.col("instruction_id")
-    rows = b.instructions(spark, d).where("instruction_id % 7 <> 0").withColumns(
+    rows = b.instructions(spark, d).where("quantity <= 400").withColumns(
         {
             "order_status": F.when(key % 11 == 0, F.lit("Canceled")).otherwise(F.lit("new")),
             "limit_price": F.when(key % 3 == 0, F.col("limit_price") * 2).otherwise(F.col("limit_price")),

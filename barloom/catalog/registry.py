@@ -33,3 +33,8 @@ def six(column: str | Column) -> Column:
 
 def sixes(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: six(name) for name in names})
+
+
+def fours(df: DataFrame, *names: str) -> DataFrame:
+    """Four digits, for prices in the thousands."""
+    return df.withColumns({name: scaled_round(F.col(name), 4) for name in names})

@@ -101,7 +101,7 @@ TRAIL = "coalesce(floor((CASE WHEN side = 'buy' THEN (1 - trail_percent) * 100 E
 @query(
     "o03_adjust_stops",
     f"""SELECT ib_id, o.ticker, trailing_percent, CASE WHEN entry_price IS NULL THEN NULL
-      WHEN CASE WHEN o.action = 'SELL' THEN entry_price / last_price ELSE last_price / entry_price END > 1 + {TRAIL} / 100 / 2 THEN 0.1::DOUBLE
+      WHEN CASE WHEN o.action = 'SELL' THEN (last_price = 0 AND entry_price > 0) OR entry_price / nullif(last_price, 0) > 1 + {TRAIL} / 100 / 2 ELSE (entry_price = 0 AND last_price > 0) OR last_price / nullif(entry_price, 0) > 1 + {TRAIL} / 100 / 2 END THEN 0.1::DOUBLE
       WHEN floor((epoch(TIMESTAMP '2024-01-16 12:00:00') - epoch(o.date)) / 60) > trail_time
         AND trailing_percent > CASE WHEN side = 'buy' THEN (1 - min_trail_percent) * 100 ELSE (min_trail_percent - 1) * 100 END / 100 THEN trailing_percent * 0.5 END AS new_trailing
     {EXIT} WHERE order_type = 'STOP LOSS'""",
@@ -201,8 +201,8 @@ def s20(spark, d):
 
 
 ACCOUNT = oo.Account("DU1", 5_000_000.0, 2)
-QTY = """(SELECT d.*, quantity, shares FROM (SELECT d.*, CASE WHEN d.action = 'BUY' THEN 5000.0::DOUBLE / (last_close - last_close * coalesce(trail_percent, 0.98::DOUBLE))
-      ELSE 5000.0::DOUBLE / (last_close * coalesce(1 + (1 - trail_percent), 1.02::DOUBLE) - last_close) END AS shares FROM dto d
+QTY = """(SELECT d.*, quantity, shares FROM (SELECT d.*, CASE WHEN d.action = 'BUY' THEN 5000.0::DOUBLE / nullif(last_close - last_close * coalesce(trail_percent, 0.98::DOUBLE), 0)
+      ELSE 5000.0::DOUBLE / nullif(last_close * coalesce(1 + (1 - trail_percent), 1.02::DOUBLE) - last_close, 0) END AS shares FROM dto d
       JOIN tp ON tp.ticker = d.ticker AND tp.strategy = d.signal_id AND tp.action = lower(d.action) WHERE order_type = 'MKT' AND d.date < TIMESTAMP '2024-01-16 12:00:00' - INTERVAL 30 SECOND) d,
       LATERAL (SELECT CAST(trunc(shares) * 2 AS BIGINT) AS quantity))"""
 

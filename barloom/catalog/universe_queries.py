@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from barloom import bindings as b
-from barloom.catalog.ctes import DAILY_NOW, r2, r6
-from barloom.catalog.registry import query, six, sixes
+from barloom.catalog.ctes import DAILY_NOW, r2, r4, r6
+from barloom.catalog.registry import fours, query, six
 from barloom.operators import features as ff
 from barloom.operators import params as pp
 from barloom.operators import universe as uu
@@ -230,9 +230,9 @@ def u09(spark, d):
 # --- trade parameters ---------------------------------------------------------------
 
 
-@query("a11_range_midpoint", f"SELECT ticker, {r6('range_midpoint')} AS range_midpoint, {r6('last_price')} AS last_price FROM midpoints")
+@query("a11_range_midpoint", f"SELECT ticker, {r4('range_midpoint')} AS range_midpoint, {r4('last_price')} AS last_price FROM midpoints")
 def a11(spark, d):
-    return sixes(uu.range_midpoint(b.daily(spark, d)), "range_midpoint", "last_price")
+    return fours(uu.range_midpoint(b.daily(spark, d)), "range_midpoint", "last_price")
 
 
 @query("a12_drop_tickers_without_bars", "SELECT ticker, industry FROM trade_params WHERE ticker IN (SELECT ticker FROM daily WHERE count > 4)")

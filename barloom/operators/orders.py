@@ -163,6 +163,11 @@ def _with_params(orders: DataFrame, params: DataFrame) -> DataFrame:
     return spread_join(keyed, params, pp.KEY, ["ib_id"], "left")
 
 
+def _ratio_above(part: str, whole: str, limit: Column) -> Column:
+    """Whether part / whole is above the limit; over zero it is, unless part is zero too."""
+    return F.when(F.col(whole) == 0, F.col(part) > 0).otherwise(F.try_divide(part, whole) > limit)
+
+
 def adjust_stops(orders: DataFrame, bars: DataFrame, params: DataFrame, now: Column, in_session: Column) -> DataFrame:
     """New trailing percent of working stops, null where it stays.
 
@@ -172,15 +177,15 @@ def adjust_stops(orders: DataFrame, bars: DataFrame, params: DataFrame, now: Col
     entered = _with_market(with_entry(orders), bars, [])
     stops = _with_params(working_orders(of_type(entered, c.STOP)), params)
     half = 1 + pp.trail_percent(F.col("action")) / 100 / 2
-    move = F.when(F.col("exit_action") == "SELL", F.try_divide("entry_price", "last_price")).otherwise(
-        F.try_divide("last_price", "entry_price")
+    fast = F.when(F.col("exit_action") == "SELL", _ratio_above("entry_price", "last_price", half)).otherwise(
+        _ratio_above("last_price", "entry_price", half)
     )
     aged = sf.minutes_between(F.col("date"), now) > F.col("trail_time")
     wide = F.col("trailing_percent") > pp.min_trail_percent(F.col("action"))
     new = (
         F.when(~in_session, F.lit(c.EMERGENCY_TRAIL))
         .when(F.col("entry_price").isNull(), F.lit(None))
-        .when(move > half, F.lit(c.EMERGENCY_TRAIL))
+        .when(fast, F.lit(c.EMERGENCY_TRAIL))
         .when(aged & wide, F.col("trailing_percent") * 0.5)
     )
     return stops.select("ib_id", "ticker", "trailing_percent", new.alias("new_trailing"))
