@@ -18,8 +18,8 @@ def r2(x: str) -> str:
 
 
 def half_up(x: str, digits: int) -> str:
-    """Rounding on the decimal form, as Spark's round does."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    """Rounding on the shortest decimal text, as Spark's round does."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38,20)), {digits}) AS DOUBLE)"
 
 
 def _bars(width: str) -> str:
