@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from barloom import bindings as b
 from barloom import constants as c
 from barloom.catalog.ctes import r4, r6
-from barloom.catalog.registry import fours, query, six, sixes
+from barloom.catalog.registry import fours, query, sixes
 from barloom.functions import scalars as sf
 from barloom.operators import features as ff
 from barloom.operators import series
@@ -73,10 +73,10 @@ def w21(spark, d):
     return b.prepared(spark, d)
 
 
-@query("session_period_summary", f"SELECT ticker, session_period, {r6('avg(open_delta)')} AS avg_open_delta, CAST(count(*) AS BIGINT) AS bars FROM prepared GROUP BY 1, 2")
+@query("session_period_summary", """SELECT ticker, session_period, CAST(sum(CAST(round(open_delta * 10000) AS BIGINT)) AS DOUBLE) / count(open_delta) / 10000 AS avg_open_delta,
+    CAST(count(*) AS BIGINT) AS bars FROM prepared GROUP BY 1, 2""")
 def flagship(spark, d):
-    grouped = b.prepared(spark, d).groupBy("ticker", "session_period")
-    return grouped.agg(six(F.avg("open_delta")).alias("avg_open_delta"), F.count(F.lit(1)).alias("bars"))
+    return ff.period_summary(b.prepared(spark, d))
 
 
 # --- trailing windows: on daily bars, which span years ------------------------------

@@ -131,8 +131,8 @@ def t11(spark, d):
     path = fresh_path(spark, "bars")
     bars = b.bars(spark, d)
     sinks.replace_days(bars, path)
-    today = bars.where(F.col("date").cast("date") == F.lit("2024-01-30").cast("date"))
-    sinks.replace_days(today.where("volume > 3").withColumn("volume", F.col("volume") + 1), path)
+    today = bars.where("volume > 3").withColumn("volume", F.col("volume") + 1)
+    sinks.replace_day(today, path, "2024-01-30")
     return spark.read.parquet(path)
 
 

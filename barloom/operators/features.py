@@ -85,6 +85,16 @@ def prepare_features(bars: DataFrame, bounds: DataFrame, spec: SessionSpec) -> D
     return add_volume_delta(closed, bounds)
 
 
+def period_summary(features: DataFrame) -> DataFrame:
+    """Mean move since the open per ticker and session period.
+
+    Deltas have four digits, so their sum is exact as a whole number, in any order.
+    """
+    steps = F.round(F.col("open_delta") * 10000).cast("bigint")
+    mean = F.sum(steps) / F.count("open_delta") / 10000
+    return features.groupBy("ticker", "session_period").agg(mean.alias("avg_open_delta"), F.count(F.lit(1)).alias("bars"))
+
+
 # --- benchmark features -------------------------------------------------------------
 
 

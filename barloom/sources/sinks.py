@@ -56,6 +56,12 @@ def replace_days(bars: DataFrame, path: str) -> None:
     replace_by_key(with_day(bars), path, ["day"])
 
 
+def replace_day(bars: DataFrame, path: str, day: str) -> None:
+    """Replace one day of such a table, also by no rows at all."""
+    rows = bars.where(F.col("date").cast("date") == F.lit(day).cast("date"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/day={day}")
+
+
 def typed_bars(raw: DataFrame, time_frame: str) -> DataFrame:
     """Raw bars with date text to typed bars; rows without a date are skipped."""
     return raw.where(F.col("date").isNotNull()).select(
