@@ -12,17 +12,21 @@ from barloom.operators.bars import with_day
 from barloom.operators.series import spread_join
 from barloom.sources.tables import scan
 
+FILES_PER_KEY = 16
 RAW_COLUMNS = ["open", "high", "low", "close", "volume", "day", "day_open"]
 
 
 def replace_by_key(df: DataFrame, path: str, key: Sequence[str] = ("ticker",)) -> None:
     """Replace the partitions of the keys in ``df``, leave all others.
 
-    Rows are not gathered by key: every task writes its own file per partition, so a hot
-    ticker is written by many tasks.
+    Each key is spread over at most ``FILES_PER_KEY`` tasks: a hot ticker is written by
+    several, and no ticker gets a file from every task of the job.
     """
+    rest = [name for name in df.columns if name not in key]
+    slot = F.pmod(F.xxhash64(*rest), F.lit(FILES_PER_KEY))
     (
-        df.write.mode("overwrite")
+        df.repartition(*[F.col(name) for name in key], slot)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*key)
         .parquet(path)
