@@ -7,11 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import line_dedup, packing, simhash, token_counts
+from barloom.llm import (
+    decontaminate,
+    hamming_search,
+    html_crf,
+    language_id,
+    line_dedup,
+    packing,
+    simhash,
+    token_counts,
+    url_rules,
+)
 from barloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "byte_bpe_50k.json"
+QUERY_EVERY = 20
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -20,6 +31,23 @@ def vocabulary(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_crf.extract_text(table(spark, sf_dir, "pages"), keep=("page_id", "url"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary(), keep_ids=False)
     return pieces.withColumnRenamed("id", "doc_id")
@@ -31,12 +59,53 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "dedup.n_lines", "dedup.n_dropped", digest.alias("kept_sha256"))
 
 
+def learned_languages(spark: SparkSession, sf_dir: str) -> tuple:
+    """Languages of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.train(docs.filter(~language_id.held_out(F.col("doc_id"))), "text", "lang")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(
+        table(spark, sf_dir, "documents"), learned_languages(spark, sf_dir), new_col="found", keep=("doc_id",)
+    )
+    return found.select(
+        "doc_id",
+        language_id.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("found.lang").alias("lang_pred"),
+        F.col("found.score").alias("score"),
+    )
+
+
+def labelled_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pages whose document has labels; a page shows the document that its path names.
+
+    Toxic documents and those of low quality are to be blocked.
+    """
+    pages = table(spark, sf_dir, "pages").select("url")
+    number = F.regexp_extract("url", r"://[^/?#]*/[a-z]+/([0-9]{1,18})", 1)
+    named = pages.select("url", F.when(number != "", number).cast("long").alias("doc_id"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("blocked"))
+    return named.join(labels, "doc_id").select("url", "blocked")
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mined = url_rules.mine(labelled_addresses(spark, sf_dir))
+    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), mined)
+    return judged.select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = hamming_search.sign_codes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return hamming_search.search(codes, codes.filter(F.col("id") % QUERY_EVERY == 0))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
     return counted.withColumnRenamed("id", "doc_id")
@@ -64,10 +133,63 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM judged GROUP BY doc_id
 """
 
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+),
+windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[p:p + size - 1], ' ') AS gram FROM (
+    SELECT item_id, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p
+    FROM items WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT size FROM windows),
+grams AS (
+  SELECT doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') AS gram FROM (
+    SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM words, sizes WHERE len(w) >= size)
+),
+hits AS (SELECT g.doc_id, g.size, g.p, i.item_id FROM grams g JOIN windows i ON g.size = i.size AND g.gram = i.gram),
+places AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(p, p + size)) AS place FROM hits) GROUP BY doc_id
+),
+found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM words d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+OP9_SQL = """
+WITH signs AS (
+  SELECT vec_id, list_sum([CASE WHEN embedding[i] > 0 THEN CAST(1 AS HUGEINT) << (64 - i) ELSE CAST(0 AS HUGEINT) END
+                          FOR i IN range(1, 65)]) AS code
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+),
+codes AS (SELECT vec_id, CAST(code AS UBIGINT) AS code FROM signs)
+SELECT query_id, rank, neighbor_id, distance FROM (
+  SELECT q.vec_id AS query_id, c.vec_id AS neighbor_id, CAST(bit_count(xor(q.code, c.code)) AS BIGINT) AS distance,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY bit_count(xor(q.code, c.code)), c.vec_id) AS rank
+  FROM codes q, codes c WHERE q.vec_id % 20 = 0)
+WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Query] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_language_id": op5_language_id,
+    "op7_url_filters": op7_url_filters,
     "op8_simhash": op8_simhash,
+    "op9_hamming_search": op9_hamming_search,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_hamming_search": OP9_SQL}
