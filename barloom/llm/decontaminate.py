@@ -234,7 +234,7 @@ def decontaminate(
                 [*columns, pa.array(np.diff(first)), pa.array(found, kind_of)], names=[*names, "n_words", "found"]
             )
 
-    held_columns = [F.struct(*carry).alias("row")] if carry else []
+    held_columns = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
     source = docs.select(F.col(id_col).alias("id"), *held_columns, F.col(text_col).alias("text"))
     row_kind = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
     looked = source.mapInArrow(

@@ -34,8 +34,9 @@ def dedup_lines(
     text_col: str = "text",
     min_chars: int = MIN_CHARS,
     min_docs: int = MIN_DOCS,
+    new_col: str = "dedup",
 ) -> DataFrame:
-    """All rows and columns of `docs` with the kept text, and `dedup` = struct(n_lines, n_dropped).
+    """All rows and columns of `docs` with the kept text, and `new_col` = struct(n_lines, n_dropped).
 
     A line's key is the line without white space at its ends, A-Z in lower case. Keys of at least
     `min_chars` code points found in at least `min_docs` distinct ids lose their lines except in
@@ -44,7 +45,7 @@ def dedup_lines(
     Null and empty texts are one empty line and come out as they are. A null id counts as one
     document, smaller than all others. Repeated rows are judged alike: rows of the keeper's id all
     keep the line. Ties do not arise, as ids are compared, not rows. An empty table stays empty.
-    Other columns pass through untouched; a column named `dedup` is replaced.
+    Other columns pass through untouched; a column of the new name is replaced.
     """
     # Lines are hashed once and written: the counts and the decisions read the small table.
     split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
@@ -62,7 +63,7 @@ def dedup_lines(
         .groupBy("id", "key")
         .agg(F.collect_set("pos").alias("dropped"))
     )
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "dedup"]).alias("row"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != new_col]).alias("row"))
     text = F.col("row").getField(text_col)
     joined = held.join(
         dropped, F.col("row").getField(id_col).eqNullSafe(F.col("id")) & (text_key(text) == F.col("key")), "left"
@@ -76,9 +77,9 @@ def dedup_lines(
         F.struct(
             F.size("lines").cast("long").alias("n_lines"),
             F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped"),
-        ).alias("dedup"),
+        ).alias(new_col),
     )
     columns = [
-        (F.col("kept") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c != "dedup"
+        (F.col("kept") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c != new_col
     ]
-    return joined.select(*columns, "dedup")
+    return joined.select(*columns, F.col(new_col))

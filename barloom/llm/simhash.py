@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import chunks, flat
+from barloom.llm.common import chunks, flat, text_key
 from barloom.llm.components import components
 from barloom.sources.stage import stage
 
@@ -58,7 +58,7 @@ def fingerprint_texts(texts: list[bytes], shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
-    """`id, fp` (64 bits as a signed long) of every row; null and blank texts have 0."""
+    """`id, key, fp` (64 bits as a signed long; the text's key) of every row; null and blank texts have 0."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,9 +66,10 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
             data, offsets = flat(part.column("text"))
             raw, at = data.tobytes(), offsets.tolist()
             found = fingerprint_texts([raw[a:b] for a, b in zip(at, at[1:])], shingle)
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), pa.array(found.view(np.int64))], names=["id", "key", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    source = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, f"id {kind}, key string, fp long")
 
 
 # A node is (vantage, radius, inner, outer), a leaf its number. Distances up to the radius are inner.
@@ -238,7 +239,9 @@ def near_duplicates(
     shingle: int = SHINGLE,
     max_bits: int = MAX_BITS,
 ) -> DataFrame:
-    """`id, fp, component` of every row: the smallest id reachable over fingerprints `max_bits` apart.
+    """`id, key, fp, root, component` of every row: the smallest id reachable over fingerprints `max_bits` apart.
+
+    `root` is the group's smallest fingerprint, `key` tells rows of one id with different texts apart.
 
     Words are runs of other than ASCII white space, A-Z in lower case; shingles count as often as
     they occur; a text of fewer words is one shingle. Null, empty and blank texts have fingerprint 0
@@ -253,5 +256,5 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    labels = rooted.join(named, "root").select("fp", "component")
-    return fps.join(labels, "fp").select("id", "fp", "component")
+    labels = rooted.join(named, "root").select("fp", "root", "component")
+    return fps.join(labels, "fp").select("id", "key", "fp", "root", "component")
