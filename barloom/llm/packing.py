@@ -7,11 +7,12 @@ rest and leaves full. What is open at the end of all partitions is merged in gro
 
 from __future__ import annotations
 
-import zlib
+import re
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,10 @@ from barloom.sources.stage import stage
 WINDOW = 1024
 OPEN_WINDOWS = 64
 MERGE_PARTITIONS = 64
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
+JOINED_WORDS = 256
+SHORT_BYTES = 8
+PLAIN = re.compile(rb" [a-zA-Z\x80-\xbf\xc3-\xc8]+\Z")
 END_ID = 0
 SEQUENCES = 1 << 32
 
@@ -42,21 +46,38 @@ class Encoder:
         self.cache_words = cache_words
 
     def learn(self, words: list[bytes]) -> None:
-        found = self.model.encode_batch_fast([x.decode(errors="replace") for x in words], add_special_tokens=False)
-        for word, encoded in zip(words, found, strict=True):
-            self.seen[word] = np.array(encoded.ids, "<u4").tobytes()
+        """Words that start with a blank stay pre-tokens of their own in one text, so many are asked for at once."""
+        joined = [w for w in words if PLAIN.match(w)]
+        texts = [joined[k : k + JOINED_WORDS] for k in range(0, len(joined), JOINED_WORDS)]
+        for own, found in zip(texts, self.model.encode_batch([b"".join(t).decode() for t in texts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = (np.cumsum(np.bincount(np.array(found.word_ids))) * 4).tolist()
+            at = 0
+            for word, end in zip(own, ends, strict=True):
+                self.seen[word] = ids[at:end]
+                at = end
+        others = [w for w in words if not PLAIN.match(w)]
+        encoded = self.model.encode_batch_fast([w.decode(errors="replace") for w in others], add_special_tokens=False)
+        for word, found in zip(others, encoded, strict=True):
+            self.seen[word] = np.array(found.ids, "<u4").tobytes()
 
     def encode(self, texts: list[list[bytes]]) -> list[bytes]:
         """Ids, as little-endian 32-bit numbers, of texts given as their pre-tokens."""
         if len(self.seen) > self.cache_words:
-            self.seen.clear()
-        new = set()
-        for words in texts:
-            new.update(words)
-        new = [x for x in new if x not in self.seen]
-        for k in range(0, len(new), 4096):
-            self.learn(new[k : k + 4096])
-        return [b"".join(map(self.seen.__getitem__, words)) for words in texts]
+            # Short words are the frequent ones.
+            self.seen = {k: v for k, v in self.seen.items() if len(k) <= SHORT_BYTES}
+            if len(self.seen) > self.cache_words // 2:
+                self.seen.clear()
+        flat_words = list(chain.from_iterable(texts))
+        found = list(map(self.seen.get, flat_words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = list(dict.fromkeys(flat_words[i] for i in missing))
+        for k in range(0, len(new), 16384):
+            self.learn(new[k : k + 16384])
+        for i in missing:
+            found[i] = self.seen[flat_words[i]]
+        ends = [0, *accumulate(map(len, texts))]
+        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 @lru_cache(maxsize=2)
