@@ -15,6 +15,7 @@ from barloom.llm import (
     line_dedup,
     packing,
     simhash,
+    suffix_dedup,
     token_counts,
     url_rules,
 )
@@ -77,6 +78,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def labelled_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses of pages whose document has labels; a page shows the document that its path names.
 
@@ -187,6 +195,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_language_id": op5_language_id,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_simhash": op8_simhash,
     "op9_hamming_search": op9_hamming_search,
