@@ -21,8 +21,9 @@ from barloom.llm.suffix_merge import Hashes, mix, repeated_windows
 from barloom.sources.stage import stage
 
 LENGTH = 400
-CELL_ROWS = 1024
+CELL_ROWS = 8192
 BATCH_BYTES = 1 << 20
+LOOK_BYTES = 1 << 19
 
 
 def least_places(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,21 +86,25 @@ def remove_repeats(
     """
     half = length // 2
     core = length - half + 1
-    side = half - 1
+    side, middle = half - 1, half // 2
     kind = docs.schema[id_col].dataType.simpleString()
-    place_kind = "array<struct<a:int,la:int,ra:int,g:bigint,f:bigint>>"
+    place_kind = "array<struct<a:int,la:int,ra:int,g:bigint,f:bigint,low:bigint,high:bigint>>"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", LOOK_BYTES):
             data, offsets = flat(part.column("text"))
             row, place = least_places(data, offsets, length)
             la = np.minimum(side, place - offsets[row])
             ra = np.minimum(side, offsets[row + 1] - place - core)
-            g = Hashes(data).of(place, place + core)
-            f = Hashes(data, 1).of(place - la, place + core + ra) ^ mix((la * length + ra).astype(np.uint64))
-            columns = [place - offsets[row], la, ra, g.view(np.int64), f.view(np.int64)]
-            types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-            structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["a", "la", "ra", "g", "f"])
+            own, other = Hashes(data), Hashes(data, 1)
+            # What all windows of the nearer and of the further places hold, where they fit.
+            low = other.of(place, place + np.minimum(core + ra, length + 1 - middle))
+            high = other.of(place - np.minimum(la, middle), place + core)
+            f = other.of(place - la, place + core + ra) ^ mix((la * length + ra).astype(np.uint64))
+            columns = [place - offsets[row], la, ra] + [x.view(np.int64) for x in (own.of(place, place + core), f, low, high)]
+            types = [pa.int32()] * 3 + [pa.int64()] * 4
+            names = ["a", "la", "ra", "g", "f", "low", "high"]
+            structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
             ends = np.searchsorted(row, np.arange(part.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), lists], names=["id", "key", "places"])
@@ -111,77 +116,84 @@ def remove_repeats(
     places = looked.select("number", F.inline("places"))
 
     often = places.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("g")
-    candidates = stage(places.join(often, "g").select("number", "a", "la", "ra", "g", "f"), "candidates")
+    candidates = stage(places.join(often, "g").select(places.columns), "candidates")
     around = ["g", "f", "la", "ra"]
-    pieces = candidates.groupBy(*around).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("number", "a")).alias("one"))
+    pieces = candidates.groupBy(*around).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("number", "a", "low", "high")).alias("one")
+    )
     pieces = stage(pieces, "pieces")
-    # Equal surroundings decide each other whole; those seen once need the others of their cell.
+    # Equal surroundings decide each other whole; those seen once need the others of their cells.
     sure = pieces.filter(F.col("n") > 1).select(*around, (side - F.col("ra")).alias("least"), F.col("la").alias("most"))
-    asking = pieces.filter(F.col("n") == 1).select("g").distinct()
-    members = pieces.join(asking, "g", "left_semi").select(*around, "n", "one.number", "one.a")
-    wanted = members.groupBy("number").agg(F.collect_list(F.struct("a", *around, "n")).alias("wanted"))
+
+    def cell(low: int, high: int, stretch: str, fits: Column) -> Column:
+        key = F.xxhash64("g", F.lit(low), stretch).alias("cell")
+        return F.when(fits, F.struct(key, F.lit(low).alias("low"), F.lit(high).alias("high")))
+
+    near = cell(0, middle, "one.low", core + F.col("ra") >= length + 1 - middle)
+    far = cell(middle, half, "one.high", F.col("la") >= middle)
+    dealt = pieces.select(*around, "n", "one.number", "one.a", F.inline(F.filter(F.array(near, far), lambda c: c.isNotNull())))
+    # Two different surroundings must share a cell, one of them seen once, for anything to be searched there.
+    asking = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("n"))
+    asking = asking.filter((F.col("rows") > 1) & (F.col("n") == 1)).select("cell")
+    members = dealt.join(asking, "cell", "left_semi")
+    wanted = members.groupBy("number").agg(F.collect_list(F.struct("a", *around, "n", "cell", "low", "high")).alias("wanted"))
     wanted = looked.select("number", "id", "key").join(wanted, "number").select("id", "key", "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*around, "n", "piece"]
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        for part in chunks(batches, "text"):
+        names = [*around, "n", "cell", "low", "high", "left", "piece"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+        for part in chunks(batches, "text", LOOK_BYTES):
             data, offsets = flat(part.column("text"))
             raw, rows = data.tobytes(), []
             for at, list_of in zip(offsets.tolist(), part.column("wanted").to_pylist()):
                 for w in list_of:
-                    piece = raw[at + w["a"] - w["la"] : at + w["a"] + core + w["ra"]]
-                    rows.append((w["g"], w["f"], w["la"], w["ra"], w["n"], piece))
+                    left = min(w["la"], w["high"] - 1)
+                    piece = raw[at + w["a"] - left : at + w["a"] + min(core + w["ra"], length - w["low"])]
+                    rows.append((w["g"], w["f"], w["la"], w["ra"], w["n"], w["cell"], w["low"], w["high"], left, piece))
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     same = F.col("id").eqNullSafe(F.col("wid")) & (F.col("key") == F.col("wkey"))
     renamed = wanted.select(F.col("id").alias("wid"), F.col("key").alias("wkey"), "wanted")
-    cut_out = texts.join(renamed, same).select("text", "wanted").mapInArrow(
-        cut, "g long, f long, la int, ra int, n long, piece binary"
+    cells = texts.join(renamed, same).select("text", "wanted").mapInArrow(
+        cut, "g long, f long, la int, ra int, n long, cell long, low int, high int, left int, piece binary"
     )
-    cut_out = cut_out.dropDuplicates(around)
 
-    # Cells: first by the core, then, while one has too many rows, by the longer core of each half of its places.
-    cells = cut_out.select(F.col("g").alias("cell"), F.lit(0).alias("low"), F.lit(half).alias("high"), *around, "n", "piece")
+    # While a cell has too many rows, it is split by the longer stretches of each half of its places.
     ready = None
     while True:
         cells = stage(cells, "cells")
-        counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("top"), F.first("high").alias("to"), F.first("low").alias("from"))
-        # A place that only one row can have is not repeated.
-        counts = counts.filter((F.col("rows") > 1) & (F.col("rows") > 0))
+        counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("low").alias("from"), F.max("high").alias("to"))
+        # A row alone in its cell repeats nothing there.
+        counts = counts.filter(F.col("rows") > 1)
         large = stage(counts.filter((F.col("rows") > cell_rows) & (F.col("to") - F.col("from") > 1)).select("cell"), "large")
         fit = cells.join(counts.select("cell"), "cell", "left_semi").join(large, "cell", "left_anti")
         ready = fit if ready is None else ready.unionByName(fit)
         if large.isEmpty():
             break
-        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        between = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         halves = F.explode(
-            F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct(middle.alias("low"), F.col("high").alias("high")))
+            F.array(F.struct(F.col("low").alias("low"), between.alias("high")), F.struct(between.alias("low"), F.col("high").alias("high")))
         )
         split = cells.join(large, "cell", "left_semi").withColumn("half", halves)
         low, high = F.col("half.low"), F.col("half.high")
         # All windows of places in [low, high) hold the bytes from -low to length + 1 - high.
         holds = (F.col("la") >= low) & (core + F.col("ra") >= length + 1 - high)
-        stretch = F.substring("piece", F.col("la") - low + 1, low + length + 1 - high)
+        stretch = F.substring("piece", F.col("left") - low + 1, low + length + 1 - high)
         cells = split.filter(holds).select(
-            F.xxhash64("cell", low, high, stretch).alias("cell"), low.alias("low"), high.alias("high"), *around, "n", "piece"
+            F.xxhash64("cell", low, high, stretch).alias("cell"), low.alias("low"), high.alias("high"), *around, "n", "left", "piece"
         )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*around, "least", "most"]
 
         def answer(rows: pa.Table) -> pa.RecordBatch:
-            la, ra, low, high = (rows.column(c).to_numpy().astype(np.int64) for c in ("la", "ra", "low", "high"))
+            la, ra, low, high, left = (rows.column(c).to_numpy().astype(np.int64) for c in ("la", "ra", "low", "high", "left"))
             cell = rows.column("cell").to_numpy()
             found = repeated_windows(
-                rows.column("piece").to_pylist(), la, np.maximum(low, side - ra), np.minimum(high, la + 1), cell, length
+                rows.column("piece").to_pylist(), left, np.maximum(low, side - ra), np.minimum(high, la + 1), cell, length
             )
-            found = found[found[:, 2] > 0]
-            least = np.full(len(la), length, np.int64)
-            most = np.full(len(la), -1, np.int64)
-            np.minimum.at(least, found[:, 0], found[:, 1])
-            np.maximum.at(most, found[:, 0], found[:, 1])
+            least, most = found
             use = np.flatnonzero((most >= 0) & (rows.column("n").to_numpy() == 1))
             columns = [rows.column(c).combine_chunks().take(pa.array(use)) for c in around]
             return pa.RecordBatch.from_arrays(
@@ -204,11 +216,12 @@ def remove_repeats(
                     held, size = [], 0
                 last = own.column("cell")[0]
                 held.append(own)
-                size += own.num_rows * (2 * side + core)
+                size += own.num_rows * (length + half)
         if held:
             yield answer(pa.Table.from_batches(held))
 
-    gathered = ready.repartition("cell").sortWithinPartitions("cell")
+    # Rows that two equal texts of one id bring twice count once.
+    gathered = ready.dropDuplicates(["cell", *around]).repartition("cell").sortWithinPartitions("cell")
     found = gathered.mapInArrow(search, "g long, f long, la int, ra int, least int, most int")
     found = found.groupBy(*around).agg(F.min("least").alias("least"), F.max("most").alias("most"))
     answers = stage(sure.unionByName(found), "answers")

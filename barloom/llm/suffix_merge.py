@@ -117,11 +117,11 @@ def merge_transforms(transforms: list[np.ndarray], most: int) -> tuple[np.ndarra
 
 def repeated_windows(
     fragments: list[bytes], first: np.ndarray, low: np.ndarray, high: np.ndarray, group: np.ndarray, length: int, shard: int = 512
-) -> np.ndarray:
-    """For each fragment and window place in [low, high): does another fragment of its group hold it there?
+) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest place in [low, high) of each fragment where another one of its group holds the same window.
 
-    Place p is the window that starts at byte `first - p` of the fragment. Returns a row for
-    each window: fragment, place, and whether it is repeated.
+    Place p is the window that starts at byte `first - p` of the fragment. Fragments without such a
+    place have -1 as the greatest.
     """
     sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
     offsets = np.concatenate(([0], np.cumsum(sizes)))
@@ -152,31 +152,57 @@ def repeated_windows(
     rank = np.empty(len(symbols), np.int64)
     rank[merged] = np.arange(len(symbols))
 
+    # Keys of windows: the block of the whole phrases inside, at their depth, and what stands before and after
+    # them. Only cuts that bytes inside the window alone decide count, so equal windows have equal phrases.
     n = np.maximum(high - low, 0)
-    frag = np.repeat(np.arange(len(fragments)), n)
-    where = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-    start = offsets[frag] + np.repeat(first, n) - where
-    end = start + length
-    # Whole phrases inside the window, and what stands before and after them. Only cuts that bytes inside
-    # the window alone decide count, so equal windows have equal phrases.
-    inner = np.searchsorted(cuts, start + PHRASE_GRAM)
-    outer = np.searchsorted(cuts, end - 1, side="right") - 1
-    none = outer < inner
-    left_end = np.where(none, end, cuts[np.minimum(inner, len(cuts) - 1)])
-    right_start = np.where(none, end, cuts[outer])
-    phrases = np.where(none, 0, outer - inner)
-    block = np.zeros(len(frag), np.int64)
-    at = rank[place[np.minimum(inner, len(cuts) - 1)]]
-    by_depth = np.argsort(phrases, kind="stable")
-    depths, firsts = np.unique(phrases[by_depth], return_index=True)
-    for depth, chosen in zip(depths, np.split(by_depth, firsts[1:]), strict=True):
-        if depth:
-            block[chosen] = np.cumsum(common < depth)[at[chosen]]
-    key = mix(group[frag].astype(np.uint64)) ^ mix((where + 1).astype(np.uint64))
-    for part in (
-        phrases.astype(np.uint64), block.astype(np.uint64), (left_end - start).astype(np.uint64),
-        hashes.of(start, left_end), hashes.of(right_start, end),
-    ):
-        key = mix(key * np.uint64(0x94D049BB133111EB) + part)
-    _, inverse, total = np.unique(key, return_inverse=True, return_counts=True)
-    return np.stack([frag, where, (total[inverse] > 1).astype(np.int64)], axis=1)
+    keys = []
+    for k in range(0, len(fragments), shard):
+        some = slice(k, k + shard)
+        frag = np.repeat(np.arange(len(fragments))[some], n[some])
+        where = _places(low[some], n[some])
+        start = offsets[frag] + first[frag] - where
+        end = start + length
+        inner = np.searchsorted(cuts, start + PHRASE_GRAM)
+        outer = np.searchsorted(cuts, end - 1, side="right") - 1
+        none = outer < inner
+        left_end = np.where(none, end, cuts[np.minimum(inner, len(cuts) - 1)])
+        right_start = np.where(none, end, cuts[outer])
+        phrases = np.where(none, 0, outer - inner)
+        at = rank[place[np.minimum(inner, len(cuts) - 1)]]
+        key = mix(group[frag].astype(np.uint64)) ^ mix((where + 1).astype(np.uint64))
+        for part in (
+            _blocks(common, at, phrases), phrases, left_end - start, hashes.of(start, left_end), hashes.of(right_start, end),
+        ):
+            key = mix(key * np.uint64(0x94D049BB133111EB) + part.astype(np.uint64))
+        keys.append(key)
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    equal = key[order][1:] == key[order][:-1]
+    twice = np.zeros(len(key), bool)
+    twice[order[1:][equal]] = True
+    twice[order[:-1][equal]] = True
+    frag, where = np.repeat(np.arange(len(fragments)), n)[twice], _places(low, n)[twice]
+    least, most = np.full(len(fragments), length), np.full(len(fragments), -1)
+    np.minimum.at(least, frag, where)
+    np.maximum.at(most, frag, where)
+    return least, most
+
+
+def _places(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+
+
+def _blocks(common: np.ndarray, rank: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """The first merged place whose suffix shares `depth` symbols with the one at `rank`, and all between do.
+
+    Found by doubling over minima of common prefixes, so the cost is by windows and not by depths.
+    """
+    levels = [common]
+    while 2 ** len(levels) <= len(common):
+        low, step = levels[-1], 2 ** (len(levels) - 1)
+        levels.append(np.minimum(low, np.concatenate((np.full(step, -1), low[:-step]))))
+    at = rank.copy()
+    for k in range(len(levels) - 1, -1, -1):
+        goes = levels[k][at] >= depth
+        at[goes] -= 2**k
+    return np.where(depth > 0, at, 0)
