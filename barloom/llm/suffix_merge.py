@@ -91,8 +91,11 @@ def merge_transforms(transforms: list[np.ndarray], most: int) -> tuple[np.ndarra
     sizes = [len(t) for t in transforms]
     whole = np.concatenate(transforms)
     n = len(whole)
-    z = np.repeat(np.arange(len(transforms), dtype=np.int32), sizes)
-    ends = np.repeat(np.arange(len(transforms), dtype=np.int32), [int((t == 0).sum()) for t in transforms])
+    # Numbers of 16 bits are dealt in linear time.
+    whole = whole.astype(np.min_scalar_type(whole.max()))
+    shards = np.arange(len(transforms), dtype=np.min_scalar_type(len(transforms)))
+    z = np.repeat(shards, sizes)
+    ends = np.repeat(shards, [int((t == 0).sum()) for t in transforms])
     common = np.full(n, most, np.int64)
     block = np.zeros(n, np.int64)
     for h in range(1, most + 1):
