@@ -121,7 +121,9 @@ def _feed(spark, d):
 
 FEED = """(SELECT l_orderkey AS instruction_id, CASE WHEN l_returnflag <> 'N' THEN CASE WHEN l_linestatus = 'F' THEN 'filled' ELSE 'submitted' END END AS status,
   CASE WHEN l_linestatus = 'F' THEN l_extendedprice END AS new_fill_price, l_partkey AS new_ib_id, l_shipdate AS event_time FROM lineitem)"""
-NEWEST_FEED = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY instruction_id ORDER BY event_time DESC, status DESC NULLS LAST, new_fill_price DESC NULLS LAST, new_ib_id DESC) AS rn FROM {FEED}) WHERE rn = 1)"""
+NEWEST_FEED = f"""(SELECT instruction_id, (array_agg(status ORDER BY event_time DESC, status DESC) FILTER (WHERE status IS NOT NULL))[1] AS status,
+  (array_agg(new_fill_price ORDER BY event_time DESC, new_fill_price DESC) FILTER (WHERE new_fill_price IS NOT NULL))[1] AS new_fill_price,
+  (array_agg(new_ib_id ORDER BY event_time DESC, new_ib_id DESC) FILTER (WHERE new_ib_id IS NOT NULL))[1] AS new_ib_id FROM {FEED} GROUP BY instruction_id)"""
 
 
 @query("o11_status_update", f"""SELECT i.instruction_id, coalesce(s.status, i.order_status) AS order_status, coalesce(s.status, i.db_status) AS db_status, coalesce(s.new_fill_price, i.fill_price) AS fill_price,

@@ -224,20 +224,34 @@ def expire_market_orders(orders: DataFrame, now: Column, seconds: int = c.MARKET
     return orders.withColumn("ib_status", F.when(late, F.lit("expired")).otherwise(F.col("ib_status")))
 
 
+def _newest(names: list[str]) -> Column:
+    """Newest values of a group of update columns that were set together; reports without them leave them be."""
+    values = F.struct(*names)
+    given = F.greatest(*[F.col(n).isNotNull() for n in names]) if len(names) > 1 else F.col(names[0]).isNotNull()
+    return F.max_by(values, F.when(given, F.struct(F.col("event_time"), values)))
+
+
 def apply_order_updates(orders: DataFrame, updates: DataFrame) -> DataFrame:
-    """Newest update per order: status and price, or date and trailing percent."""
-    rest = ["status", "traded_price", "new_date", "new_trailing"]
-    newest = updates.groupBy("ib_id").agg(F.max_by(F.struct(*rest), F.struct("event_time", *rest)).alias("_u"))
-    merged = orders.join(newest.select("ib_id", "_u.*"), "ib_id", "left")
-    moved = F.col("new_date").isNotNull()
-    keep = F.col("status")
+    """Newest report of each kind per order: its status, its traded price, and its date with the trailing percent.
+
+    A report that carries one kind of value leaves the others as they were.
+    """
+    newest = updates.groupBy("ib_id").agg(
+        _newest(["status"])["status"].alias("_status"),
+        _newest(["traded_price"])["traded_price"].alias("_price"),
+        _newest(["new_date", "new_trailing"]).alias("_move"),
+    )
+    merged = orders.join(newest, "ib_id", "left")
+    moved = F.col("_move.new_date").isNotNull()
+    old_price = F.col("traded_price") if "traded_price" in orders.columns else F.lit(None).cast("double")
     return merged.withColumns(
         {
-            "ib_status": F.when(~moved & keep.isNotNull(), keep).otherwise(F.col("ib_status")),
-            "trailing_percent": F.when(moved, F.col("new_trailing")).otherwise(F.col("trailing_percent")),
-            "date": F.coalesce("new_date", "date"),
+            "ib_status": F.coalesce("_status", "ib_status"),
+            "traded_price": F.coalesce(F.col("_price"), old_price),
+            "trailing_percent": F.when(moved, F.col("_move.new_trailing")).otherwise(F.col("trailing_percent")),
+            "date": F.coalesce("_move.new_date", "date"),
         }
-    ).drop("status", "new_date", "new_trailing")
+    ).drop("_status", "_price", "_move")
 
 
 # --- instructions -------------------------------------------------------------------
@@ -385,10 +399,10 @@ def upsert_instructions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def status_update(instructions: DataFrame, feed: DataFrame) -> DataFrame:
-    """Newest status report per instruction: status, stored status, fill price, broker id."""
+    """Newest reported status, fill price and broker id per instruction; a report without one leaves it be."""
     fields = ["status", "new_fill_price", "new_ib_id"]
-    newest = feed.groupBy("instruction_id").agg(F.max_by(F.struct(*fields), F.struct("event_time", *fields)).alias("_s"))
-    merged = instructions.join(newest.select("instruction_id", "_s.*"), "instruction_id", "left")
+    newest = feed.groupBy("instruction_id").agg(*[_newest([name])[name].alias(name) for name in fields])
+    merged = instructions.join(newest, "instruction_id", "left")
     return merged.withColumns(
         {
             "order_status": F.coalesce("status", "order_status"),

@@ -155,15 +155,29 @@ class Trailing:
         return self.ordered.rowsBetween(1 - n, 0)
 
     def with_means(self, rows: DataFrame, source: str, targets: dict[str, int]) -> DataFrame:
-        """Mean of the last n values, of all so far where there are fewer."""
-        running = F.sum(source).over(self.ordered.rowsBetween(Window.unboundedPreceding, 0))
+        """Mean of the last n rows' values, of all so far where there are fewer.
+
+        As with a plain average, nulls are left out, a frame of nulls gives null, and a frame with a NaN gives NaN.
+        """
+        before = self.ordered.rowsBetween(Window.unboundedPreceding, 0)
+        value, odd = F.col(source), F.lit(False)
+        if dict(rows.dtypes)[source] in ("double", "float"):
+            odd = F.coalesce(F.isnan(value), F.lit(False))
+            value = F.when(odd, F.lit(0).cast(dict(rows.dtypes)[source])).otherwise(value)
+
+        def inside(name: str, n: int) -> Column:
+            return F.col(name) - F.coalesce(F.lag(name, n).over(self.ordered), F.lit(0))
 
         def mean(n: int) -> Column:
-            before = F.coalesce(F.lag("_sum", n).over(self.ordered), F.lit(0))
-            return (F.col("_sum") - before) / F.least(F.col("seq") + 1, F.lit(n))
+            plain = F.when(inside("_n", n) > 0, inside("_sum", n) / inside("_n", n))
+            return F.when(inside("_nan", n) > 0, F.lit(float("nan"))).otherwise(plain)
 
-        summed = rows.withColumn("_sum", running)
-        return summed.withColumns({name: mean(n) for name, n in targets.items()}).drop("_sum")
+        running = {
+            "_sum": F.coalesce(F.sum(value).over(before), F.lit(0)),
+            "_n": F.count(source).over(before),
+            "_nan": F.sum(odd.cast("int")).over(before),
+        }
+        return rows.withColumns(running).withColumns({name: mean(n) for name, n in targets.items()}).drop(*running)
 
     def with_extremes(self, rows: DataFrame, n: int, highest: dict[str, str], lowest: dict[str, str]) -> DataFrame:
         """Maximum (``target: source``) and minimum of the last n values.

@@ -11,13 +11,22 @@ from barloom.session import fresh_path
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str, name: str | None = None, **options: str) -> DataFrame:
-    """Parquet files of a folder as a stream; ``name`` picks files by pattern."""
+    """Parquet files of a folder as a stream; ``name`` picks files by pattern, or a table that is a folder itself."""
     reader = spark.readStream.schema(schema).options(**options)
     if name:
+        if is_folder(spark, f"{folder}/{name}"):
+            return reader.parquet(f"{folder}/{name}")
         reader = reader.option("pathGlobFilter", name)
     return reader.parquet(folder)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Asked of the path's own file system, which need not be a local one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(place) and files.getFileStatus(place).isDirectory()
+
+
 def kafka_stream(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
     """Tick messages of a Kafka topic; needs the Kafka package on the cluster."""
     return (
