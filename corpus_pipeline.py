@@ -10,14 +10,11 @@ from barloom.llm.common import table, text_key
 from barloom.llm.queries import learned_languages, vocabulary
 from barloom.sources.stage import stage
 
-LEAST_SHARE = 0.5
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which one language has at least half; those without a letter, and null texts, go."""
+    """Documents whose language is known; those without a letter, and null texts, go. Mixtures stay."""
     found = language_id.identify(docs, learned_languages(spark, sf_dir), new_col="__language")
-    kept = (F.col("__language.lang") != language_id.UNKNOWN) & (F.col("__language.score") >= LEAST_SHARE)
-    return found.filter(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.filter(F.col("__language.lang") != language_id.UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
