@@ -24,6 +24,7 @@ K = 10
 SHARD_ROWS = 1 << 17
 BLOCK_ROWS = 1 << 15
 LEAST_PARTS = 8
+MOST_TASKS = 1 << 15
 QUERY_STEP = 64
 
 
@@ -183,9 +184,12 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return found(q, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]), left, right)
 
     # A query row is known by its id and its code, equal rows by one of them.
+    # The search costs time and not bytes, so its tasks are counted by cells and not by their size.
+    tasks = min(shards * blocks, MOST_TASKS)
+    once = dealt.dropDuplicates(["shard", "id", "code"])
     near = (
-        data.groupBy("shard", "block")
-        .cogroup(dealt.dropDuplicates(["shard", "id", "code"]).groupBy("shard", "block"))
+        data.repartition(tasks, "shard", "block").groupBy("shard", "block")
+        .cogroup(once.repartition(tasks, "shard", "block").groupBy("shard", "block"))
         .applyInArrow(best, f"query_id {query_kind}, neighbor_id {id_kind}, distance long")
     )
     ranked = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
