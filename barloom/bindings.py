@@ -203,12 +203,6 @@ def day_orders(spark, sf_dir) -> DataFrame:
     return brackets(spark, sf_dir).withColumns({"fill_price": fill, "ib_status": status})
 
 
-def rare_orders(spark, sf_dir) -> DataFrame:
-    """Orders of the large ticks alone: about one bracket per ticker and day, as the
-    position limits expect."""
-    return day_orders(spark, sf_dir).where(F.col("last_close") > 200)
-
-
 def live_bars(spark, sf_dir) -> DataFrame:
     """Bars with signals, predictions and benchmark trend, as the live table has them."""
     source = prepared(spark, sf_dir)

@@ -154,16 +154,33 @@ CTES = {
     "last_pos": """SELECT ticker, day, max(CASE WHEN order_type = 'MKT' THEN fill_price END) AS market_fill,
         max(CASE WHEN order_type = 'TAKE PROFIT' THEN fill_price END) AS limit_fill, max(CASE WHEN order_type = 'STOP LOSS' THEN fill_price END) AS stop_fill
       FROM newest3 GROUP BY 1, 2""",
-    "rare_state": """SELECT ticker, day, count(*) AS orders, count(*) FILTER (WHERE order_type = 'TAKE PROFIT') AS limit_orders,
-        count(*) FILTER (WHERE order_type = 'STOP LOSS') AS stop_orders, CAST(count(*) // 3 AS INTEGER) AS positions FROM dto WHERE last_close > 200 GROUP BY 1, 2""",
-    "rare_last": """SELECT ticker, day, max(CASE WHEN order_type = 'TAKE PROFIT' THEN fill_price END) AS limit_fill, max(CASE WHEN order_type = 'STOP LOSS' THEN fill_price END) AS stop_fill
-      FROM (SELECT *, row_number() OVER (PARTITION BY ticker, day ORDER BY ib_id DESC) AS rank FROM dto WHERE last_close > 200) WHERE rank <= 3 GROUP BY 1, 2""",
-    "gate": """SELECT s.ticker, s.day, tp.action, tp.strategy, s.positions, CASE
+    "minute_orders": """SELECT m.ticker, m.day, m.since, o.order_type, o.fill_price, row_number() OVER (PARTITION BY m.ticker, m.day, m.since ORDER BY o.ib_id DESC) AS rank
+      FROM (SELECT DISTINCT ticker, day, CASE WHEN date_trunc('minute', date) = date THEN date ELSE date_trunc('minute', date) + INTERVAL 1 MINUTE END AS since FROM dto) m
+      JOIN dto o ON o.ticker = m.ticker AND o.day = m.day AND o.date <= m.since""",
+    "minute_state": """SELECT ticker, day, since, count(*) AS orders, count(*) FILTER (WHERE order_type = 'TAKE PROFIT') AS limit_orders,
+        count(*) FILTER (WHERE order_type = 'STOP LOSS') AS stop_orders, CAST(count(*) // 3 AS INTEGER) AS positions,
+        max(CASE WHEN rank <= 3 AND order_type = 'TAKE PROFIT' THEN fill_price END) AS limit_fill,
+        max(CASE WHEN rank <= 3 AND order_type = 'STOP LOSS' THEN fill_price END) AS stop_fill
+      FROM minute_orders GROUP BY ticker, day, since""",
+    "gate": """SELECT s.ticker, s.day, s.since, tp.action, tp.strategy, s.positions, CASE
         WHEN orders > coalesce(stop_trades * 3, 6) + coalesce(limit_trades * 3, 3) THEN true
         WHEN limit_fill IS NOT NULL THEN orders <> 3 AND limit_orders >= coalesce(limit_trades * 3, 3)
         WHEN stop_fill IS NOT NULL THEN orders <> 3 AND stop_orders >= coalesce(stop_trades * 3, 6)
         ELSE true END AS blocked
-      FROM rare_state s JOIN rare_last l ON l.ticker = s.ticker AND l.day = s.day JOIN tp ON tp.ticker = s.ticker""",
+      FROM minute_state s JOIN tp ON tp.ticker = s.ticker""",
+    "bar_orders": """SELECT b.ticker, b.date, o.order_type, o.fill_price, row_number() OVER (PARTITION BY b.ticker, b.date ORDER BY o.ib_id DESC) AS rank
+      FROM (SELECT DISTINCT ticker, day, date FROM acted) b JOIN dto o ON o.ticker = b.ticker AND o.day = b.day AND o.date <= b.date""",
+    "bar_state": """SELECT ticker, date, count(*) AS orders, count(*) FILTER (WHERE order_type = 'TAKE PROFIT') AS limit_orders,
+        count(*) FILTER (WHERE order_type = 'STOP LOSS') AS stop_orders, CAST(count(*) // 3 AS INTEGER) AS positions,
+        max(CASE WHEN rank <= 3 AND order_type = 'TAKE PROFIT' THEN fill_price END) AS limit_fill,
+        max(CASE WHEN rank <= 3 AND order_type = 'STOP LOSS' THEN fill_price END) AS stop_fill
+      FROM bar_orders GROUP BY ticker, date""",
+    "bar_gate": """SELECT s.ticker, s.date, tp.action, tp.strategy, CASE
+        WHEN orders > coalesce(stop_trades * 3, 6) + coalesce(limit_trades * 3, 3) THEN true
+        WHEN limit_fill IS NOT NULL THEN orders <> 3 AND limit_orders >= coalesce(limit_trades * 3, 3)
+        WHEN stop_fill IS NOT NULL THEN orders <> 3 AND stop_orders >= coalesce(stop_trades * 3, 6)
+        ELSE true END AS blocked
+      FROM bar_state s JOIN tp ON tp.ticker = s.ticker""",
     "daily": """SELECT l_suppkey AS ticker, l_shipdate AS date,
         arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_extendedprice)) AS open, max(l_extendedprice / l_quantity) AS high,
         min(l_extendedprice / l_quantity) AS low, arg_max(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_extendedprice)) AS close,

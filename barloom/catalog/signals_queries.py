@@ -57,21 +57,21 @@ def w19(spark, d):
     return ss.last_position(b.day_orders(spark, d))
 
 
-@query("o02_position_gate", "SELECT ticker, day, action, strategy, positions, blocked FROM gate")
+@query("o02_position_gate", "SELECT ticker, day, since, action, strategy, positions, blocked FROM gate")
 def o02(spark, d):
-    return ss.position_gate(b.rare_orders(spark, d), b.params(spark, d))
+    return ss.position_gate(b.day_orders(spark, d), b.params(spark, d))
 
 
 @query(
     "p17_entry_signal",
-    """SELECT c.ticker, c.date, c.action, c.strategy, c.close FROM conditions c LEFT JOIN gate g ON g.ticker = c.ticker AND g.day = c.day AND g.action = c.action AND g.strategy = c.strategy
+    """SELECT c.ticker, c.date, c.action, c.strategy, c.close FROM conditions c LEFT JOIN bar_gate g ON g.ticker = c.ticker AND g.date = c.date AND g.action = c.action AND g.strategy = c.strategy
     WHERE performance AND NOT coalesce(blocked, false) AND breakaway AND (c.benchmark_negative IS NULL OR c.benchmark_positive IS NULL OR with_benchmark)
       AND (NOT (coalesce(allow_high_delta, false) OR coalesce(allow_low_delta, false) OR coalesce(allow_high_stop, false) OR coalesce(allow_low_stop, false))
         OR CASE WHEN c.strategy = 'trend' THEN trend_ml ELSE correction_ml END)""",
 )
 def p17(spark, d):
-    gate = ss.position_gate(b.rare_orders(spark, d), b.params(spark, d))
-    return ss.entry_signals(b.live_bars(spark, d), b.params(spark, d), gate)
+    states = ss.states_by_day(ss.order_states(b.day_orders(spark, d)))
+    return ss.entry_signals(b.live_bars(spark, d), b.params(spark, d), states)
 
 
 @query("o01_bracket_orders", f"SELECT {ORDER}, sec_type, tif FROM brackets")
@@ -92,8 +92,9 @@ def j15(spark, d):
     return oo.with_entry(b.day_orders(spark, d)).select("ib_id", "oca_group", "entry_price", "entry_date")
 
 
-LAST = "(SELECT ticker, arg_max(close, date) AS last_price, arg_max_null(low_stop, date) AS low_stop, arg_max_null(high_stop, date) AS high_stop FROM livebars GROUP BY 1)"
-EXIT = f"""FROM (SELECT e.*, CASE WHEN action = 'BUY' THEN 'sell' ELSE 'buy' END AS side FROM entries e WHERE ib_status IS NULL) o
+NOW = "TIMESTAMP '2024-01-16 12:00:00'"
+LAST = f"(SELECT ticker, arg_max(close, date) AS last_price, arg_max_null(low_stop, date) AS low_stop, arg_max_null(high_stop, date) AS high_stop FROM livebars WHERE date <= {NOW} GROUP BY 1)"
+EXIT = f"""FROM (SELECT e.*, CASE WHEN action = 'BUY' THEN 'sell' ELSE 'buy' END AS side FROM entries e WHERE ib_status IS NULL AND date <= {NOW}) o
   JOIN tp ON tp.ticker = o.ticker AND tp.strategy = o.signal_id AND tp.action = o.side LEFT JOIN {LAST} l ON l.ticker = o.ticker"""
 TRAIL = "coalesce(floor((CASE WHEN side = 'buy' THEN (1 - trail_percent) * 100 ELSE (trail_percent - 1) * 100 END) * 1e2 + 0.5) / 1e2, 2.0)"
 

@@ -79,16 +79,16 @@ def t05(spark, d):
 
 @query(
     "t06_signal_stream",
-    """SELECT c.ticker, c.date, c.action, c.strategy, c.close FROM conditions c LEFT JOIN gate g ON g.ticker = c.ticker AND g.day = c.day AND g.action = c.action AND g.strategy = c.strategy
+    """SELECT c.ticker, c.date, c.action, c.strategy, c.close FROM conditions c LEFT JOIN bar_gate g ON g.ticker = c.ticker AND g.date = c.date AND g.action = c.action AND g.strategy = c.strategy
     WHERE performance AND NOT coalesce(blocked, false) AND breakaway AND (c.benchmark_negative IS NULL OR c.benchmark_positive IS NULL OR with_benchmark)
       AND (NOT (coalesce(allow_high_delta, false) OR coalesce(allow_low_delta, false) OR coalesce(allow_high_stop, false) OR coalesce(allow_low_stop, false))
         OR CASE WHEN c.strategy = 'trend' THEN trend_ml ELSE correction_ml END)""",
 )
 def t06(spark, d):
     params = stage(b.params(spark, d), "params")
-    gate = stage(ss.position_gate(b.rare_orders(spark, d), params), "gate")
+    states = stage(ss.states_by_day(ss.order_states(b.day_orders(spark, d))), "states")
     stream = _as_stream(b.live_bars(spark, d), "live")
-    return run_to_table(ss.entry_signals(stream, params, gate), "signals")[0]
+    return run_to_table(ss.entry_signals(stream, params, states), "signals")[0]
 
 
 @query("t08_late_data", f"SELECT {BAR} FROM minutes WHERE date >= TIMESTAMP '2024-01-16' AND date + INTERVAL 1 MINUTE <= {MARK}")

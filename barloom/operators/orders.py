@@ -172,9 +172,10 @@ def adjust_stops(orders: DataFrame, bars: DataFrame, params: DataFrame, now: Col
     """New trailing percent of working stops, null where it stays.
 
     Outside the session, or after a fast move against the entry, the stop closes in; an
-    old stop above its minimum is halved.
+    old stop above its minimum is halved. Orders and bars after ``now`` are not seen.
     """
-    entered = _with_market(with_entry(orders), bars, [])
+    known = F.col("date") <= now
+    entered = _with_market(with_entry(orders.where(known)), bars.where(known), [])
     stops = _with_params(working_orders(of_type(entered, c.STOP)), params)
     half = 1 + pp.trail_percent(F.col("action")) / 100 / 2
     fast = F.when(F.col("exit_action") == "SELL", _ratio_above("entry_price", "last_price", half)).otherwise(
@@ -195,10 +196,11 @@ def adjust_limits(orders: DataFrame, bars: DataFrame, params: DataFrame, now: Co
     """New price of working profit limits, null where it stays.
 
     In order: in profit and old enough, predicted to stop out, not at the price that the
-    entry fill calls for.
+    entry fill calls for. Orders and bars after ``now`` are not seen.
     """
+    known = F.col("date") <= now
     entered = _with_market(
-        with_entry(orders), bars, [F.col("low_stop").alias("bar_low_stop"), F.col("high_stop").alias("bar_high_stop")]
+        with_entry(orders.where(known)), bars.where(known), [F.col("low_stop").alias("bar_low_stop"), F.col("high_stop").alias("bar_high_stop")]
     )
     limits = _with_params(working_orders(of_type(entered, c.LIMIT)), params)
     sells = F.col("exit_action") == "SELL"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom import constants as c
@@ -71,47 +71,97 @@ def stop_result(action, stop_fill, entry_fill):
     return F.when(stop_fill.isNotNull(), F.when(ahead, F.lit("profit")).otherwise(F.lit("loss")))
 
 
-def position_gate(orders: DataFrame, params: DataFrame) -> DataFrame:
-    """``blocked`` per ticker, day, action and strategy; needs parsed parameters."""
-    state = positions_per_day(orders).join(last_position(orders), BY_DAY)
-    limits = params.select(
-        *pp.KEY, pp.stop_rows().alias("stop_rows"), pp.limit_rows().alias("limit_rows")
+def order_states(orders: DataFrame) -> DataFrame:
+    """Counts and newest fills of a ticker's orders of a day, up to each time that has new ones.
+
+    ``since`` is the full minute from which the row holds. Bars start at full minutes, so none
+    sees a later order, and a day has at most 1,440 rows whatever its orders.
+    """
+    minute = F.date_trunc("minute", "date").cast("timestamp_ntz")
+    since = F.when(minute == F.col("date"), minute).otherwise(minute + F.expr("INTERVAL 1 MINUTE"))
+    dated = orders.withColumns({"day": day_of(), "since": since})
+    key = [*BY_DAY, "since"]
+
+    def of(kind: str):
+        return F.count_if(F.col("order_type") == kind)
+
+    counts = dated.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("orders"), of(c.LIMIT).alias("limit_orders"), of(c.STOP).alias("stop_orders")
     )
-    keyed = state.join(limits, "ticker")
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ib_id")))
+    newest = (
+        dated.withColumn("_rank", rank)
+        .where(F.col("_rank") <= c.ROWS_PER_POSITION)
+        .groupBy(*key)
+        .agg(F.collect_list(F.struct("ib_id", "order_type", "fill_price")).alias("_new"))
+    )
+    so_far = Window.partitionBy(*BY_DAY).orderBy("since").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.slice(F.sort_array(F.flatten(F.collect_list("_new").over(so_far)), asc=False), 1, c.ROWS_PER_POSITION)
+
+    def fill(kind: str):
+        return F.get(F.filter("_last", lambda o: o["order_type"] == kind), F.lit(0))["fill_price"]
 
-    def used_up(count: str, allowed: str):
+    return (
+        counts.join(newest, key)
+        .withColumn("_last", last)
+        .select(
+            *key,
+            *[F.sum(name).over(so_far).alias(name) for name in ("orders", "limit_orders", "stop_orders")],
+            fill(c.LIMIT).alias("limit_fill"),
+            fill(c.STOP).alias("stop_fill"),
+        )
+        .withColumn("positions", F.floor(F.col("orders") / c.ROWS_PER_POSITION).cast("int"))
+    )
+
+
+def _blocked() -> Column:
+    """Whether the orders so far keep a new position out; needs an order state and parsed parameters."""
+
+    def used_up(count: str, allowed: Column):
         first = F.col("orders") == c.ROWS_PER_POSITION
-        return (F.col(allowed) == 1) | (~first & (F.col(count) >= F.col(allowed)))
+        return (allowed == 1) | (~first & (F.col(count) >= allowed))
 
-    blocked = (
-        F.when(F.col("orders") > F.col("stop_rows") + F.col("limit_rows"), F.lit(True))
-        .when(F.col("limit_fill").isNotNull(), used_up("limit_orders", "limit_rows"))
-        .when(F.col("stop_fill").isNotNull(), used_up("stop_orders", "stop_rows"))
+    return (
+        F.when(F.col("orders") > pp.stop_rows() + pp.limit_rows(), F.lit(True))
+        .when(F.col("limit_fill").isNotNull(), used_up("limit_orders", pp.limit_rows()))
+        .when(F.col("stop_fill").isNotNull(), used_up("stop_orders", pp.stop_rows()))
         .otherwise(F.lit(True))
     )
-    return keyed.select(*BY_DAY, "action", "strategy", "positions", blocked.alias("blocked"))
+
+
+def position_gate(orders: DataFrame, params: DataFrame) -> DataFrame:
+    """``blocked`` from each time on, per ticker, action and strategy; needs parsed parameters."""
+    keyed = order_states(orders).join(params.select(*pp.KEY, "stop_trades", "limit_trades"), "ticker")
+    return keyed.select(*BY_DAY, "since", "action", "strategy", "positions", _blocked().alias("blocked"))
 
 
 # --- entry --------------------------------------------------------------------------
 
 
-def entry_signals(bars: DataFrame, params: DataFrame, gate: DataFrame) -> DataFrame:
+def states_by_day(states: DataFrame) -> DataFrame:
+    """Order states of a ticker and day in one array, by time."""
+    names = [name for name in states.columns if name not in (*BY_DAY, "since")]
+    return states.groupBy(*BY_DAY).agg(F.sort_array(F.collect_list(F.struct("since", *names))).alias("_states"))
+
+
+def entry_signals(bars: DataFrame, params: DataFrame, states: DataFrame) -> DataFrame:
     """Bars that open a position, per action of their ticker.
 
     Needs the bar's close, prev_day_close, buy_signal, sell_signal, predictions and
-    benchmark_trend.
+    benchmark_trend. ``states`` are those of ``states_by_day``; a bar sees the orders up to
+    its own time. A bar before the day's first order is not held back.
     """
     allowed = permissions(performance_gate(params))
     sides = allowed.select("ticker", "action").distinct().groupBy("ticker").agg(F.collect_set("action").alias("_actions"))
     acted = spread_join(bars, sides, ["ticker"], ["date"]).withColumn("action", F.explode("_actions")).drop("_actions")
     tagged = acted.withColumns({"strategy": strategy_of(F.col("action")), "day": day_of()})
-    keyed = pp.attach_params(tagged, allowed).join(
-        gate.select(*BY_DAY, "action", "strategy", "blocked"), [*BY_DAY, "action", "strategy"], "left"
-    )
+    keyed = pp.attach_params(tagged, allowed).join(states, BY_DAY, "left")
+    seen = F.filter("_states", lambda state: state["since"] <= F.col("date"))
+    keyed = keyed.withColumn("_state", F.try_element_at(seen, F.lit(-1))).select("*", "_state.*")
     ml = F.when(F.col("strategy") == "trend", cond.trend_ml_condition()).otherwise(cond.correction_ml_condition())
     return keyed.where(
         F.col("performance")
-        & ~F.coalesce("blocked", F.lit(False))
+        & (F.col("_state").isNull() | ~_blocked())
         & cond.breakaway_signal()
         & (~pp.uses_ml("allow_") | ml)
         & (~pp.uses_benchmark() | cond.benchmark_condition())

@@ -138,7 +138,7 @@ def orders(spark, fills=(50.0, None, None), status=("filled", None, None)):
 
 
 def last_bar(spark, close, low_stop=None, high_stop=None):
-    return spark.createDataFrame([("A", at("2024-01-02 15:30:00"), close, low_stop, high_stop)], "ticker string, date timestamp_ntz, close double, low_stop boolean, high_stop boolean")
+    return spark.createDataFrame([("A", at("2024-01-02 15:05:00"), close, low_stop, high_stop)], "ticker string, date timestamp_ntz, close double, low_stop boolean, high_stop boolean")
 
 
 def _now(text):
@@ -228,7 +228,7 @@ def test_conditions_and_entry(spark):
         base = dict(close=11.0, prev_day_close=10.0, buy_signal=True, sell_signal=False, high_delta=None, low_delta=None, high_stop=None, low_stop=None, benchmark_trend=None)
         base.update(bar)
         df = spark.createDataFrame([("A", when, *base.values())], schema)
-        none = ss.position_gate(orders(spark).where("false"), p)
+        none = ss.states_by_day(ss.order_states(orders(spark).where("false")))
         return ss.entry_signals(df, p, none).count()
 
     assert entries(params(spark)) == 1
@@ -244,6 +244,34 @@ def test_conditions_and_entry(spark):
     assert entries(params(spark, benchmark_negative=-1.0, benchmark_positive=1.0), benchmark_trend=True) == 1
 
 
+def test_orders_after_the_bar_do_not_block_it(spark):
+    bar = spark.createDataFrame(
+        [("A", at(f"2024-01-02 {hour}:00:00"), 11.0, 10.0, True, False, None, None, None, None, None) for hour in ("10", "14", "15", "16")],
+        "ticker string, date timestamp_ntz, close double, prev_day_close double, buy_signal boolean, sell_signal boolean, high_delta boolean, "
+        "low_delta boolean, high_stop boolean, low_stop boolean, benchmark_trend boolean",
+    )
+
+    def hours(time):
+        placed = orders(spark).withColumn("date", F.lit(f"2024-01-02 {time}").cast("timestamp_ntz"))
+        states = ss.states_by_day(ss.order_states(placed))
+        return [r["date"].hour for r in ss.entry_signals(bar, params(spark), states).orderBy("date").collect()]
+
+    assert hours("15:00:00") == [10, 14]
+    assert hours("15:00:00.000001") == [10, 14, 15]
+    assert hours("09:59:59") == []
+
+
+def test_newest_bracket_decides_over_the_day(spark):
+    first = orders(spark, (50.0, 49.0, None)).withColumn("date", F.lit("2024-01-02 10:00:00").cast("timestamp_ntz"))
+    # the later bracket has the smaller ids, so the first stays the newest
+    later = orders(spark).withColumns({"ib_id": F.col("ib_id") - 10, "date": F.lit("2024-01-02 11:30:30").cast("timestamp_ntz")})
+    rows = ss.order_states(first.unionByName(later)).orderBy("since").collect()
+    assert [(str(r["since"]), r["orders"], r["stop_orders"], r["stop_fill"], r["limit_fill"], r["positions"]) for r in rows] == [
+        ("2024-01-02 10:00:00", 3, 1, 49.0, None, 1),
+        ("2024-01-02 11:31:00", 6, 2, 49.0, None, 2),
+    ]
+
+
 def test_params_defaults(spark):
     p = params(spark, stop_trades=None, limit_trades=None, trail_percent=None, limit_price=None, limit_time=None, min_trail_percent=None)
     buy = F.lit("BUY")
