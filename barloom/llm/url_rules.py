@@ -23,6 +23,8 @@ SUPPORT = 0.001
 LEAST_ROWS = 10
 CONFIDENCE = 0.6
 SAMPLE_ROWS = 1_000_000
+HOT_SETS = 1000
+SALTS = 256
 
 
 @dataclass(frozen=True)
@@ -152,21 +154,28 @@ def judge(pages: DataFrame, mined: DataFrame, rules: Sequence[Rule] = RULES, url
     The longest listed rule that fits decides; without one the surest mined rule blocks, else the address
     is allowed. A null address, or one without `://`, has an empty host and path, fits no listed rule and is
     allowed unless its tokens say otherwise. Each distinct set of tokens is matched once, however many rows
-    have it; repeated rows are judged alike. A column named `judged` is replaced.
+    have it; a set with over a thousandth of the rows is dealt over many tasks; repeated rows are judged alike. A column named `judged` is replaced.
     """
     rest = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != "judged"]).alias("row")
     rows = pages.select(rest, tokens_of(F.col(f"`{url_col}`")).alias("tokens"))
-    sets = rows.select("tokens").distinct()
+    sets = stage(rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("n")), "token_sets")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    # At most HOT_SETS - 1 sets can hold so many rows; the rows of these are dealt over SALTS tasks.
+    often = sets.filter(F.col("n") * HOT_SETS > total).select(F.xxhash64("tokens").alias("hash")).distinct()
+    hot = F.xxhash64("tokens").isin([r["hash"] for r in often.collect()])
+    salted = rows.withColumn("salt", F.when(hot, F.monotonically_increasing_id() % SALTS).otherwise(F.lit(0)))
     matched = (
         sets.select("tokens", F.explode("tokens").alias("key"))
         .join(mined.select(F.col("tokens").alias("rule"), "confidence", "key"), "key")
         .filter(F.size(F.array_except("rule", "tokens")) == 0)
         .groupBy("tokens")
         .agg(F.max("confidence").alias("confidence"))
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(hot, F.lit(SALTS - 1)).otherwise(F.lit(0)))))
+        .withColumn("salt", F.col("salt").cast("long"))
     )
     url = F.col("row").getField(url_col)
     text, verdict = listed(rules, F.col("host"), F.col("path"))
-    out = rows.join(matched, "tokens", "left").select("row", "confidence", host_of(url).alias("host"), path_of(url).alias("path"))
+    out = salted.join(matched, ["tokens", "salt"], "left").select("row", "confidence", host_of(url).alias("host"), path_of(url).alias("path"))
     fallback = F.when(F.col("confidence").isNotNull(), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
     judged = F.struct(
         "host", "path", text.alias("rule"), F.coalesce(verdict, fallback).alias("verdict"), F.col("confidence").alias("confidence")
