@@ -49,7 +49,8 @@ class Search:
 
 
 def assembler() -> VectorAssembler:
-    return VectorAssembler(inputCols=INPUTS, outputCol="features", handleInvalid="skip")
+    """Missing inputs become NaN, so that no row is lost."""
+    return VectorAssembler(inputCols=INPUTS, outputCol="features", handleInvalid="keep")
 
 
 def assemble_features(rows: DataFrame) -> DataFrame:
@@ -57,7 +58,17 @@ def assemble_features(rows: DataFrame) -> DataFrame:
 
 
 def feature_arrays(rows: DataFrame) -> DataFrame:
-    return assemble_features(rows).withColumn("features", vector_to_array("features"))
+    """Features as arrays, null where an input is missing."""
+    values = vector_to_array("features")
+    return assemble_features(rows).withColumn("features", F.transform(values, lambda x: F.when(~F.isnan(x), x)))
+
+
+def inputs_known() -> Column:
+    """Whether no input is null or NaN."""
+    known = F.lit(True)
+    for name in INPUTS:
+        known = known & F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
+    return known
 
 
 def searches(long_rows: DataFrame, tickers: Sequence[str] = (), min_each: int = MIN_EACH) -> list[Search]:
@@ -71,7 +82,7 @@ def searches(long_rows: DataFrame, tickers: Sequence[str] = (), min_each: int =
     if tickers:
         long_rows, keys = long_rows.where(F.col("ticker").isin(*tickers)), [*keys, "ticker"]
     counts = (
-        long_rows.where(F.col("value").isNotNull())
+        long_rows.where(F.col("value").isNotNull() & inputs_known())
         .groupBy(*keys)
         .agg(F.count_if("value").alias("yes"), F.count_if(~F.col("value")).alias("no"))
         .where(F.least("yes", "no") >= min_each)
@@ -116,11 +127,12 @@ def train_classifiers(
     """Fit every search, store the best model under ``root``, return the registry rows.
 
     ``long_rows`` should be a stored table, best partitioned by action, strategy and
-    period, so that a search reads only its own rows.
+    period, so that a search reads only its own rows. Rows with a missing label or input do
+    not train.
     """
 
     def fit(search: Search):
-        data = long_rows.where(search.rows() & (F.col("label") == search.label)).select(
+        data = long_rows.where(search.rows() & (F.col("label") == search.label) & F.col("value").isNotNull() & inputs_known()).select(
             F.col("value").cast("int").alias("label"), *INPUTS
         )
         fitted = _model_search(seed, parallelism).fit(data)
@@ -168,8 +180,9 @@ def score(rows: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def _predict(rows: DataFrame, model: PipelineModel, label: str) -> DataFrame:
+    """A row with a missing input stays, with a null prediction."""
     scored = model.transform(rows)
-    return scored.withColumn(label, F.col("prediction") > 0).drop("features", "rawPrediction", "probability", "prediction")
+    return scored.withColumn(label, F.when(inputs_known(), F.col("prediction") > 0)).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def drop_excepted(scored: DataFrame, conflict_dates: DataFrame) -> DataFrame:

@@ -3,7 +3,10 @@
 import math
 
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
 
+from barloom.operators import learning
 from barloom.operators.orders import apply_order_updates, status_update
 from barloom.operators.series import Trailing
 from barloom.streaming.runs import file_stream, run_to_table
@@ -58,3 +61,16 @@ def test_stream_of_a_folder_table_equals_that_of_a_file(spark, tmp_path):
     stream = file_stream(spark, str(tmp_path), "id long, twice long", "events.parquet")
     out, _ = run_to_table(stream, "copy", str(tmp_path / "out"))
     assert out.count() == 100
+
+
+def test_rows_with_missing_inputs_stay_in_scoring(spark):
+    rows = spark.createDataFrame(
+        [(1, 0.1, 0.2, 0.3, 0), (2, 0.9, 0.8, 0.7, 1), (3, None, 0.2, 0.3, 0), (4, 0.1, math.nan, 0.3, 1)],
+        "id int, volume_delta double, open_delta double, benchmark_delta double, label int",
+    )
+    chain = Pipeline(stages=[learning.assembler(), LogisticRegression(maxIter=5)])
+    model = chain.fit(rows.where(learning.inputs_known()))
+    found = {r["id"]: r["high_delta"] for r in learning._predict(rows, model, "high_delta").collect()}
+    assert found == {1: False, 2: True, 3: None, 4: None}
+    arrays = {r["id"]: r["features"] for r in learning.feature_arrays(rows).collect()}
+    assert arrays[3] == [None, 0.2, 0.3] and arrays[4] == [0.1, None, 0.3] and arrays[1] == [0.1, 0.2, 0.3]
