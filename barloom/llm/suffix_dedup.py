@@ -3,8 +3,10 @@
 Places chosen by content (the least gram hash of every half length) stand for all strings: a string of
 `length` bytes and its copy have one at the same place. Only places whose next bytes occur twice are
 looked at further. What lies around them is cut out once for all its equal copies, dealt into
-cells by those bytes, and searched there by merging transforms. A cell that many different
-surroundings share is split by longer stretches, so no task holds an unbounded group.
+cells by those bytes, and searched there by merging transforms. In a cell that many different
+surroundings share, those equal under all its windows are counted and go on as one, and what is left is
+split by longer stretches, down to single places, which counting decides. So no search holds more than
+`cell_rows` rows of a cell.
 """
 
 from __future__ import annotations
@@ -81,8 +83,8 @@ def remove_repeats(
     All strings are judged on the input. Null and empty texts have 0 bytes, and texts shorter than the length
     are kept whole. Repeated rows are copies of each other, so all of them lose such strings. Overlapping
     copies count. Matches never cross rows. Null ids pass through; other columns are not read; an empty
-    table stays empty. Stretches that fill whole surroundings are told apart by two 64-bit hashes of
-    different bases.
+    table stays empty. Stretches that fill whole surroundings, or all windows of a large cell, are told apart
+    by two 64-bit hashes.
     """
     half = length // 2
     core = length - half + 1
@@ -159,18 +161,40 @@ def remove_repeats(
         cut, "g long, f long, la int, ra int, n long, cell long, low int, high int, left int, piece binary"
     )
 
-    # While a cell has too many rows, it is split by the longer stretches of each half of its places.
-    ready = None
-    while True:
-        cells = stage(cells, "cells")
-        counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("low").alias("from"), F.max("high").alias("to"))
-        # A row alone in its cell repeats nothing there.
-        counts = counts.filter(F.col("rows") > 1)
-        large = stage(counts.filter((F.col("rows") > cell_rows) & (F.col("to") - F.col("from") > 1)).select("cell"), "large")
-        fit = cells.join(counts.select("cell"), "cell", "left_semi").join(large, "cell", "left_anti")
-        ready = fit if ready is None else ready.unionByName(fit)
-        if large.isEmpty():
-            break
+    cells = stage(cells, "cells")
+    # Rows that are alone in their cell, or all decided already, ask nothing there.
+    counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
+    counts = counts.filter((F.col("rows") > 1) & (F.col("least") == 1))
+    large = stage(counts.filter(F.col("rows") > cell_rows).select("cell"), "large")
+    ready = cells.join(large, "cell", "left_anti").join(counts.select("cell"), "cell", "left_semi")
+    # Of a cell with too many rows, those with equal bytes under all windows of its places decide each other and
+    # go on as one row. What stays too large is split by the longer stretches of each half of its places. The
+    # windows of one place are the whole cell, so nothing is left to search there.
+    decided = None
+    split = cells.join(large, "cell", "left_semi")
+    while not large.isEmpty():
+        before, after = F.least("la", F.col("high") - 1), F.least(core + F.col("ra"), length - F.col("low"))
+        under = F.substring("piece", F.col("left") - before + 1, before + after)
+        equal = ["cell", "low", "high", "before", "after", "h", "i"]
+        split = split.withColumns(
+            {"before": before, "after": after, "h": F.xxhash64(under), "i": F.xxhash64(F.lit(1), under)}
+        )
+        merged = split.groupBy(*equal).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.first(F.struct(*around, "left", "piece")).alias("one")
+        )
+        merged = stage(merged, "merged")
+        now = split.filter(F.col("n") == 1).join(merged.filter(F.col("rows") > 1).select(*equal), equal, "left_semi")
+        now = now.select(
+            *around, F.greatest("low", side - F.col("ra")).alias("least"), F.least(F.col("high") - 1, "la").alias("most")
+        )
+        decided = now if decided is None else decided.unionByName(now)
+        cells = merged.select("cell", "low", "high", "one.*", "n")
+        counts = cells.filter(F.col("high") - F.col("low") > 1).groupBy("cell")
+        counts = counts.agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
+        counts = counts.filter((F.col("rows") > 1) & (F.col("least") == 1))
+        large = stage(counts.filter(F.col("rows") > cell_rows).select("cell"), "large")
+        fit = cells.join(large, "cell", "left_anti").join(counts.select("cell"), "cell", "left_semi")
+        ready = ready.unionByName(fit)
         between = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
         halves = F.explode(
             F.array(F.struct(F.col("low").alias("low"), between.alias("high")), F.struct(between.alias("low"), F.col("high").alias("high")))
@@ -180,7 +204,7 @@ def remove_repeats(
         # All windows of places in [low, high) hold the bytes from -low to length + 1 - high.
         holds = (F.col("la") >= low) & (core + F.col("ra") >= length + 1 - high)
         stretch = F.substring("piece", F.col("left") - low + 1, low + length + 1 - high)
-        cells = split.filter(holds).select(
+        split = split.filter(holds).select(
             F.xxhash64("cell", low, high, stretch).alias("cell"), low.alias("low"), high.alias("high"), *around, "n", "left", "piece"
         )
 
@@ -223,6 +247,7 @@ def remove_repeats(
     # Rows that two equal texts of one id bring twice count once.
     gathered = ready.dropDuplicates(["cell", *around]).repartition("cell").sortWithinPartitions("cell")
     found = gathered.mapInArrow(search, "g long, f long, la int, ra int, least int, most int")
+    found = found if decided is None else found.unionByName(decided)
     found = found.groupBy(*around).agg(F.min("least").alias("least"), F.max("most").alias("most"))
     answers = stage(sure.unionByName(found), "answers")
 

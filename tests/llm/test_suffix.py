@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from barloom.llm import suffix_dedup
 from barloom.llm.suffix_dedup import remove_repeats
 from barloom.llm.suffix_merge import merge_transforms, suffix_order
 from tests.llm.conftest import ODD_TEXTS
@@ -65,6 +66,27 @@ def test_split_cells_change_nothing(spark):
     assert run(spark, rows, length=40, cell_rows=3) == by_hand(rows, 40)
 
 
+def test_passage_with_other_surroundings_is_not_searched_whole(spark, monkeypatch):
+    r = random.Random(6)
+    passage = "".join(r.choice("abcdefgh ñ") for _ in range(70))
+
+    def other(n):
+        return "".join(r.choice("ABCDEFGH") for _ in range(n))
+
+    rows = [(i, other(r.randint(0, 60)) + passage + other(r.randint(0, 60))) for i in range(40)]
+    rows += [(50, passage), (51, passage[:45] + other(50)), (52, other(50) + passage[-45:]), (53, passage[5:46] + "#" + other(40))]
+    rows += [rows[3], (54, rows[4][1])]
+    search = suffix_dedup.repeated_windows
+
+    def bounded(pieces, left, low, high, cell, length):
+        largest = max(Counter(cell.tolist()).values())
+        assert largest <= 4, f"{largest} rows of one cell"
+        return search(pieces, left, low, high, cell, length)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_windows", bounded)
+    assert run(spark, rows, length=40, cell_rows=4) == by_hand(rows, 40)
+
+
 def test_full_length(spark):
     rows = texts_with_repeats(5, 25, 400)
     assert run(spark, rows) == by_hand(rows, 400)
