@@ -102,6 +102,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAW:
             if tag not in INLINE:
                 flush()
+            # Only foreign elements are closed by their own tag.
+            if tag in ("svg", "math") and m[0].endswith("/>"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue

@@ -8,6 +8,7 @@ import numpy as np
 
 from barloom.llm.decontaminate import decontaminate
 from barloom.llm.hamming_search import search, sign_codes
+from barloom.llm.html_blocks import blocks_of
 from barloom.llm.html_crf import default_model, extract_text, labelled_blocks
 from barloom.llm.html_pages import labelled_pages
 from barloom.llm.language_id import identify, train
@@ -120,6 +121,14 @@ def test_page_texts(spark):
     assert extract_text(frame.limit(0)).collect() == []
 
 
+def test_self_closed_foreign_elements_drop_no_text():
+    first, second = "The first line of the article is here.", "The second line of it comes later."
+    page = f'<svg class="i"/><article><p>{first}</p><svg viewBox="0 0 9 9" /><math/><p>{second}</p></article>'
+    for end in ("", "<svg><text>no</text></svg>", "</svg></math>"):
+        assert [b.text for b in blocks_of(page + end)] == [first, second]
+    assert [b.text for b in blocks_of("<p>a</p><svg><text>no</text><path/></svg><script/>no</script><p>b</p>")] == ["a", "b"]
+
+
 def test_addresses(spark):
     urls = [
         ("https://www.example.com/en/1", "www.example.com", "/en/1", "www.example.com/en/", "allow"),
