@@ -307,3 +307,18 @@ def test_gate_of_backtests(spark):
     assert got == {
         ("A", "trend"): True, ("A", "correction"): False, ("B", "trend"): True, ("B", "correction"): None, ("C", "trend"): None, ("C", "correction"): None,
     }
+
+
+def test_all_orders_of_a_hot_ticker_day_are_ranked_by_blocks(spark):
+    ids = [*range(1, 6001, 3), 10**12, None, None]
+    rows = [("A", at("2024-01-02 10:00:00"), i) for i in ids] + [("B", at("2024-01-02 10:00:00"), 5), (None, None, 7), (None, None, 9)]
+    rows += [("C", at("2024-01-02 10:00:00"), i) for i in range(9000)]
+    table = spark.createDataFrame(rows, "ticker string, date timestamp_ntz, ib_id long")
+    ranked = oo.orders_today(table, "type")
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(ticker#" in plan and "_block" in plan
+    got = {}
+    for r in ranked.collect():
+        got.setdefault(r["ticker"], []).append((r["rank"], r["ib_id"]))
+    want = {"A": sorted(ids[:-2], reverse=True) + [None, None], "B": [5], None: [9, 7], "C": list(range(8999, -1, -1))}
+    assert {k: sorted(v, key=lambda x: x[0]) for k, v in got.items()} == {k: list(enumerate(v, 1)) for k, v in want.items()}
