@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from barloom.session import fresh_path
 
+PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
+
 
 def file_stream(spark: SparkSession, folder: str, schema: str, name: str | None = None, **options: str) -> DataFrame:
     """Parquet files of a folder as a stream; ``name`` picks files by pattern, or a table that is a folder itself."""
@@ -38,19 +41,31 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, **options: str)
     )
 
 
+@contextmanager
+def _all_progress(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside keep the progress of all their batches, a few kB each, and not of the last 100 only."""
+    before = spark.conf.get(PROGRESS)
+    spark.conf.set(PROGRESS, str(2**31 - 1))
+    try:
+        yield
+    finally:
+        spark.conf.set(PROGRESS, before)
+
+
 def run_to_table(stream: DataFrame, name: str, path: str | None = None, mode: str = "append") -> tuple[DataFrame, StreamingQuery]:
     """Process what is available, exactly once, into a Parquet table; run again to go on."""
     spark = stream.sparkSession
     root = path or fresh_path(spark, name)
-    query = (
-        stream.writeStream.outputMode(mode)
-        .format("parquet")
-        .option("path", f"{root}/data")
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    with _all_progress(spark):
+        query = (
+            stream.writeStream.outputMode(mode)
+            .format("parquet")
+            .option("path", f"{root}/data")
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/data"), query
 
 
@@ -77,7 +92,7 @@ def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame], DataFr
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark, from the progress of the run."""
+    """Rows dropped behind the watermark, from the progress of all batches of a `run_to_table`."""
     return sum(
         operator["numRowsDroppedByWatermark"]
         for progress in query.recentProgress

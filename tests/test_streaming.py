@@ -52,6 +52,19 @@ def test_rows_behind_the_watermark_are_dropped_and_counted(spark):
     assert late_rows(query) == 1
 
 
+def test_late_rows_of_all_batches_are_counted(spark):
+    folder, setting = fresh_path(spark, "ticks"), "spark.sql.streaming.numRecentProgressUpdates"
+    for stamps in (["10:00:00", "10:09:00"], ["10:20:00"], ["10:00:45", "10:01:00"], ["10:21:00"], ["10:02:45"], ["10:30:00"]):
+        land(ticks(spark, stamps), folder)
+    spark.conf.set(setting, "1")
+    try:
+        stream = file_stream(spark, folder, TICK, maxFilesPerTrigger="1")
+        _, query = run_to_table(sb.minute_bars_stream(stream), "bars")
+    finally:
+        spark.conf.unset(setting)
+    assert late_rows(query) == 3
+
+
 def test_session_filter_follows_daylight_saving(spark):
     rows = [("A", at(s), 1.0, 1.0, 1.0, 1.0, 1, 1) for s in ("2024-07-01 13:30:00", "2024-07-01 13:29:59", "2024-12-02 13:30:00", "2024-12-02 14:30:00", "2024-12-02 21:00:00")]
     kept = sb.session_filter(spark.createDataFrame(rows, TICK))
