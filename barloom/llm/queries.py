@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from barloom.llm import (
     decontaminate,
+    fill_middle,
     hamming_search,
     html_crf,
     language_id,
     line_dedup,
     packing,
+    periodic_runs,
     simhash,
+    source_mix,
     suffix_dedup,
     token_counts,
     url_rules,
@@ -119,6 +122,57 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumnRenamed("id", "doc_id")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units, sources, mixed = source_mix.mix_documents(table(spark, sf_dir, "documents"))
+    return source_mix.taken_words(units, sources, mixed).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    flat = made.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", "fim.output")
+    back = fill_middle.restore(flat.withColumn("output_sha256", F.sha2("output", 256)))
+    return back.withColumn("restored_sha256", F.sha2("restored", 256)).drop("restored")
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """Texts of a tenth of the ids become periodic from some word on; null ids and texts without words stay."""
+    hashed = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(source_mix.WORD), 0)
+
+    def planted(v):
+        n, g = F.size(v["words"]).cast("long"), v["g"]
+        a = F.pmod(g, n)
+        p = F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1
+        places = F.sequence(F.lit(0).cast("long"), n - 1)
+        return F.array_join(
+            F.transform(places, lambda i: F.get(v["words"], F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))), " "
+        )
+
+    given = F.struct(words.alias("words"), F.floor(hashed / 10).alias("g"))
+    some = F.regexp_like("text", F.lit(source_mix.WORD))
+    text = F.when((F.pmod(hashed, F.lit(10)) == 0) & some, source_mix.let(given, planted)).otherwise(F.col("text"))
+    return docs.withColumn("text", text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs, keep=("doc_id",)).select("doc_id", "periodic.*")
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP4_SQL = """
 WITH lines AS (
   SELECT doc_id, pos, line, lower_key AS key FROM (
@@ -189,6 +243,79 @@ SELECT query_id, rank, neighbor_id, distance FROM (
 WHERE rank <= 10
 """
 
+OP11_SQL = r"""
+WITH units AS (
+  SELECT source, doc_id, coalesce(md5(text), '') AS key,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         row_number() OVER (PARTITION BY source, doc_id, text) - 1 AS copy
+  FROM documents
+),
+weighted AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / weight, number) AS place FROM (
+    SELECT *, [3, 1, 2][number % 3 + 1] AS weight FROM (
+      SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM (
+        SELECT source, sum(size) AS source_size FROM units GROUP BY source)))
+),
+filled AS (
+  SELECT *, 150 * sum(source_size) OVER ()
+            - 200 * coalesce(sum(source_size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         100 * sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS shares
+  FROM weighted
+),
+level AS (
+  SELECT place AS first, rest, shares FROM filled WHERE rest * weight <= 2 * source_size * shares ORDER BY place LIMIT 1
+),
+sources AS (
+  SELECT source, number, CAST(source_size AS BIGINT) AS source_size,
+         CASE WHEN place < first THEN CAST(2 * source_size AS DOUBLE) ELSE level.rest * weight / level.shares END AS target
+  FROM filled, level
+),
+blocks AS (
+  SELECT u.source, doc_id, key, copy, target, pass, block, least(512, size - 512 * block) AS words,
+         md5(concat_ws(':', '42', pass, coalesce(CAST(doc_id AS VARCHAR), 'null'), key, copy, block)) AS digest
+  FROM (SELECT *, unnest(range(0, CAST(ceil(size / 512) AS BIGINT))) AS block FROM units) u
+  JOIN sources s ON u.source IS NOT DISTINCT FROM s.source, range(0, 2) passes(pass)
+  WHERE target > pass * source_size
+),
+taken AS (
+  SELECT source, doc_id, key, copy, greatest(0, least(words, floor(target) - before)) AS words FROM (
+    SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY pass, digest
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM blocks)
+),
+sums AS (SELECT source, doc_id, key, copy, CAST(sum(words) AS BIGINT) AS taken FROM taken GROUP BY ALL)
+SELECT u.doc_id, u.size, s.source_size, s.target, coalesce(t.taken, 0) AS taken
+FROM units u JOIN sources s ON u.source IS NOT DISTINCT FROM s.source
+LEFT JOIN sums t ON u.source IS NOT DISTINCT FROM t.source AND u.doc_id IS NOT DISTINCT FROM t.doc_id
+                 AND u.key = t.key AND u.copy = t.copy
+"""
+
+OP12_SQL = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents
+),
+numbers AS (
+  SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n,
+         CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM hashed
+),
+parts AS (
+  SELECT doc_id, text, n,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS prefix,
+         array_to_string(units[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS middle,
+         array_to_string(units[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:n], '') AS suffix FROM numbers
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_decontamination": op2_decontamination,
@@ -200,5 +327,14 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_hamming_search": op9_hamming_search,
     "op10_token_counts": op10_token_counts,
+    "op11_source_mix": op11_source_mix,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_periodic_runs": op13_periodic_runs,
+}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": OP2_SQL,
+    "op4_line_dedup": OP4_SQL,
+    "op9_hamming_search": OP9_SQL,
+    "op11_source_mix": OP11_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_hamming_search": OP9_SQL}
