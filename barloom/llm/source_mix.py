@@ -25,7 +25,7 @@ MOST = 2
 SEED = 42
 BLOCK_WORDS = 512
 # rows that one task orders: blocks of a bucket, of a stretch of ranks, of a shard
-BUCKET_BLOCKS = 16_384
+BUCKET_BLOCKS = 4096
 SHARD_BLOCKS = 65_536
 COPIES_AT_ONCE = 4096
 WORD = r"[^\x20\x09-\x0D]+"
