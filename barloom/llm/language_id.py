@@ -103,45 +103,73 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, sample_bytes: int =
     return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def mixtures(likelihood: np.ndarray, row: np.ndarray, rows: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(
+    likelihood: np.ndarray, row: np.ndarray, rows: int, rounds: int = ROUNDS, times: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Chosen proportions (rows by languages) from log likelihoods of words; and words of each row.
 
-    Languages join a row's set one by one, the one with the largest share of the full mixture
-    first, as long as the penalised likelihood gains.
+    Words stand in order of their rows, a word that is `times` times in its row once. Languages join a row's
+    set one by one, the one with the largest share of the full mixture first, as long as the penalised
+    likelihood gains; rows without a gain take no part in the next step.
     """
-    words = np.bincount(row, minlength=rows).astype(float)
+    times = np.ones(len(row)) if times is None else times.astype(float)
+    words = np.bincount(row, times, rows)
     size = likelihood.shape[1]
+    best = np.zeros((rows, size))
+    present, first, counts = np.unique(row, return_index=True, return_counts=True)
+    if not len(present):
+        return best, words
     top = likelihood.max(axis=1, keepdims=True)
-    weight = np.exp(np.maximum(likelihood - top, FLOOR))
+    weight = np.ascontiguousarray(np.exp(np.maximum(likelihood - top, FLOOR)).T)
 
-    def fit(allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-        share = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
+    def fit(weight: np.ndarray, times: np.ndarray, counts: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shares (languages by rows) and log likelihood of each row, for words in row order."""
+        starts = np.cumsum(counts) - counts
+        total = np.add.reduceat(times, starts)
+        share = np.full((len(weight), len(counts)), 1 / len(weight))
         for _ in range(rounds):
-            mixed = weight * share[row]
-            mixed /= mixed.sum(axis=1, keepdims=True)
-            share = np.stack([np.bincount(row, mixed[:, k], rows) for k in range(size)], 1) / np.maximum(words, 1)[:, None]
-        gain = np.bincount(row, np.log((weight * share[row]).sum(axis=1) + 1e-300), rows)
-        return share, gain
-
-    full, _ = fit(np.ones((rows, size)), rounds)
-    order = np.argsort(-full, axis=1, kind="stable")
-    allowed = np.zeros((rows, size))
-    allowed[np.arange(rows), order[:, 0]] = 1
-    best, gain = fit(allowed, 1)
-    open_rows = words > 0
+            mixed = np.repeat(share, counts, axis=1)
+            mixed *= weight
+            mixed *= times / mixed.sum(axis=0)
+            share = np.add.reduceat(mixed, starts, axis=1) / total
+        reached = (np.repeat(share, counts, axis=1) * weight).sum(axis=0)
+        return share, np.add.reduceat(times * np.log(reached + 1e-300), starts)
+
+    full, _ = fit(weight, times, counts, rounds)
+    order = np.argsort(-full, axis=0, kind="stable")
+    gain = np.add.reduceat(times * np.log(weight[np.repeat(order[0], counts), np.arange(len(row))] + 1e-300), first)
+    best[present, order[0]] = 1
+    open_rows = np.arange(len(present))
     for k in range(1, size):
-        more = allowed.copy()
-        more[np.arange(rows), order[:, k]] = 1
-        index = np.flatnonzero(open_rows)
-        if not len(index):
+        inside = np.repeat(np.isin(np.arange(len(present)), open_rows), counts)
+        n, at = counts[open_rows], np.flatnonzero(inside)
+        chosen = np.repeat(order[: k + 1, open_rows], n, axis=1)
+        share, new = fit(weight[chosen, at], times[at], n, rounds)
+        better = 2 * (new - gain[open_rows]) > np.log(np.maximum(words[present[open_rows]], 2))
+        open_rows = open_rows[better]
+        if not len(open_rows):
             break
-        share, new = fit(more, rounds)
-        better = open_rows & (2 * (new - gain) > np.log(np.maximum(words, 2)))
-        best[better], gain[better], allowed[better] = share[better], new[better], more[better]
-        open_rows = better
+        gain[open_rows] = new[better]
+        best[present[open_rows]] = 0
+        best[present[open_rows][None, :], order[: k + 1, open_rows]] = share[:, better]
     return best, words
 
 
+def distinct_words(bucket: np.ndarray, starts: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of the equal words of each row, in row order, and how many they are; words of the same trigrams count as equal."""
+    mixed = (bucket.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    key = np.add.reduceat(mixed, starts)
+    order = np.lexsort((key, row))
+    key, own = key[order], row[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    first = np.flatnonzero(new)
+    return order[first], np.diff(np.append(first, len(order)))
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == HELD_OUT, F.lit(False))
 
@@ -165,19 +193,26 @@ def identify(
     names = [c for c in (docs.columns if keep is None else keep) if c != new_col]
     result = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("shares", pa.list_(pa.float64()))])
 
+    def beside(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The text is a field of the row if it is kept, so it comes once."""
+        row = batch.column("row")
+        text = row.field(names.index(text_col)) if text_col in names else batch.column("text")
+        return pa.RecordBatch.from_arrays([row, text], names=["row", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for part in chunks(batches, "__text"):
-            texts = part.column("__text")
+        for part in chunks(map(beside, batches), "text"):
+            texts = part.column("text")
             rows = part.num_rows
             known = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False))
             pred, score = np.full(rows, len(languages)), np.zeros(rows)
             best = np.zeros((rows, len(languages)))
             bucket, starts, words_before = trigrams(*lowered(texts))
             if len(starts) and languages:
-                words = np.stack([np.add.reduceat(table[:, k][bucket], starts, dtype=np.float64) for k in range(len(languages))], 1)
                 row = np.repeat(np.arange(rows), np.diff(words_before))
-                best, n = mixtures(words, row, rows)
+                words = np.stack([np.add.reduceat(table[:, k][bucket], starts, dtype=np.float64) for k in range(len(languages))], 1)
+                some, times = distinct_words(bucket, starts, row)
+                best, n = mixtures(words[some], row[some], rows, times=times)
                 known &= n > 0
                 pred = np.where(known, best.argmax(axis=1), len(languages))
                 score = np.where(known, np.clip(best.max(axis=1), 0, 1), 0.0)
@@ -188,7 +223,9 @@ def identify(
             )
             yield pa.RecordBatch.from_arrays([part.column("row"), found], names=["row", "found"])
 
-    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text_col).alias("__text"))
+    source = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *([] if text_col in names else [F.col(text_col).alias("text")])
+    )
     kind = source.schema["row"].dataType.simpleString()
     found = source.mapInArrow(run, f"row {kind}, found struct<lang:string,score:double,shares:array<double>>")
     return found.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("found").alias(new_col))

@@ -11,7 +11,7 @@ from barloom.llm.hamming_search import search, sign_codes
 from barloom.llm.html_blocks import blocks_of
 from barloom.llm.html_crf import default_model, extract_text, labelled_blocks
 from barloom.llm.html_pages import labelled_pages
-from barloom.llm.language_id import identify, train
+from barloom.llm.language_id import identify, mixtures, train
 from barloom.llm.queries import ORACLES, QUERIES
 from barloom.llm.url_rules import Rule, judge, mine
 from tests.llm.conftest import ODD_TEXTS, SF_DIR
@@ -100,6 +100,59 @@ def test_languages_of_odd_texts_and_mixtures(spark):
     assert {r["language"]["lang"] for r in identify(docs, nothing).collect()} == {"und"}
 
 
+def mixture_by_hand(words, rounds=12):
+    """Plain expectation-maximisation of one row's words (log likelihoods by language), then the penalised search."""
+    if not words:
+        return None
+    size = len(words[0])
+    weights = [[np.exp(max(x - max(w), -30.0)) for x in w] for w in words]
+
+    def em(chosen, steps):
+        share = {k: 1 / len(chosen) for k in chosen}
+        for _ in range(steps):
+            total = dict.fromkeys(chosen, 0.0)
+            for w in weights:
+                z = sum(share[k] * w[k] for k in chosen)
+                for k in chosen:
+                    total[k] += share[k] * w[k] / z
+            share = {k: v / len(weights) for k, v in total.items()}
+        return share, sum(np.log(sum(share[k] * w[k] for k in chosen) + 1e-300) for w in weights)
+
+    full, _ = em(range(size), rounds)
+    order = sorted(range(size), key=lambda k: -full[k])
+    best, gain = em(order[:1], 1)
+    for n in range(2, size + 1):
+        share, new = em(order[:n], rounds)
+        if 2 * (new - gain) <= np.log(max(len(words), 2)):
+            break
+        best, gain = share, new
+    return [best.get(k, 0.0) for k in range(size)]
+
+
+def test_mixtures_by_hand():
+    rng = np.random.default_rng(3)
+    sizes = [0, 1, 2, 40, 0, 15, 7, 60]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    words = np.round(rng.normal(-20, 4, (len(row), 4)), 1)
+    words[row == 7] -= np.where(np.arange(4) == (np.arange(60) % 2)[:, None], 0, 9.0)
+    words[row == 3] = words[row == 3][np.arange(40) % 6]
+    best, count = mixtures(words, row, len(sizes))
+    assert count.tolist() == sizes
+    for i in range(len(sizes)):
+        want = mixture_by_hand(words[row == i].tolist())
+        assert np.allclose(best[i], 0 if want is None else want)
+    assert (best[7] > 0).sum() > 1 and (best[1] > 0).sum() == 1
+    # Equal words counted once with their number give the same.
+    first, times = np.unique(np.column_stack([row, words]), axis=0, return_counts=True)
+    again, _ = mixtures(first[:, 1:], first[:, 0].astype(int), len(sizes), times=times)
+    assert np.allclose(again, best)
+
+
+def test_mixtures_without_words():
+    best, count = mixtures(np.zeros((0, 3)), np.zeros(0, int), 2)
+    assert best.tolist() == [[0, 0, 0]] * 2 and count.tolist() == [0, 0]
+
+
 def test_pages_of_other_layouts():
     model = default_model()
     pages = [labelled_blocks(p) for p in labelled_pages(200, 77)]
