@@ -205,7 +205,10 @@ def day_orders(spark, sf_dir) -> DataFrame:
 
 def live_bars(spark, sf_dir) -> DataFrame:
     """Bars with signals, predictions and benchmark trend, as the live table has them."""
-    source = prepared(spark, sf_dir)
+    return live_columns(prepared(spark, sf_dir))
+
+
+def live_columns(source: DataFrame) -> DataFrame:
     odd = F.col("volume") % 2 == 1
     third = F.col("volume") % 3
     return source.withColumns(

@@ -16,7 +16,7 @@ from barloom.sources.stage import stage, stage_path
 from barloom.streaming import bars as sb
 from barloom.streaming import orders as so
 from barloom.streaming import state as st
-from barloom.streaming.runs import file_stream, run_batches, run_to_table
+from barloom.streaming.runs import count_late, file_stream, run_batches, run_to_table
 
 BAR = "ticker, date, open, high, low, close, volume, count"
 # the watermark keeps milliseconds
@@ -64,10 +64,15 @@ DAYS = """(SELECT ticker, day, day_open, lag(last_close) OVER (PARTITION BY tick
   (SELECT ticker, CAST(date AS DATE) AS day, arg_min(open, date) AS day_open, arg_max(close, date) AS last_close FROM bars GROUP BY 1, 2))"""
 
 
-@query("t04_day_state", f"SELECT b.ticker, b.date, b.close, x.day_open, x.prev_day_close FROM bars b JOIN {DAYS} x ON x.ticker = b.ticker AND x.day = CAST(b.date AS DATE)")
+@query(
+    "t04_day_state",
+    f"""SELECT b.ticker, b.date, b.close, x.day_open, x.prev_day_close FROM bars b JOIN {DAYS} x ON x.ticker = b.ticker AND x.day = CAST(b.date AS DATE)
+    WHERE b.date + INTERVAL 2 HOUR <= {MARK}""",
+)
 def t04(spark, d):
-    stream = _as_stream(b.bars(spark, d).select("ticker", "date", "open", "close"), "bars")
-    return run_to_table(st.day_state(stream), "days")[0]
+    """Ticks to bars to day context in one query."""
+    stamped = sb.stamped_days(_ticks(spark, d), "2 hours")
+    return run_to_table(stamped.select("ticker", "date", "close", "day_open", "prev_day_close"), "days")[0]
 
 
 @query("t05_all_tickers_closed", f"""SELECT date, CAST(count(*) AS BIGINT) AS tickers, CAST(sum(volume) AS BIGINT) AS volume, max(high) AS high, min(low) AS low FROM bars
@@ -82,29 +87,36 @@ def t05(spark, d):
     """SELECT c.ticker, c.date, c.action, c.strategy, c.close FROM conditions c LEFT JOIN bar_gate g ON g.ticker = c.ticker AND g.date = c.date AND g.action = c.action AND g.strategy = c.strategy
     WHERE performance AND NOT coalesce(blocked, false) AND breakaway AND (c.benchmark_negative IS NULL OR c.benchmark_positive IS NULL OR with_benchmark)
       AND (NOT (coalesce(allow_high_delta, false) OR coalesce(allow_low_delta, false) OR coalesce(allow_high_stop, false) OR coalesce(allow_low_stop, false))
-        OR CASE WHEN c.strategy = 'trend' THEN trend_ml ELSE correction_ml END)""",
+        OR CASE WHEN c.strategy = 'trend' THEN trend_ml ELSE correction_ml END) AND c.date + INTERVAL 2 HOUR <= """ + MARK,
 )
 def t06(spark, d):
+    """Ticks to bars to day context to signals in one query, against the tables of parameters and orders."""
     params = stage(b.params(spark, d), "params")
     states = stage(ss.states_by_day(ss.order_states(b.day_orders(spark, d))), "states")
-    stream = _as_stream(b.live_bars(spark, d), "live")
-    return run_to_table(ss.entry_signals(stream, params, states), "signals")[0]
+    bars = b.live_columns(sb.stamped_days(_ticks(spark, d), "2 hours", b.SPEC.bars_per_day))
+    return run_to_table(ss.entry_signals(bars, params, states), "signals")[0]
 
 
-@query("t08_late_data", f"SELECT {BAR} FROM minutes WHERE date >= TIMESTAMP '2024-01-16' AND date + INTERVAL 1 MINUTE <= {MARK}")
+@query(
+    "t08_late_data",
+    f"""SELECT {BAR}, (SELECT CAST(count(*) AS BIGINT) FROM events WHERE ts < TIMESTAMP '2024-01-16' AND ts <= {MARK}) AS late_ticks FROM minutes
+    WHERE date >= TIMESTAMP '2024-01-16' AND date + INTERVAL 1 MINUTE <= {MARK}""",
+)
 def t08(spark, d):
-    """Ticks of the second half first; those of the first half then come too late."""
+    """Ticks of the second half first; those of the first half then come too late, and are counted."""
     events = b.table(spark, d, "events")
-    source, target = fresh_path(spark, "landing"), fresh_path(spark, "late")
+    source, target, counts = (fresh_path(spark, name) for name in ("landing", "late", "counts"))
     half = b.moment("2024-01-16 00:00:00")
     for part in (F.col("ts") >= half, F.col("ts") < half):
         events.where(part).write.mode("append").parquet(source)
         stream = b.ticks_of(file_stream(spark, source, EVENTS))
         table, _ = run_to_table(sb.minute_bars_stream(stream), "late", target)
-    return table
+        late = count_late(stream, "ts", sb.DELAY, "counts", counts)
+    total = late.agg(F.sum("late")).first()[0]
+    return table.withColumn("late_ticks", F.lit(total).cast("bigint"))
 
 
-@query("t09_quote_state_stream", f"SELECT contract, ts, field, price, bid, ask FROM {STANDING} WHERE bid IS NOT NULL AND ask IS NOT NULL")
+@query("t09_quote_state_stream", f"SELECT contract, ts, field, price, bid, ask FROM {STANDING} WHERE bid IS NOT NULL AND ask IS NOT NULL AND ts <= {MARK}")
 def t09_stream(spark, d):
     quotes = _ticks(spark, d).select(
         F.col("ticker").alias("contract"), "ts", (F.col("k") % 2 + 1).alias("field"), F.col("close").alias("price")
@@ -117,12 +129,13 @@ def t09_stream(spark, d):
     f"""SELECT order_id, event_time, status, status IN ('filled', 'cancelled') AS removed FROM (SELECT *, lag(status) OVER w AS before,
       coalesce(sum(CASE WHEN status IN ('filled', 'cancelled') THEN 1 ELSE 0 END) OVER (PARTITION BY order_id ORDER BY event_time ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done
       FROM (SELECT order_id, event_time, {REPORTED} AS status FROM status_reports) WHERE status IS NOT NULL WINDOW w AS (PARTITION BY order_id ORDER BY event_time))
-    WHERE done = 0 AND status IS DISTINCT FROM before""",
+    WHERE done = 0 AND status IS DISTINCT FROM before AND event_time <= """ + MARK,
 )
 def t10_stream(spark, d):
     rows = b.status_reports_of(_ticks(spark, d))
     events = rows.select("order_id", "event_time", sf.order_status(F.col("text"), F.col("remaining")).alias("status"))
-    return run_to_table(st.status_stream(events), "status")[0]
+    # Orders are users here and go on for the whole month, so a finished one is remembered for longer.
+    return run_to_table(st.status_stream(events, keep_finished=100 * st.DAY), "status")[0]
 
 
 @query("t11_drop_today_bars", f"SELECT {BAR}, CAST(date AS DATE) AS day FROM bars WHERE CAST(date AS DATE) <> DATE '2024-01-30' UNION ALL SELECT ticker, date, open, high, low, close, volume + 1, count, CAST(date AS DATE) AS day FROM bars WHERE CAST(date AS DATE) = DATE '2024-01-30' AND volume > 3")
@@ -153,3 +166,21 @@ def j23(spark, d):
     commissions = oo.commission_rows(b.commission_reports_of(file_stream(spark, d, LINES, "lineitem.parquet")))
     joined, _ = run_to_table(so.executions_with_commissions(executions, commissions.drop("yield")), "paid")
     return sixes(joined, "commission", "realized_profit_loss")
+
+
+@query(
+    "j23_executions_outer",
+    f"""SELECT e.execution_id, e.date, e.quantity, {r6('c.commission')} AS commission, c.execution_id IS NOT NULL AS paid
+    FROM (SELECT l_orderkey || '-' || l_linenumber AS execution_id, l_quantity AS quantity, l_shipdate AS date FROM lineitem) e
+    LEFT JOIN (SELECT * FROM comms WHERE commission > 0) c ON c.execution_id = e.execution_id AND c.date BETWEEN e.date - INTERVAL 1 DAY AND e.date + INTERVAL 1 DAY
+    WHERE c.execution_id IS NOT NULL OR e.date + INTERVAL 1 DAY < (SELECT max(c.date) FROM comms c WHERE commission > 0) - INTERVAL 1 HOUR""",
+)
+def j23_outer(spark, d):
+    """Executions that have no commission, as a free one is not reported, come out once."""
+    lines = file_stream(spark, d, LINES, "lineitem.parquet")
+    ids = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    executions = lines.select(ids.alias("execution_id"), F.col("l_quantity").alias("quantity"), F.col("l_shipdate").alias("date"))
+    commissions = oo.commission_rows(b.commission_reports_of(file_stream(spark, d, LINES, "lineitem.parquet"))).where("commission > 0")
+    paid = commissions.select("execution_id", "date", "commission", F.lit(True).alias("paid"))
+    joined, _ = run_to_table(so.executions_with_commissions(executions, paid, how="left_outer"), "outer")
+    return sixes(joined.withColumn("paid", F.coalesce("paid", F.lit(False))), "commission")

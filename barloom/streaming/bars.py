@@ -75,3 +75,16 @@ def cross_section(bars: DataFrame) -> DataFrame:
     return bars.groupBy("date").agg(
         F.count(F.lit(1)).alias("tickers"), F.sum("volume").alias("volume"), F.max("high").alias("high"), F.min("low").alias("low")
     )
+
+
+def stamped_days(ticks: DataFrame, width: str = "1 minute", bars_per_day: int | None = None, delay: str = DELAY) -> DataFrame:
+    """Closed bars with the open of their day and the previous day's close, in one query with the ticks.
+
+    The watermark of the ticks goes on with the bars: a bar leaves its window and the day state in the same batch.
+    """
+    from barloom.streaming.state import day_state
+
+    closed = minute_windows(ticks, width, delay).withColumn("closed", F.window_time("w"))
+    bars = closed.select("ticker", F.col("w.start").alias("date"), *BAR_COLUMNS, "closed")
+    stamped = day_state(bars, delay=None, time="closed", bars_per_day=bars_per_day)
+    return stamped.withColumn("date", F.col("date").cast("timestamp_ntz")).drop("closed")

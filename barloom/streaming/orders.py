@@ -11,7 +11,11 @@ from barloom.streaming.bars import watermarked
 def executions_with_commissions(
     executions: DataFrame, commissions: DataFrame, delay: str = "1 hour", within: str = "1 day", how: str = "inner"
 ) -> DataFrame:
-    """Join both streams by execution id, whichever comes first, within a time bound."""
+    """Join both streams by execution id, whichever comes first, within a time bound.
+
+    With ``how="left_outer"`` an execution whose commission has not come leaves once, with nulls, when the
+    watermark has passed its time by the bound.
+    """
     left = watermarked(executions, "date", delay)
     right = watermarked(commissions.withColumnsRenamed({"execution_id": "_id", "date": "_date"}), "_date", delay)
     bound = F.expr(f"INTERVAL {within}")

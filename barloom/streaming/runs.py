@@ -6,16 +6,25 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barloom.session import fresh_path
 
 PROGRESS = "spark.sql.streaming.numRecentProgressUpdates"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Input of one micro-batch. Files beyond it wait for the next one and must not be older than the watermark's delay.
+BYTES_PER_TRIGGER = str(1 << 30)
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str, name: str | None = None, **options: str) -> DataFrame:
-    """Parquet files of a folder as a stream; ``name`` picks files by pattern, or a table that is a folder itself."""
-    reader = spark.readStream.schema(schema).options(**options)
+    """Parquet files of a folder as a stream; ``name`` picks files by pattern, or a table that is a folder itself.
+
+    A micro-batch reads at most ``BYTES_PER_TRIGGER``, unless the options set another bound.
+    """
+    bounded = any(name.lower() in ("maxfilespertrigger", "maxbytespertrigger") for name in options)
+    reader = spark.readStream.schema(schema).options(**({} if bounded else {"maxBytesPerTrigger": BYTES_PER_TRIGGER}), **options)
     if name:
         if is_folder(spark, f"{folder}/{name}"):
             return reader.parquet(f"{folder}/{name}")
@@ -42,21 +51,28 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str, **options: str)
 
 
 @contextmanager
-def _all_progress(spark: SparkSession) -> Iterator[None]:
-    """Queries that run inside keep the progress of all their batches, a few kB each, and not of the last 100 only."""
-    before = spark.conf.get(PROGRESS)
-    spark.conf.set(PROGRESS, str(2**31 - 1))
+def _stream_settings(spark: SparkSession) -> Iterator[None]:
+    """Settings that a query reads when it starts.
+
+    It keeps the progress of all its batches, a few kB each, and not of the last 100 only. Its state lies
+    in RocksDB, which keyed state with timers needs, and which holds state on disk.
+    """
+    own = {PROGRESS: str(2**31 - 1), STATE_STORE: ROCKS}
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(PROGRESS, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def run_to_table(stream: DataFrame, name: str, path: str | None = None, mode: str = "append") -> tuple[DataFrame, StreamingQuery]:
     """Process what is available, exactly once, into a Parquet table; run again to go on."""
     spark = stream.sparkSession
     root = path or fresh_path(spark, name)
-    with _all_progress(spark):
+    with _stream_settings(spark):
         query = (
             stream.writeStream.outputMode(mode)
             .format("parquet")
@@ -69,6 +85,18 @@ def run_to_table(stream: DataFrame, name: str, path: str | None = None, mode: st
     return spark.read.schema(stream.schema).parquet(f"{root}/data"), query
 
 
+def _foreach(stream: DataFrame, write: Callable[[DataFrame, int], None], root: str) -> None:
+    with _stream_settings(stream.sparkSession):
+        query = (
+            stream.writeStream.outputMode("append")
+            .foreachBatch(write)
+            .option("checkpointLocation", f"{root}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+
 def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
     """Run ``step`` on every micro-batch and store its result by batch.
 
@@ -80,17 +108,38 @@ def run_batches(stream: DataFrame, name: str, step: Callable[[DataFrame], DataFr
     def write(batch: DataFrame, number: int) -> None:
         step(batch).write.mode("overwrite").parquet(f"{root}/data/batch={number}")
 
-    query = (
-        stream.writeStream.outputMode("append")
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    _foreach(stream, write, root)
     return spark.read.schema(schema).parquet(f"{root}/data").drop("batch")
 
 
+def count_late(stream: DataFrame, time: str, delay: str, name: str, path: str | None = None) -> DataFrame:
+    """`batch, rows, late, latest`: how many rows of each micro-batch came behind its watermark; run again to go on.
+
+    The watermark of a batch is the latest time of the batches before it less the delay, in milliseconds. A batch
+    writes its own folder, so counts outlast the query, and a repeated batch counts once. They are
+    counts of rows, where Spark's own metric counts what is left of them after partial aggregation.
+    """
+    spark = stream.sparkSession
+    root = path or fresh_path(spark, name)
+    schema = "rows long, late long, latest timestamp_ntz"
+
+    def write(batch: DataFrame, number: int) -> None:
+        mark = F.lit(None).cast("timestamp_ntz")
+        if number and is_folder(spark, f"{root}/data"):
+            before = spark.read.schema(f"{schema}, batch int").parquet(f"{root}/data").where(F.col("batch") < number)
+            mark = F.lit(before.agg(F.max("latest")).first()[0]).cast("timestamp_ntz")
+            mark = F.date_trunc("millisecond", mark).cast("timestamp_ntz") - F.expr(f"INTERVAL {delay}")
+        counted = batch.agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if(F.col(time) <= mark).alias("late"),
+            F.max(F.col(time).cast("timestamp_ntz")).alias("latest"),
+        )
+        counted.coalesce(1).write.mode("overwrite").parquet(f"{root}/data/batch={number}")
+
+    _foreach(stream, write, root)
+    return spark.read.schema(f"{schema}, batch int").parquet(f"{root}/data").select("batch", "rows", "late", "latest")
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows dropped behind the watermark, from the progress of all batches of a `run_to_table`."""
     return sum(

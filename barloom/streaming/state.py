@@ -1,107 +1,236 @@
-"""Keyed state: day context, standing quotes, order status.
+"""Keyed state in event time: day context, standing quotes, order status.
 
-Each function sees the new rows of one key and its state; the rows of a micro-batch are
-bounded by the trigger's input. Plain columns and small helpers, one group at a time.
+Rows of a key wait in the state store until the watermark has passed them, and then go on in the order
+of their times, whatever order files and batches brought them in. A row that comes after its time has been
+passed is late; Spark drops and counts it. Waiting rows lie in slices of time, and one slice of a key is in
+memory at once, so a key may hold any share of a batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType, StructField, StructType, TimestampNTZType, TimestampType
 
-TERMINAL = ("filled", "cancelled")
-
-
-def _in_order(parts: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
-    return pd.concat(list(parts), ignore_index=True).sort_values(by, kind="stable")
+from barloom.streaming.bars import DELAY, watermarked
 
-
-def _filled(values: pd.Series, start) -> pd.Series:
+TERMINAL = ("filled", "cancelled")
+HOUR, DAY = 3_600_000, 86_400_000
+KEEP_FINISHED = DAY
+
+Known = tuple | None
+
+
+@dataclass(frozen=True)
+class Advanced:
+    """What a key knows after some rows, the rows that go out, and when to forget the key (ms), if at all."""
+
+    known: Known
+    rows: pd.DataFrame
+    forget: int | None = None
+
+
+Advance = Callable[[tuple, Known, pd.DataFrame], Advanced]
+
+
+def millis(times: pd.Series) -> pd.Series:
+    """Milliseconds, upwards: a watermark of as much has reached the time."""
+    return -(-times.astype("datetime64[us]").astype("int64") // 1000)
+
+
+def stored(rows: pd.DataFrame, schema: StructType) -> list[tuple]:
+    """Rows as the state store takes them: plain values, times as microseconds, missing ones as null."""
+    columns = []
+    for f in schema:
+        values, known = rows[f.name], rows[f.name].notna()
+        if isinstance(f.dataType, TimestampType | TimestampNTZType):
+            values = values.astype("datetime64[us]").astype("int64")
+        elif isinstance(f.dataType, IntegralType):
+            values = values.map(int, na_action="ignore")
+        columns.append([v if k else None for v, k in zip(values.astype(object).tolist(), known)])
+    return list(zip(*columns))
+
+
+def restored(rows: list, schema: StructType) -> pd.DataFrame:
+    frame = pd.DataFrame([tuple(r) for r in rows], columns=schema.names)
+    times = [f.name for f in schema if isinstance(f.dataType, TimestampType | TimestampNTZType)]
+    return frame.assign(**{name: pd.to_datetime(frame[name], unit="us") for name in times})
+
+
+def kind_of(f: StructField) -> str:
+    return "bigint" if isinstance(f.dataType, TimestampType | TimestampNTZType) else f.dataType.simpleString()
+
+
+class InTimeOrder(StatefulProcessor):
+    """Hands each key's rows to `advance` by time, behind the watermark.
+
+    A timer stands at the first waiting row of a key, so keys without new rows go on as well. Rows of one time
+    are ordered by their other columns.
+    """
+
+    def __init__(self, time: str, key: str, schema: StructType, known: str, advance: Advance, slice_ms: int):
+        self.time, self.known_schema, self.advance, self.slice_ms = time, known, advance, slice_ms
+        self.columns, self.schema = schema.names, StructType([f for f in schema if f.name != key])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = ",".join(f"`{f.name}`:{kind_of(f)}" for f in self.schema)
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "start bigint", f"rows array<struct<{fields}>>")
+        self.known = handle.getValueState("known", self.known_schema)
+        self.forget = handle.getValueState("forget", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            # Names that begin with an underscore come renamed.
+            part = part.set_axis(self.columns, axis=1)
+            times = millis(part[self.time])
+            first = int(times.min()) if first is None else min(first, int(times.min()))
+            for start, own in part.groupby(times // self.slice_ms * self.slice_ms):
+                held = self.waiting.getValue((int(start),))
+                before = [tuple(r) for r in held[0]] if held else []
+                self.waiting.updateValue((int(start),), (before + stored(own, self.schema),))
+        if first is not None:
+            self.wake(first, timerValues.getCurrentWatermarkInMs())
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        starts = sorted(int(k[0]) for k in self.waiting.keys())
+        later = [s for s in starts if s > mark]
+        for start in starts[: len(starts) - len(later)]:
+            rows = restored(self.waiting.getValue((start,))[0], self.schema)
+            passed = millis(rows[self.time]) <= mark
+            if passed.all():
+                self.waiting.removeKey((start,))
+            else:
+                self.waiting.updateValue((start,), (stored(rows[~passed], self.schema),))
+                later.append(int(millis(rows.loc[~passed, self.time]).min()))
+            if passed.any():
+                rows = rows[passed].sort_values([self.time, *[n for n in rows.columns if n != self.time]], kind="stable")
+                yield self.step(key, rows.reset_index(drop=True))
+        if later:
+            self.wake(min(later), mark)
+        elif self.forget.exists() and self.forget.get()[0] <= mark:
+            self.known.clear()
+            self.forget.clear()
+
+    def step(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        done = self.advance(key, self.known.get() if self.known.exists() else None, rows)
+        if done.known is not None:
+            self.known.update(done.known)
+        if done.forget is not None:
+            self.forget.update((done.forget,))
+            self.handle.registerTimer(done.forget)
+        return done.rows
+
+    def wake(self, at: int, mark: int) -> None:
+        """A timer that the watermark has reached is spent in this batch and does not count."""
+        if not any(mark < t <= at for t in self.handle.listTimers()):
+            self.handle.registerTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+def in_time_order(
+    rows: DataFrame, key: str, time: str, output: str, known: str, advance: Advance, slice_ms: int, out_time: str = ""
+) -> DataFrame:
+    """Run `advance` over each key's rows; `time` needs a watermark, `out_time` names the one that goes on downstream."""
+    processor = InTimeOrder(time, key, rows.schema, known, advance, slice_ms)
+    return rows.groupBy(key).transformWithStateInPandas(processor, output, "append", "eventtime", eventTimeColumnName=out_time)
+
+
+def _watched(rows: DataFrame, time: str, delay: str | None) -> DataFrame:
+    """Rows that have a watermark already pass with `delay` None."""
+    return rows if delay is None else watermarked(rows, time, delay)
+
+
+def _filled(values: pd.Series, start: float | None) -> pd.Series:
     """Carry the last known value forward, beginning with the stored one."""
     return pd.concat([pd.Series([start], dtype="float64"), values.astype("float64")]).ffill().iloc[1:].set_axis(values.index)
 
 
-def day_state(bars: DataFrame) -> DataFrame:
-    """Stamp day open and previous day's close on every bar (ticker, date, open, close)."""
-    output = "ticker string, date timestamp_ntz, close double, day_open double, prev_day_close double"
-    stored = "day string, day_open double, last_close double, prev_day_close double"
-
-    def step(key, parts, state: GroupState):
-        rows = _in_order(parts, "date")
-        day, day_open, last_close, previous = state.get if state.exists else (None, None, None, None)
-        days = rows["date"].dt.strftime("%Y-%m-%d")
-        firsts = rows.groupby(days)["open"].transform("first")
-        closes = rows.groupby(days)["close"].last()
-        before = closes.shift(1)
-        first_day = closes.index[0]
-        if day == first_day:
-            firsts = firsts.where(days != first_day, day_open)
-            before.iloc[0] = previous
-        else:
-            before.iloc[0] = last_close
-        stamped = pd.DataFrame(
-            {
-                "ticker": key[0],
-                "date": rows["date"],
-                "close": rows["close"],
-                "day_open": firsts,
-                "prev_day_close": days.map(before).astype("float64"),
-            }
-        )
-        end = stamped.iloc[-1]
-        known = None if pd.isna(end["prev_day_close"]) else float(end["prev_day_close"])
-        state.update((days.iloc[-1], float(end["day_open"]), float(end["close"]), known))
-        yield stamped
-
-    return bars.groupBy("ticker").applyInPandasWithState(step, output, stored, "append", GroupStateTimeout.NoTimeout)
-
-
-def quote_state(quotes: DataFrame) -> DataFrame:
-    """Standing bid and ask per contract at every quote, once both are known."""
-    output = "contract string, ts timestamp_ntz, field int, price double, bid double, ask double"
-
-    def step(key, parts, state: GroupState):
-        rows = _in_order(parts, "ts")
-        bid, ask = state.get if state.exists else (None, None)
-        rows["contract"] = key[0]
+def _number(value) -> float | None:
+    return None if pd.isna(value) else float(value)
+
+
+def day_state(bars: DataFrame, delay: str | None = DELAY, time: str = "date", bars_per_day: int | None = None) -> DataFrame:
+    """All columns of the bars, with day_open and prev_day_close stamped on every one (ticker, date, open, close).
+
+    The previous close is that of the day before. With `bars_per_day` it is the close of the last bar of the
+    latest day that has had so many, and the day's open before there is one.
+    """
+    watched = _watched(bars, time, delay)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in watched.schema)
+    output = f"{kinds}, day_open double, prev_day_close double"
+    known = "day string, day_open double, seen int, last_close double, prev_day_close double"
+    names = [*watched.columns, "day_open", "prev_day_close"]
+
+    def advance(key: tuple, state: Known, rows: pd.DataFrame) -> Advanced:
+        day, day_open, seen, last_close, previous = state or (None, None, 0, None, None)
+        stamps = []
+        for at, open_, close in zip(rows["date"].dt.strftime("%Y-%m-%d"), rows["open"], rows["close"]):
+            if at != day:
+                if bars_per_day is None:
+                    previous = last_close
+                day, day_open, seen = at, _number(open_), 0
+            seen += 1
+            stamps.append((day_open, previous if bars_per_day is None or previous is not None else day_open))
+            last_close = _number(close)
+            if seen == bars_per_day:
+                previous = last_close
+        stamped = rows.assign(ticker=key[0])
+        stamped[["day_open", "prev_day_close"]] = pd.DataFrame(stamps, dtype="float64").to_numpy()
+        return Advanced((day, day_open, seen, last_close, previous), stamped[names])
+
+    stamped = in_time_order(watched, "ticker", time, output, known, advance, DAY, time)
+    return stamped if delay is None else stamped.withColumn(time, F.col(time).cast("timestamp_ntz"))
+
+
+def quote_state(quotes: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Standing bid and ask per contract at every quote (contract, ts, field, price), once both are known."""
+    watched = watermarked(quotes.select("contract", "ts", "field", "price"), "ts", delay)
+    output = "contract string, ts timestamp, field int, price double, bid double, ask double"
+
+    def advance(key: tuple, state: Known, rows: pd.DataFrame) -> Advanced:
+        bid, ask = state or (None, None)
+        rows = rows.assign(contract=key[0], price=rows["price"].astype("float64"))
         rows["bid"] = _filled(rows["price"].where(rows["field"] == 1), bid)
         rows["ask"] = _filled(rows["price"].where(rows["field"] == 2), ask)
-        ends = [None if pd.isna(v) else float(v) for v in (rows["bid"].iloc[-1], rows["ask"].iloc[-1])]
-        state.update(tuple(ends))
-        yield rows.dropna(subset=["bid", "ask"])[["contract", "ts", "field", "price", "bid", "ask"]]
-
-    return quotes.groupBy("contract").applyInPandasWithState(
-        step, output, "bid double, ask double", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def status_stream(events: DataFrame) -> DataFrame:
-    """Status changes per order, up to the first final one; the order is then done."""
-    output = "order_id long, event_time timestamp_ntz, status string, removed boolean"
-
-    def step(key, parts, state: GroupState):
-        last, done = state.get if state.exists else (None, False)
-        rows = _in_order(parts, "event_time").dropna(subset=["status"])
-        if done or rows.empty:
-            return
-        before = rows["status"].shift(1)
-        before.iloc[0] = last
-        final = rows["status"].isin(TERMINAL)
-        open_before = final.cumsum() - final.astype(int) == 0
-        changed = rows[(rows["status"] != before) & open_before]
-        state.update((rows["status"].iloc[-1], bool(final.any())))
-        yield pd.DataFrame(
-            {
-                "order_id": key[0],
-                "event_time": changed["event_time"],
-                "status": changed["status"],
-                "removed": changed["status"].isin(TERMINAL),
-            }
-        )
-
-    return events.groupBy("order_id").applyInPandasWithState(
-        step, output, "status string, done boolean", "append", GroupStateTimeout.NoTimeout
-    )
+        ends = _number(rows["bid"].iloc[-1]), _number(rows["ask"].iloc[-1])
+        return Advanced(ends, rows.dropna(subset=["bid", "ask"])[["contract", "ts", "field", "price", "bid", "ask"]])
+
+    standing = in_time_order(watched, "contract", "ts", output, "bid double, ask double", advance, 6 * HOUR, "ts")
+    return standing.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def status_stream(events: DataFrame, delay: str = DELAY, keep_finished: int = KEEP_FINISHED) -> DataFrame:
+    """Status changes per order (order_id, event_time, status), up to the first final one; the order is then done.
+
+    A finished order is remembered for `keep_finished` ms behind its last event, to ignore what still comes
+    for it; then its state goes.
+    """
+    known = events.select("order_id", "event_time", "status").where(F.col("status").isNotNull())
+    watched = watermarked(known, "event_time", delay)
+    output = "order_id long, event_time timestamp, status string, removed boolean"
+
+    def advance(key: tuple, state: Known, rows: pd.DataFrame) -> Advanced:
+        last, done = state or (None, False)
+        out = []
+        for at, status in zip(rows["event_time"], rows["status"]):
+            if not done and status != last:
+                done = status in TERMINAL
+                out.append((key[0], at, status, done))
+            last = last if done else status
+        forget = int(millis(rows["event_time"]).iloc[-1]) + keep_finished if done else None
+        changes = pd.DataFrame(out, columns=["order_id", "event_time", "status", "removed"])
+        return Advanced((last, done), changes.astype({"event_time": "datetime64[ns]", "removed": bool}), forget)
+
+    changes = in_time_order(watched, "order_id", "event_time", output, "status string, done boolean", advance, DAY, "event_time")
+    return changes.withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
