@@ -381,9 +381,8 @@ def positions(spark, sf_dir) -> DataFrame:
 
 
 def broker_orders(spark, sf_dir) -> DataFrame:
-    """Orders of 150 lots and more as the broker lists them: stops go out as trailing."""
-    own = instructions(spark, sf_dir).where(F.col("quantity") >= 150)
-    return own.select(
+    """Orders as the broker lists them: stops go out as trailing."""
+    return instructions(spark, sf_dir).select(
         F.col("instruction_id").alias("order_id"),
         "account",
         "symbol",

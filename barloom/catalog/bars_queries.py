@@ -6,6 +6,7 @@ from barloom import bindings as b
 from barloom.catalog.registry import query
 from barloom.functions import scalars as sf
 from barloom.operators import bars as bb
+from barloom.operators import calendar as cal
 from barloom.operators import series
 from barloom.plans import gaps, ingest
 
@@ -115,6 +116,45 @@ def a23(spark, d):
     return gaps.fill_absent(b.bars(spark, d, "30 minutes"), b.HALF_HOURS).bars
 
 
+def _calendar(spark):
+    """New York sessions of the month: two closed days and an early close."""
+    closed = spark.createDataFrame([("2024-01-01",), ("2024-01-15",)], "day string").select(F.to_date("day").alias("day"))
+    short = spark.createDataFrame([("2024-01-19", "13:00")], "day string, closes string")
+    days = cal.days_between(spark, "2024-01-01", "2024-01-31")
+    return cal.session_calendar(days, closed=closed, short=short.withColumn("day", F.to_date("day")))
+
+
+@query("j12_session_missing", "SELECT ticker, day, date FROM session_missing30")
+def j12_session(spark, d):
+    bars, calendar = b.bars(spark, d, "30 minutes"), _calendar(spark)
+    return bb.missing_bars(bars, cal.short_of_bars(bars, calendar, "30 minutes"), b.HALF_HOURS, calendar)
+
+
+SESSION_NEAREST = NEAREST.replace("missing30", "session_missing30").replace(
+    "JOIN bars30 b ON b.ticker = m.ticker AND CAST(b.date AS DATE) = m.day", "JOIN session_bars30 b ON b.ticker = m.ticker AND b.day = m.day"
+)
+
+
+@query("j11_session_nearest", SESSION_NEAREST)
+def j11_session(spark, d):
+    bars, calendar = b.bars(spark, d, "30 minutes"), _calendar(spark)
+    return bb.fill_from_nearest(bars, cal.short_of_bars(bars, calendar, "30 minutes"), b.HALF_HOURS, calendar)
+
+
+@query(
+    "a23_fill_sessions",
+    f"""SELECT {BAR}, false AS has_gaps FROM bars30
+  UNION ALL SELECT ticker, date, open, high, low, close, volume, count, true AS has_gaps FROM ({SESSION_NEAREST})""",
+)
+def a23_sessions(spark, d):
+    return gaps.fill_absent(b.bars(spark, d, "30 minutes"), b.HALF_HOURS, calendar=_calendar(spark)).bars
+
+
+@query("a15_illiquid_sessions", "SELECT ticker, day, CAST(count(*) AS BIGINT) AS gaps FROM session_missing30 GROUP BY 1, 2 HAVING count(*) > 3")
+def a15_sessions(spark, d):
+    return gaps.fill_absent(b.bars(spark, d, "30 minutes"), b.HALF_HOURS, threshold=3, calendar=_calendar(spark)).illiquid
+
+
 @query(
     "j13_range_delete_join",
     f"""SELECT m.ticker, m.date, m.open, m.high, m.low, m.close, m.volume, m.count FROM minutes m
@@ -131,6 +171,7 @@ def j13(spark, d):
     (SELECT (ticker, CAST(date AS DATE)) FROM daily WHERE count > 1)""",
 )
 def j14(spark, d):
+    """A day of one line has no intraday bars: one trade makes no series."""
     daily = b.daily(spark, d)
     return bb.missed_days(daily, daily.where(F.col("count") > 1))
 
@@ -231,11 +272,11 @@ def x05(spark, d):
 @query(
     "x18_days_to_download",
     f"""SELECT ticker, days, CAST(coalesce(floor(days / 30.0), 24) AS INTEGER) AS periods, anchor FROM (
-      SELECT ticker, CAST(floor((epoch(TIMESTAMP '2001-11-10 00:00:00') - epoch(max(date))) / 86400) AS INTEGER) AS days FROM daily WHERE volume > 20 GROUP BY 1) x,
+      SELECT ticker, CAST(floor((epoch(TIMESTAMP '2001-11-10 00:00:00') - epoch(max(date))) / 86400) AS INTEGER) AS days FROM daily GROUP BY 1) x,
       LATERAL (SELECT CAST(DATE '2001-11-10' - to_months(CAST(g.range AS INTEGER)) AS DATE) AS anchor FROM range(CAST(coalesce(floor(days / 30.0), 24) AS BIGINT) + 1) g)""",
 )
 def x18(spark, d):
-    return ingest.request_dates(b.daily(spark, d).where(F.col("volume") > 20), b.moment(b.DAILY_NOW))
+    return ingest.request_dates(b.daily(spark, d), b.moment(b.DAILY_NOW))
 
 
 @query("x19_minute_marks", "SELECT ticker, ts, second(ts) = 0 AS beginning, second(ts) = 55 AS ending, minute(ts) % 5 = 0 AS fifth FROM ticks")
@@ -252,6 +293,30 @@ def s22(spark, d):
     return ingest.ingest_bars(source.where(F.lit(False)), ingest.as_raw(source, "5 mins"), "5 mins", bars_per_day=12).bars
 
 
+@query("s22_ingest_daily", f"SELECT {BAR}, false AS has_gaps FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM daily) WHERE rn <= 500")
+def s22_daily(spark, d):
+    source = b.daily(spark, d)
+    return ingest.ingest_bars(source.where(F.lit(False)), ingest.as_raw(source, "1 day"), "1 day", retained_rows=500).bars
+
+
+@query("s22_ingest_minutes", f"SELECT {BAR}, false AS has_gaps FROM minutes")
+def s22_minutes(spark, d):
+    """The first half is stored, the second half and a day of the first come in again."""
+    source = b.minutes(spark, d)
+    half = b.moment("2024-01-16 00:00:00")
+    landed = ingest.as_raw(source.where(F.col("date") >= half - F.expr("INTERVAL 1 DAY")), "1 min")
+    return ingest.ingest_bars(source.where(F.col("date") < half), landed, "1 min", retained_rows=400 * 1440).bars
+
+
+@query("s22_known_holidays", "SELECT ticker, day FROM day_counts WHERE n <> 12")
+def s22_holidays(spark, d):
+    """Non-full days known before and found now, each once."""
+    source = b.bars(spark, d)
+    return ingest.ingest_bars(
+        source.where(F.lit(False)), ingest.as_raw(source, "5 mins"), "5 mins", bars_per_day=12, holidays=_holidays(spark, d)
+    ).holidays
+
+
 @query("s22_missing_day_requests", "SELECT ticker, day FROM day_counts WHERE n <> 12")
 def s22_missing(spark, d):
     source = b.bars(spark, d)

@@ -46,6 +46,15 @@ CTES = {
     "grid30": """SELECT ticker, day, CAST(day AS TIMESTAMP) + INTERVAL '30 minutes' * g.range AS date
       FROM (SELECT ticker, day FROM day_counts30 WHERE n <> 48) d, range(48) g""",
     "missing30": "SELECT * FROM grid30 m WHERE NOT EXISTS (SELECT 1 FROM bars30 b WHERE b.ticker = m.ticker AND b.date = m.date)",
+    "sessions": """SELECT CAST(g.range AS DATE) AS day, g.range + INTERVAL '870 minutes' AS opens,
+        g.range + INTERVAL 1 HOUR * CASE WHEN CAST(g.range AS DATE) = DATE '2024-01-19' THEN 18 ELSE 21 END AS closes
+      FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-01', INTERVAL 1 DAY) g
+      WHERE isodow(g.range) < 6 AND CAST(g.range AS DATE) NOT IN (DATE '2024-01-01', DATE '2024-01-15')""",
+    "session_bars30": "SELECT b.*, s.day FROM bars30 b JOIN sessions s ON b.date >= s.opens AND b.date < s.closes",
+    "session_grid30": """SELECT t.ticker, s.day, s.opens + INTERVAL '30 minutes' * g.range AS date
+      FROM (SELECT DISTINCT ticker, day FROM session_bars30) t JOIN sessions s ON s.day = t.day, range(13) g
+      WHERE s.opens + INTERVAL '30 minutes' * g.range < s.closes""",
+    "session_missing30": "SELECT * FROM session_grid30 m WHERE NOT EXISTS (SELECT 1 FROM bars30 b WHERE b.ticker = m.ticker AND b.date = m.date)",
     "ranked": """SELECT *, CAST(date AS DATE) AS day, row_number() OVER d AS rk, first_value(open) OVER d AS day_open,
       max(high) OVER r AS day_max, min(low) OVER r AS day_min FROM bars
       WINDOW d AS (PARTITION BY ticker, CAST(date AS DATE) ORDER BY date),
@@ -239,7 +248,7 @@ CTES = {
       FROM ins WHERE order_status = 'filled' GROUP BY ALL""",
     "broker_orders": """SELECT instruction_id AS order_id, account, symbol,
         CASE WHEN instruction_id % 4 = 0 THEN order_type WHEN order_type = 'STP' THEN 'TRAIL' ELSE order_type END AS order_type, quantity, ib_id,
-        CASE WHEN order_status = 'new' THEN 'submitted' ELSE order_status END AS status FROM ins WHERE quantity >= 150""",
+        CASE WHEN order_status = 'new' THEN 'submitted' ELSE order_status END AS status FROM ins""",
     "checked": """SELECT i.*, EXISTS (SELECT 1 FROM positions p WHERE p.account = i.account AND p.symbol = i.symbol AND abs(p.pos) = i.quantity
           AND p.sec_type = i.sec_type AND (i.sec_type <> 'OPT' OR (p.strike = i.strike AND p.put_or_call = i.put_or_call AND p.expire = i.expire))) AS has_position,
         EXISTS (SELECT 1 FROM broker_orders b WHERE b.status NOT IN ('filled', 'cancelled') AND b.account = i.account AND b.symbol = i.symbol

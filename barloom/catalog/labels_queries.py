@@ -181,9 +181,9 @@ def w16_plain(spark, d):
     return carry_forward(_thin(spark, d), ["guess"], key=("ticker", "action"))
 
 
-@query("j08_merge_predictions", "SELECT ticker, action, date, high_delta, high_stop FROM labelled WHERE action = 'buy' AND strategy = 'trend'")
+@query("j08_merge_predictions", "SELECT ticker, action, date, high_delta, high_stop FROM labelled")
 def j08(spark, d):
-    rows = b.labelled(spark, d).where("action = 'buy' and strategy = 'trend'")
+    rows = b.labelled(spark, d)
     return ll.merge_predictions(rows.select(*ll.ROW, "high_delta"), rows.select(*ll.ROW, "high_stop"))
 
 

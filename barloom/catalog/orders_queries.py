@@ -161,9 +161,9 @@ def o06(spark, d):
     return oo.fix_quantity(b.instructions(spark, d), b.positions(spark, d))
 
 
-@query("u10_merge_pending", "SELECT DISTINCT symbol, order_type, order_status FROM (SELECT symbol, order_type, order_status FROM ins WHERE order_status = 'new' UNION ALL SELECT symbol, order_type, order_status FROM ins WHERE order_type = 'MKT')")
+@query("u10_merge_pending", "SELECT instruction_id, account, symbol, order_type, order_status, quantity FROM ins WHERE order_status = 'new' OR order_type = 'MKT'")
 def u10(spark, d):
-    rows = b.instructions(spark, d).select("symbol", "order_type", "order_status")
+    rows = b.instructions(spark, d).select("instruction_id", "account", "symbol", "order_type", "order_status", "quantity")
     return oo.merge_pending(rows.where("order_status = 'new'"), rows.where("order_type = 'MKT'"))
 
 
@@ -182,10 +182,10 @@ def o12_comm(spark, d):
     return sixes(oo.commission_rows(b.commission_reports(spark, d)), "commission", "realized_profit_loss")
 
 
-@query("x13_sentinel_to_null", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(realized_profit_loss) AS BIGINT) AS with_profit, CAST(count(\"yield\") AS BIGINT) AS with_yield FROM comms")
+@query("x13_sentinel_to_null", f"SELECT execution_id, date, {r6('commission')} AS commission, {r6('realized_profit_loss')} AS realized_profit_loss, \"yield\" FROM comms")
 def x13(spark, d):
     rows = oo.commission_rows(b.commission_reports(spark, d))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count("realized_profit_loss").alias("with_profit"), F.count("yield").alias("with_yield"))
+    return sixes(rows.select("execution_id", "date", "commission", "realized_profit_loss", "yield"), "commission", "realized_profit_loss")
 
 
 @query("j16_instruction_for_order", "SELECT e.execution_id, e.account, e.ib_id, e.quantity, i.instruction_id, i.strategy_id, i.db_status FROM execs e LEFT JOIN ins i ON i.account = e.account AND i.ib_id = e.ib_id")
@@ -195,14 +195,14 @@ def j16(spark, d):
 
 
 OLD_EXEC = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY date DESC, quantity DESC, price DESC) AS rn FROM execs WHERE buy_or_sell = 'BUY') WHERE rn = 1)"
-NEW_EXEC = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY date DESC, quantity DESC, price DESC) AS rn FROM execs WHERE quantity > 20) WHERE rn = 1)"
+NEW_EXEC = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY date DESC, quantity DESC, price DESC) AS rn FROM execs WHERE buy_or_sell <> 'BUY' OR quantity > 20) WHERE rn = 1)"
 
 
 @query("j22_upsert_executions", f"""SELECT coalesce(o.execution_id, n.execution_id) AS execution_id, coalesce(n.quantity, o.quantity) AS quantity, coalesce(n.price, o.price) AS price, coalesce(o.date, n.date) AS date,
     coalesce(o.buy_or_sell, n.buy_or_sell) AS buy_or_sell FROM {OLD_EXEC} o FULL JOIN {NEW_EXEC} n ON n.execution_id = o.execution_id""")
 def j22(spark, d):
     rows = b.executions(spark, d)
-    merged = oo.upsert_executions(rows.where("buy_or_sell = 'BUY'"), rows.where("quantity > 20"))
+    merged = oo.upsert_executions(rows.where("buy_or_sell = 'BUY'"), rows.where("buy_or_sell <> 'BUY' OR quantity > 20"))
     return merged.select("execution_id", "quantity", "price", "date", "buy_or_sell")
 
 

@@ -61,10 +61,15 @@ def s05(spark, d):
     return marked.select(*ll.GROUP, "date", "allowed")
 
 
-@query("s06_scan_pre_process_params", f"SELECT {GROUP}, 'volume_delta' AS kind, volume_delta AS value, CAST(count(*) AS BIGINT) AS n FROM banded WHERE ticker IN ('view', 'error') GROUP BY ALL HAVING count(*) >= 2")
+POSSIBLES = f"""SELECT {GROUP}, 'volume_delta' AS kind, volume_delta AS value, CAST(count(*) AS BIGINT) AS n FROM banded GROUP BY ALL HAVING count(*) >= 2
+    UNION ALL SELECT {GROUP}, 'open_delta', open_delta, CAST(count(*) AS BIGINT) FROM rep1 GROUP BY ALL HAVING count(*) >= 2
+    UNION ALL SELECT {GROUP}, 'benchmark_delta', benchmark_delta, CAST(count(*) AS BIGINT) FROM rep2 GROUP BY ALL HAVING count(*) >= 2"""
+
+
+@query("s06_scan_pre_process_params", POSSIBLES)
 def s06(spark, d):
     values = stage(ll.possible_values(ll.benchmark_band_filter(b.coarse(spark, d))), "values", ["ticker"])
-    return tables.by_ticker(values, ["view", "error"]).where("kind = 'volume_delta'").select(*ll.GROUP, "kind", "value", "n")
+    return tables.by_ticker(values).select(*ll.GROUP, "kind", "value", "n")
 
 
 @query("s07_scan_models")
@@ -170,11 +175,10 @@ def x20(spark, d):
     return items.select("ticker", "item.li.a", F.col("item.li.aAttrs.href").alias("href"))
 
 
-@query("u08_prune_unsupported", f"SELECT t.ticker, t.industry, {JSON} AS estimates FROM trade_params t JOIN pages p ON p.page_id = t.ticker WHERE html NOT LIKE '%lang=\"en\"%'")
+@query("u08_prune_unsupported", f"SELECT t.ticker, t.industry, {JSON} AS estimates FROM trade_params t JOIN pages p ON p.page_id = t.ticker ")
 def u08(spark, d):
     pages = b.table(spark, d, "pages")
-    english = F.contains(F.col("html"), F.lit('lang="en"'))
-    xml = F.when(~english, F.regexp_extract("html", NAV, 1))
+    xml = F.regexp_extract("html", NAV, 1)
     estimates = docs.read_estimates(pages.select(F.col("page_id").alias("ticker"), xml.alias("xml")), LINKS, "nav", b.moment(b.EVENTS_NOW))
     return uu.prune_unsupported(b.trade_params(spark, d).select("ticker", "industry"), estimates)
 

@@ -53,9 +53,9 @@ def j26(spark, d):
     )
 
 
-@query("j28_keyed_lookup", "SELECT d.ticker, d.date, d.close, t.industry, t.conid FROM daily d LEFT JOIN (SELECT * FROM trade_params WHERE nation <> 2) t ON t.ticker = d.ticker")
+@query("j28_keyed_lookup", "SELECT d.ticker, d.date, d.close, t.industry, t.conid FROM daily d LEFT JOIN trade_params t ON t.ticker = d.ticker")
 def j28(spark, d):
-    known = b.trade_params(spark, d).where("nation <> 2").select("ticker", "industry", "conid")
+    known = b.trade_params(spark, d).select("ticker", "industry", "conid")
     rows = b.daily(spark, d).select("ticker", "date", "close")
     return pp.keyed_lookup(rows, known, ["ticker"], ["date"])
 
@@ -132,10 +132,10 @@ def s16(spark, d):
     return uu.distinct_tickers(b.daily(spark, d), b.benchmark_utils(spark, d), b.illiquid_list(spark, d))
 
 
-@query("p09_stale_for_load", f"""SELECT t.ticker, x.last_date FROM trade_params t LEFT JOIN (SELECT ticker, max(date) AS last_date FROM daily WHERE count > 1 GROUP BY 1) x ON x.ticker = t.ticker
-    WHERE last_date IS NULL OR last_date < {DAILY_NOW} - INTERVAL 30 DAY""")
+@query("p09_stale_for_load", f"""SELECT t.ticker, x.last_date FROM trade_params t LEFT JOIN (SELECT ticker, max(date) AS last_date FROM daily GROUP BY 1) x ON x.ticker = t.ticker
+    WHERE last_date IS NULL OR last_date < {DAILY_NOW} - INTERVAL 1 DAY""")
 def p09(spark, d):
-    return uu.stale_for_load(b.trade_params(spark, d), b.daily(spark, d).where("count > 1"), _now())
+    return uu.stale_for_load(b.trade_params(spark, d), b.daily(spark, d), _now(), days=1)
 
 
 @query("p11_has_processing", "SELECT ticker, arg_max_null(CASE WHEN volume % 2 = 0 THEN prev_day_close END, date) IS NOT NULL AS processed FROM prepared GROUP BY 1")
@@ -235,9 +235,9 @@ def a11(spark, d):
     return fours(uu.range_midpoint(b.daily(spark, d)), "range_midpoint", "last_price")
 
 
-@query("a12_drop_tickers_without_bars", "SELECT ticker, industry FROM trade_params WHERE ticker IN (SELECT ticker FROM daily WHERE count > 4)")
+@query("a12_drop_tickers_without_bars", "SELECT ticker, industry FROM trade_params WHERE ticker IN (SELECT ticker FROM daily)")
 def a12(spark, d):
-    return uu.drop_tickers_without_bars(b.trade_params(spark, d), b.daily(spark, d).where("count > 4")).select("ticker", "industry")
+    return uu.drop_tickers_without_bars(b.trade_params(spark, d), b.daily(spark, d)).select("ticker", "industry")
 
 
 @query("a13_direction_flags", "SELECT t.ticker, coalesce(day_trade_buy AND last_price > range_midpoint, false) AS day_trade_buy, coalesce(day_trade_sell AND last_price < range_midpoint, false) AS day_trade_sell FROM trade_params t LEFT JOIN midpoints m ON m.ticker = t.ticker")
@@ -255,9 +255,9 @@ def _screens(spark, d):
     return uu.screen(columns, market, avg_volume=20, price=30)
 
 
-@query("p23_screen", "SELECT ticker, date, screen FROM screens WHERE screen <> 'market_change'")
+@query("p23_screen", "SELECT ticker, date, screen FROM screens")
 def p23(spark, d):
-    return _screens(spark, d).where("screen <> 'market_change'")
+    return _screens(spark, d)
 
 
 @query("u02_screen_union", "SELECT ticker, date, screen FROM screens")
@@ -265,16 +265,16 @@ def u02(spark, d):
     return _screens(spark, d)
 
 
-@query("u03_new_tickers", "SELECT DISTINCT ticker FROM screens WHERE screen = 'new_high' AND ticker NOT IN (SELECT ticker FROM illiquid)")
+@query("u03_new_tickers", "SELECT DISTINCT ticker FROM screens WHERE ticker NOT IN (SELECT ticker FROM illiquid)")
 def u03(spark, d):
-    return uu.new_tickers(_screens(spark, d).where("screen = 'new_high'"), b.illiquid_list(spark, d))
+    return uu.new_tickers(_screens(spark, d), b.illiquid_list(spark, d))
 
 
 @query("u03_flag_screened", """SELECT coalesce(k.ticker, s.ticker) AS ticker, k.date, CASE WHEN s.ticker IS NOT NULL THEN true ELSE k.day_trade END AS day_trade
-    FROM (SELECT ticker, date, NULL::BOOLEAN AS day_trade FROM illiquid) k FULL JOIN (SELECT DISTINCT ticker FROM screens WHERE screen = 'new_high') s ON s.ticker = k.ticker""")
+    FROM (SELECT ticker, date, NULL::BOOLEAN AS day_trade FROM illiquid) k FULL JOIN (SELECT DISTINCT ticker FROM screens) s ON s.ticker = k.ticker""")
 def u03_flag(spark, d):
     known = b.illiquid_list(spark, d).withColumn("day_trade", F.lit(None).cast("boolean"))
-    return uu.flag_screened(known, _screens(spark, d).where("screen = 'new_high'"), "day_trade")
+    return uu.flag_screened(known, _screens(spark, d), "day_trade")
 
 
 @query("u04_all_tickers", "SELECT ticker FROM trade_params WHERE day_trade_buy UNION SELECT ticker FROM trade_params WHERE day_trade_sell UNION SELECT ticker FROM daily")
@@ -311,9 +311,9 @@ def j24(spark, d):
 
 
 @query("j24_illiquid_upsert", """SELECT coalesce(o.ticker, n.ticker) AS ticker, coalesce(n.date, o.date) AS date FROM illiquid o
-    FULL JOIN (SELECT DISTINCT ticker, TIMESTAMP '2001-11-10 00:00:00' AS date FROM daily WHERE count > 4) n ON n.ticker = o.ticker""")
+    FULL JOIN (SELECT DISTINCT ticker, TIMESTAMP '2001-11-10 00:00:00' AS date FROM daily) n ON n.ticker = o.ticker""")
 def j24_illiquid(spark, d):
-    found = b.daily(spark, d).where("count > 4").select("ticker").distinct().withColumn("date", _now())
+    found = b.daily(spark, d).select("ticker").distinct().withColumn("date", _now())
     return sinks.upsert(b.illiquid_list(spark, d), found, ["ticker"])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom import constants as c
 from barloom.functions import scalars as sf
+from barloom.operators import calendar as cal
 from barloom.operators.series import day_of, newest_rows, number_rows, previous_values, spread_join
 from barloom.schemas import SessionSpec
 
@@ -136,20 +137,31 @@ def day_grid(days: DataFrame, spec: SessionSpec, session_start: str = "00:00:00"
     return days.select(*BY_DAY, F.explode(starts).alias("date"))
 
 
-def missing_bars(bars: DataFrame, days: DataFrame, spec: SessionSpec) -> DataFrame:
-    """Bar starts of the given days that have no bar."""
-    return day_grid(days, spec).join(bars.select("ticker", "date"), ["ticker", "date"], "left_anti")
+def missing_bars(bars: DataFrame, days: DataFrame, spec: SessionSpec, calendar: DataFrame | None = None) -> DataFrame:
+    """Bar starts of the given days that have no bar.
+
+    With a calendar the starts are those of each day's session, else they begin at midnight.
+    """
+    grid = day_grid(days, spec) if calendar is None else cal.session_grid(days, calendar, spec.bar)
+    return grid.join(bars.select("ticker", "date"), ["ticker", "date"], "left_anti")
 
 
-def fill_from_nearest(bars: DataFrame, days: DataFrame, spec: SessionSpec) -> DataFrame:
-    """Bars for the missing starts, copied from the nearest bar of the day.
+def fill_from_nearest(
+    bars: DataFrame,
+    days: DataFrame,
+    spec: SessionSpec,
+    calendar: DataFrame | None = None,
+    session: cal.Session = cal.Session(),
+) -> DataFrame:
+    """Bars for the missing starts, copied from the nearest bar of the day, or of its session with a calendar.
 
     The earlier bar wins a tie. A day's bars and grid are one bounded group.
     """
     payload = ["open", "high", "low", "close", "volume", "count"]
-    present = with_day(bars).join(days.select(*BY_DAY), list(BY_DAY), "left_semi")
+    dated = with_day(bars) if calendar is None else cal.in_calendar(bars, calendar, session)
+    present = dated.join(days.select(*BY_DAY), list(BY_DAY), "left_semi")
     points = present.select(*BY_DAY, "date", F.struct("date", *payload).alias("_bar")).unionByName(
-        missing_bars(bars, days, spec), allowMissingColumns=True
+        missing_bars(bars, days, spec, calendar), allowMissingColumns=True
     )
     by_day = Window.partitionBy(*BY_DAY).orderBy("date")
     before = F.last("_bar", ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, 0))

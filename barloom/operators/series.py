@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 CHUNK_ROWS = 8192
 JOIN_COPIES = 16
-# exp(-40) is below the rounding of a double, exp(600) is within its range
-NEGLIGIBLE, REPRESENTABLE = 40.0, 600.0
+# exp(600) is within the range of a double; exp(-1455) times the largest double is below the least one
+VANISHED, REPRESENTABLE = 1455.0, 600.0
 
 
 def day_of(date: str | Column = "date") -> Column:
@@ -239,8 +239,9 @@ def exponential_averages(
     """Weighted averages with weights (1 - a)^age, a = 2 / (span + 1), over all earlier rows.
 
     Inside a chunk the weighted sum is a running sum of ``x * (1 - a)^-j`` scaled back;
-    what came before enters through the totals of the chunks before it, as many as
-    still carry weight. The sum of the weights has a closed form.
+    what came before enters through the totals of all chunks before it whose weight times the
+    largest double is not zero, so nothing that a double can hold is cut. The sum of the
+    weights has a closed form.
     """
     decay = {name: 1.0 - 2.0 / (span + 1) for name, span in spans.items()}
     fits = min(int(REPRESENTABLE / -math.log(keep)) for keep in decay.values())
@@ -257,17 +258,24 @@ def exponential_averages(
     totals = numbered.groupBy(*keys).agg(
         *[F.sum(F.col(value) * F.pow(F.lit(keep), chunk_rows - 1 - slot)).alias(name) for name, keep in decay.items()]
     )
-    reach = {name: math.ceil(NEGLIGIBLE / (-math.log(keep) * chunk_rows)) for name, keep in decay.items()}
-    ages = F.explode(F.sequence(F.lit(1), F.lit(max(reach.values()))))
+    reach = max(math.ceil(VANISHED / (-math.log(keep) * chunk_rows)) for keep in decay.values())
+    later = F.max("_chunk").over(Window.partitionBy(*key)) - F.col("_chunk")
+    ages = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_later"), F.lit(reach))))
+
+    def faded(name: str, keep: float) -> Column:
+        """A total after some chunks; in two steps, as the whole factor may be zero where the product is not."""
+        steps = F.col("_age") - 1
+        half = F.floor(steps / 2)
+        return F.col(name) * F.pow(F.lit(keep), half * chunk_rows) * F.pow(F.lit(keep), (steps - half) * chunk_rows)
+
     carried = (
-        totals.withColumn("_age", ages)
+        totals.withColumn("_later", later)
+        .where("_later > 0")
+        .withColumn("_age", ages)
         .withColumn("_chunk", F.col("_chunk") + F.col("_age"))
         .groupBy(*keys)
         .agg(
-            *[
-                F.sum(F.col(name) * F.pow(F.lit(keep**chunk_rows), F.col("_age") - 1)).alias(f"_{name}")
-                for name, keep in decay.items()
-            ]
+            *[F.sum(faded(name, keep)).alias(f"_{name}") for name, keep in decay.items()]
         )
     )
     inside = numbered.withColumns(

@@ -35,24 +35,26 @@ def ingest_bars(
     bars_per_day: int = c.BARS_PER_DAY,
     retained_rows: int = c.RETAINED_DAYS * c.BARS_PER_DAY,
     daily: DataFrame | None = None,
+    holidays: DataFrame | None = None,
 ) -> Ingested:
     """Parse, keep full days, upsert, retain the newest rows, take volume bounds.
 
+    ``holidays`` (ticker, day) are the non-full days known so far; those found now come back with them.
+
     ``daily`` is the series whose days the intraday table must cover; the days it still
     lacks come back as requests. Daily and minute bars skip the full-day rule.
     """
     typed = sinks.typed_bars(raw, time_frame)
     stored = existing.withColumn("has_gaps", F.lit(False)) if "has_gaps" not in existing.columns else existing
-    known = bb.distinct_days(stored).where(F.lit(False))
+    known = bb.distinct_days(stored).where(F.lit(False)) if holidays is None else holidays.select("ticker", "day")
     if time_frame == "5 mins":
-        holidays = bb.non_full_days(typed, known, bars_per_day).select("ticker", "day")
+        found = bb.non_full_days(typed, known, bars_per_day)
+        known = bb.register_non_full_days(known, found)
         typed = bb.full_days_only(typed, bars_per_day).drop("day")
-    else:
-        holidays = known
     merged = sinks.upsert_bars(stored, typed)
     kept = bb.retain_newest(merged, retained_rows)
     requests = bb.missed_days(daily, kept) if daily is not None else None
-    return Ingested(kept, holidays, ff.volume_bounds(kept), requests)
+    return Ingested(kept, known, ff.volume_bounds(kept), requests)
 
 
 def request_dates(bars: DataFrame, now: Column) -> DataFrame:
