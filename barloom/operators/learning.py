@@ -9,24 +9,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 from multiprocessing.pool import ThreadPool
+from operator import and_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from barloom import constants as c
 from barloom.operators import labels as ll
+from barloom.operators import models
 from barloom.schemas import MODEL_REGISTRY
 
 INPUTS = ["volume_delta", "open_delta", "benchmark_delta"]
 POOLED = "*"
-MIN_EACH = 8
 
 
 @dataclass(frozen=True)
@@ -71,28 +73,51 @@ def inputs_known() -> Column:
     return known
 
 
-def searches(long_rows: DataFrame, tickers: Sequence[str] = (), min_each: int = MIN_EACH) -> list[Search]:
-    """Searches with enough rows of both label values to split for validation.
+def held_back(ticker: str = "ticker") -> Column:
+    """Whether a row is kept for validation: a quarter of the rows, by their ticker and time."""
+    name = F.concat_ws("|", F.col(ticker).cast("string"), F.col("date").cast("string"))
+    return F.substring(F.md5(name), 1, 1).isin("0", "4", "8", "c")
 
-    A branch without a search keeps null predictions.
-    One aggregate over the rows; what comes to the driver is the fixed grid of actions,
-    strategies, labels and periods, times the named tickers.
+
+def branches(long_rows: DataFrame, tickers: Sequence[str] = ()) -> DataFrame:
+    """One row per branch of the fixed grid (for each ticker, if any are named): rows by label value and part, and `reason`.
+
+    `reason` says why a branch has no model ('no rows', 'one label value') or one without a
+    validation ('no split': a part lacks a label value); else it is null.
     """
-    keys = ["action", "strategy", "session_period", "label"]
-    if tickers:
-        long_rows, keys = long_rows.where(F.col("ticker").isin(*tickers)), [*keys, "ticker"]
+    keys = ["ticker", "action", "strategy", "session_period", "label"]
+    rows = long_rows.withColumn("_held", held_back())
+    rows = rows.where(F.col("ticker").isin(*tickers)) if tickers else rows.withColumn("ticker", F.lit(POOLED))
+    yes, held = F.col("value"), F.col("_held")
     counts = (
-        long_rows.where(F.col("value").isNotNull() & inputs_known())
+        rows.where(F.col("value").isNotNull() & inputs_known())
         .groupBy(*keys)
-        .agg(F.count_if("value").alias("yes"), F.count_if(~F.col("value")).alias("no"))
-        .where(F.least("yes", "no") >= min_each)
+        .agg(
+            F.count_if(yes).alias("yes"),
+            F.count_if(~yes).alias("no"),
+            F.count_if(yes & held).alias("held_yes"),
+            F.count_if(~yes & held).alias("held_no"),
+        )
     )
-    found = [Search(**{name: row[name] for name in keys}) for row in counts.collect()]
-    return sorted(found, key=lambda s: (s.action, s.strategy, s.session_period, s.label, s.ticker))
+    grid = [
+        (str(ticker), action, strategy, period, label)
+        for ticker in (tickers or [POOLED])
+        for strategy, action, *both in ll.LABEL_MATRIX
+        for period in range(1, c.SESSION_PERIODS + 1)
+        for label in both
+    ]
+    every = long_rows.sparkSession.createDataFrame(grid, "ticker string, action string, strategy string, session_period int, label string")
+    joined = every.join(counts.withColumn("ticker", F.col("ticker").cast("string")), keys, "left").fillna(0, ["yes", "no", "held_yes", "held_no"])
+    least = F.least("held_yes", "held_no", F.col("yes") - F.col("held_yes"), F.col("no") - F.col("held_no"))
+    reason = (
+        F.when(F.col("yes") + F.col("no") == 0, "no rows")
+        .when(F.least("yes", "no") == 0, "one label value")
+        .when(least == 0, "no split")
+    )
+    return joined.withColumn("reason", reason)
 
 
-def _model_search(seed: int, parallelism: int) -> TrainValidationSplit:
-    chain = Pipeline(stages=[])
+def _param_maps(chain: Pipeline, seed: int) -> list[dict]:
     logistic = LogisticRegression(maxIter=c.LOGISTIC_ITERATIONS)
     forest = RandomForestClassifier(impurity="entropy", numTrees=c.FOREST_TREES, seed=seed)
     perceptron = MultilayerPerceptronClassifier(
@@ -105,15 +130,24 @@ def _model_search(seed: int, parallelism: int) -> TrainValidationSplit:
             built = built.addGrid(model.getParam(name), list(options))
         return built.build()
 
-    maps = grid(logistic, regParam=c.LOGISTIC_PENALTIES) + grid(forest) + grid(perceptron)
-    return TrainValidationSplit(
-        estimator=chain,
-        estimatorParamMaps=maps,
-        evaluator=BinaryClassificationEvaluator(),
-        trainRatio=c.TRAIN_RATIO,
-        parallelism=parallelism,
-        seed=seed,
-    )
+    return grid(logistic, regParam=c.LOGISTIC_PENALTIES) + grid(forest) + grid(perceptron)
+
+
+def search(data: DataFrame, validated: bool, seed: int = 42, parallelism: int = 2) -> tuple[PipelineModel, float | None]:
+    """The best model, refitted on all rows, and its area on the rows held back (`_held`).
+
+    Without a validation the first parameters are taken.
+    """
+    chain = Pipeline(stages=[])
+    maps = _param_maps(chain, seed)
+    if not validated:
+        return chain.fit(data, maps[0]), None
+    evaluator = BinaryClassificationEvaluator()
+    known, held = data.where(~F.col("_held")), data.where("_held")
+    with ThreadPool(parallelism) as pool:
+        areas = pool.map(lambda m: evaluator.evaluate(chain.fit(known, m).transform(held)), maps, chunksize=1)
+    best = max(range(len(maps)), key=lambda i: areas[i])
+    return chain.fit(data, maps[best]), float(areas[best])
 
 
 def train_classifiers(
@@ -124,27 +158,36 @@ def train_classifiers(
     parallelism: int = 2,
     at_once: int = 4,
 ) -> DataFrame:
-    """Fit every search, store the best model under ``root``, return the registry rows.
+    """Fit every branch that has both label values, store the best model under ``root``, return the registry rows.
 
+    Branches without a model, or without a validation, are registered with the reason.
     ``long_rows`` should be a stored table, best partitioned by action, strategy and
     period, so that a search reads only its own rows. Rows with a missing label or input do
     not train.
     """
 
-    def fit(search: Search):
-        data = long_rows.where(search.rows() & (F.col("label") == search.label) & F.col("value").isNotNull() & inputs_known()).select(
-            F.col("value").cast("int").alias("label"), *INPUTS
+    def fit(branch: Row):
+        one = Search(branch["action"], branch["strategy"], branch["session_period"], branch["label"], branch["ticker"])
+        kept = [branch[name] for name in ("yes", "no", "held_yes", "held_no", "reason")]
+        if branch["reason"] in ("no rows", "one label value"):
+            return (one.ticker, one.action, one.strategy, one.session_period, one.label, None, None, None, *kept)
+        data = long_rows.where(one.rows() & (F.col("label") == one.label) & F.col("value").isNotNull() & inputs_known()).select(
+            F.col("value").cast("int").alias("label"), *INPUTS, held_back().alias("_held")
         )
-        fitted = _model_search(seed, parallelism).fit(data)
-        name = "-".join(map(str, (search.action, search.strategy, search.session_period, search.label)))
-        path = f"{root}/{name}" if search.ticker == POOLED else f"{root}/{name}-{search.ticker}"
-        fitted.bestModel.write().overwrite().save(path)
-        winner = type(fitted.bestModel.stages[-1]).__name__
-        return (search.ticker, search.action, search.strategy, search.session_period, search.label, path, winner, float(max(fitted.validationMetrics)))
-
+        model, area = search(data, branch["reason"] is None, seed, parallelism)
+        name = "-".join(map(str, (one.action, one.strategy, one.session_period, one.label)))
+        path = f"{root}/{name}" if one.ticker == POOLED else f"{root}/{name}-{one.ticker}"
+        model.write().overwrite().save(path)
+        winner = type(model.stages[-1]).__name__
+        return (one.ticker, one.action, one.strategy, one.session_period, one.label, path, winner, area, *kept)
+
+    # The grid is fixed, times the named tickers.
     with ThreadPool(at_once) as pool:
-        rows = pool.map(fit, searches(long_rows, tickers), chunksize=1)
-    schema = "ticker string, action string, strategy string, session_period int, label string, path string, winner string, area_under_roc double"
+        rows = pool.map(fit, branches(long_rows, tickers).collect(), chunksize=1)
+    schema = (
+        "ticker string, action string, strategy string, session_period int, label string, path string, winner string, "
+        "area_under_roc double, yes long, no long, held_yes long, held_no long, reason string"
+    )
     return long_rows.sparkSession.createDataFrame(rows, schema).withColumn("date", F.current_timestamp().cast("timestamp_ntz"))
 
 
@@ -152,37 +195,33 @@ def registry_columns() -> list[str]:
     return [part.split()[0] for part in MODEL_REGISTRY.split(", ")]
 
 
-def score(rows: DataFrame, registry: DataFrame) -> DataFrame:
-    """Predictions of both labels of every row's strategy and action.
+def score(rows: DataFrame, registry: DataFrame, model_bytes: int = models.MODEL_BYTES) -> DataFrame:
+    """Predictions of both labels of every row's strategy and action, all labels as columns.
 
-    The pooled registry is the fixed grid, so it comes to the driver as paths. ``rows``
-    should be a table partitioned by action, strategy and period: every branch of the
-    union then reads its own partition once, for both labels.
+    A row takes its ticker's own model where the registry has one, else the pooled one, of the newest
+    date each; without either, and for a missing input, the prediction is null. The registry is the fixed grid
+    times the named tickers; rows meet model numbers in a join and are scored in one pass.
     """
-    entries = registry.where(F.col("ticker") == POOLED).select(
-        "action", "strategy", "session_period", "label", "path"
-    ).collect()
-    paths = {(e.action, e.strategy, e.session_period, e.label): e.path for e in entries}
-    parts = []
-    for strategy, action, *both in ll.LABEL_MATRIX:
-        for period in range(1, c.SESSION_PERIODS + 1):
-            part = rows.where(Search(action, strategy, period, "").rows())
-            for label in both:
-                path = paths.get((action, strategy, period, label))
-                part = _predict(part, PipelineModel.load(path), label) if path else part.withColumn(label, F.lit(None).cast("boolean"))
-            absent = [name for name in c.LABELS if name not in both]
-            part = part.withColumns({name: F.lit(None).cast("boolean") for name in absent})
-            parts.append(part.select(*rows.columns, *c.LABELS))
-    first, *rest = parts
-    for part in rest:
-        first = first.unionByName(part)
-    return first
-
-
-def _predict(rows: DataFrame, model: PipelineModel, label: str) -> DataFrame:
-    """A row with a missing input stays, with a null prediction."""
-    scored = model.transform(rows)
-    return scored.withColumn(label, F.when(inputs_known(), F.col("prediction") > 0)).drop("features", "rawPrediction", "probability", "prediction")
+    keys = ["action", "strategy", "session_period", "label"]
+    newest = registry.where(F.col("path").isNotNull()).groupBy("ticker", *keys).agg(F.max_by("path", "date").alias("path"))
+    stored = newest.orderBy("ticker", *keys).collect()
+    spark = rows.sparkSession
+    numbered = [(e["ticker"], e["action"], e["strategy"], e["session_period"], e["label"], i) for i, e in enumerate(stored)]
+    known = spark.createDataFrame(numbered, "_ticker string, action string, strategy string, session_period int, label string, _number int")
+    branch = ["action", "strategy", "session_period"]
+
+    def of(tickers: Column, prefix: str) -> DataFrame:
+        number = [F.max(F.when(F.col("label") == name, F.col("_number"))).alias(f"{prefix}{name}") for name in c.LABELS]
+        return known.where(tickers).groupBy("_ticker", *branch).agg(*number)
+
+    own, pooled = of(F.col("_ticker") != POOLED, "_own_"), of(F.col("_ticker") == POOLED, "_pooled_").drop("_ticker")
+    same = [rows[name] == own[name] for name in branch] + [rows["ticker"].cast("string") == own["_ticker"]]
+    joined = rows.join(own, reduce(and_, same), "left").select(*[rows[name] for name in rows.columns], *[f"_own_{name}" for name in c.LABELS])
+    joined = joined.join(pooled, branch, "left")
+    chosen = [F.coalesce(f"_own_{name}", f"_pooled_{name}").alias(f"_model_{name}") for name in c.LABELS]
+    keyed = joined.select(*rows.columns, *chosen)
+    loaded = {i: models.load(spark, e["path"]) for i, e in enumerate(stored)}
+    return models.predict(keyed, loaded, INPUTS, c.LABELS, model_bytes)
 
 
 def drop_excepted(scored: DataFrame, conflict_dates: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ def predict(trained: Trained) -> DataFrame:
     return ml.predict_labels(ml.drop_excepted(scored, trained.conflict_dates))
 
 
-def run(labelled: DataFrame) -> DataFrame:
-    """Labelled rows with their labels replaced by predictions where there are any."""
-    predictions = predict(train(labelled))
+def run(labelled: DataFrame, trained: Trained | None = None) -> DataFrame:
+    """Labelled rows with their labels replaced by predictions where there are any; of a former training, if given."""
+    predictions = predict(trained or train(labelled))
     stored = labelled.select(*ll.ROW, "strategy", "session_period", *[F.col(n) for n in ("high_delta", "low_delta", "high_stop", "low_stop")])
     return ll.update_labels(stored, predictions)

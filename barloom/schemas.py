@@ -30,8 +30,9 @@ TECHNICAL_PARAMS = (
     "low_stop boolean, high_stop boolean, spy boolean"
 )
 MODEL_REGISTRY = (
-    "date timestamp_ntz, ticker string, session_period int, strategy string, "
-    "label string, path string, winner string, area_under_roc double"
+    "date timestamp_ntz, ticker string, action string, session_period int, strategy string, "
+    "label string, path string, winner string, area_under_roc double, "
+    "yes bigint, no bigint, held_yes bigint, held_no bigint, reason string"
 )
 EVENTS = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "

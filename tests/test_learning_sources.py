@@ -1,12 +1,19 @@
 """Training on a small separable set, sinks and documents."""
 
+import random
+from datetime import timedelta
+
+import pytest
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from barloom.operators import learning as ml
+from barloom.operators import models
 from barloom.plans import daytrade
 from barloom.session import fresh_path
 from barloom.sources import documents as docs
 from barloom.sources import sinks
+from barloom.sources.stage import stage
 from tests.helpers import at, bars, rows_of
 from tests.test_labels_orders import labelled
 
@@ -24,8 +31,12 @@ def test_train_and_predict(spark):
     rows = separable(spark)
     trained = daytrade.train(rows)
     registry = trained.registry.collect()
-    assert [(r["strategy"], r["action"], r["label"], r["session_period"]) for r in registry] == [("trend", "buy", "high_delta", 1)]
-    assert registry[0]["area_under_roc"] > 0.95
+    assert len(registry) == 48
+    models = [r for r in registry if r["path"]]
+    assert [(r["strategy"], r["action"], r["label"], r["session_period"]) for r in models] == [("trend", "buy", "high_delta", 1)]
+    assert models[0]["area_under_roc"] > 0.95 and models[0]["reason"] is None
+    reasons = {(r["strategy"], r["action"], r["label"], r["session_period"]): r["reason"] for r in registry if not r["path"]}
+    assert reasons["trend", "buy", "high_stop", 1] == "one label value" and reasons["trend", "sell", "low_delta", 1] == "no rows"
     scored = ml.score(trained.rows, trained.registry)
     hits = scored.select("date", F.col("high_delta").alias("p")).join(rows.select("date", "high_delta"), "date")
     assert hits.where("p = high_delta").count() >= 0.95 * hits.count()
@@ -36,13 +47,90 @@ def test_train_and_predict(spark):
     assert first["high_delta"] is False and first["low_delta"] is None
 
 
-def test_searches_skip_one_sided_labels(spark):
+def test_branches_say_why_there_is_no_model(spark):
     from barloom.operators.labels import long_labels
 
-    found = ml.searches(long_labels(separable(spark)))
-    assert [(s.label, s.ticker) for s in found] == [("high_delta", "*")]
-    named = ml.searches(long_labels(separable(spark)), tickers=["A", "B"])
-    assert [(s.label, s.ticker) for s in named] == [("high_delta", "A")]
+    long_rows = long_labels(separable(spark))
+    pooled = {(r["strategy"], r["action"], r["session_period"], r["label"]): r for r in ml.branches(long_rows).collect()}
+    assert len(pooled) == 48
+    one = pooled["trend", "buy", 1, "high_delta"]
+    assert one["reason"] is None and one["yes"] + one["no"] == 240
+    held = long_rows.where((F.col("label") == "high_delta") & ml.held_back()).count()
+    assert one["held_yes"] + one["held_no"] == held and 30 < held < 90
+    named = ml.branches(long_rows, tickers=["A", "B"]).where("reason is null").collect()
+    assert [(r["label"], r["ticker"]) for r in named] == [("high_delta", "A")]
+    few = long_rows.where("label = 'high_delta'").orderBy(F.desc("value"), "date").limit(121)
+    few = few.where(F.col("value")).limit(1).unionByName(few.where(~F.col("value")))
+    assert ml.branches(few).where("reason is not null and yes > 0").select("reason").first()[0] == "no split"
+
+
+LONG = "ticker string, action string, strategy string, session_period int, label string, date timestamp_ntz, volume_delta double, open_delta double, benchmark_delta double, value boolean"
+
+
+def opposite(spark):
+    """Tickers A and B follow the open delta in opposite ways, C has no model of its own."""
+    rows = []
+    for i in range(240):
+        for ticker in "ABC":
+            up = (i // 2) % 2 == 0
+            when = at("2024-01-02 10:00:00") + timedelta(minutes=5 * i)
+            rows.append((ticker, "buy", "trend", 1, "high_delta", when, (i % 4) / 4, 1.0 + (0.2 if up else -0.2) + (i % 3) / 100, 1.0 + (i % 2) / 10, up == (ticker != "B")))
+    return spark.createDataFrame(rows, LONG)
+
+
+def test_tickers_with_opposite_models_predict_oppositely(spark):
+    long_rows = stage(opposite(spark), "opposite")
+    root = fresh_path(spark, "models")
+    registry = ml.train_classifiers(long_rows, root, tickers=["A", "B"]).unionByName(ml.train_classifiers(long_rows, root))
+    registry = stage(registry.where("session_period = 1 and label = 'high_delta'"), "registry")
+    rows = long_rows.drop("label", "value")
+    rows = rows.unionByName(rows.limit(1).withColumns({"ticker": F.lit("A"), "open_delta": F.lit(None).cast("double"), "volume_delta": F.lit(9.0)}))
+    for limit in (64 << 20, 1):
+        scored = ml.score(rows, registry, model_bytes=limit)
+        assert scored.columns == [*rows.columns, "high_delta", "low_delta", "high_stop", "low_stop"]
+        got = {(r["ticker"], r["date"]): r["high_delta"] for r in scored.where("volume_delta < 9").collect()}
+        right = {"A": 0, "B": 0, "C": 0}
+        for r in long_rows.collect():
+            right[r["ticker"]] += got[r["ticker"], r["date"]] == r["value"]
+        assert right["A"] > 230 and right["B"] > 230
+        # the pooled model follows the two of three
+        assert right["C"] > 200 and scored.where("low_delta is not null").count() == 0
+        assert [r["high_delta"] for r in scored.where("volume_delta = 9").collect()] == [None]
+
+
+@pytest.mark.parametrize("kind", ["logistic", "forest", "perceptron"])
+def test_numbers_of_a_model_predict_as_the_model(spark, kind):
+    rng = random.Random(4)
+    rows = [(int(a + b * b > 0.7 + rng.gauss(0, 0.2)), a, b, d) for a, b, d in ((rng.random(), rng.random(), rng.random()) for _ in range(400))]
+    data = spark.createDataFrame(rows, "label int, volume_delta double, open_delta double, benchmark_delta double")
+    chain = Pipeline(stages=[])
+    which = {"logistic": 1, "forest": 4, "perceptron": 5}[kind]
+    model = chain.fit(data, ml._param_maps(chain, 7)[which])
+    path = f"{fresh_path(spark, 'model')}/one"
+    model.write().save(path)
+    numbers = models.load(spark, path)
+    assert type(numbers).__name__.lower() == kind
+    want = model.transform(data).select("volume_delta", "open_delta", "benchmark_delta", "prediction").toPandas()
+    got = numbers.positive(want[ml.INPUTS].to_numpy())
+    assert (got == (want["prediction"] > 0)).all() and 0 < got.mean() < 1
+
+
+def test_area_of_a_search_equals_ranks(spark):
+    """The registered area is that of the winner's scores on the rows held back, by ranks."""
+    rows = [r for r in opposite(spark).where("ticker = 'A'").collect()]
+    data = spark.createDataFrame(
+        [(int(r["value"] != (i % 9 == 0)), r["volume_delta"], r["open_delta"], r["benchmark_delta"], i % 4 == 0) for i, r in enumerate(rows)],
+        "label int, volume_delta double, open_delta double, benchmark_delta double, _held boolean",
+    )
+    _, area = ml.search(data, True, seed=3)
+    chain = Pipeline(stages=[])
+    areas = []
+    for m in ml._param_maps(chain, 3):
+        scored = chain.fit(data.where(~F.col("_held")), m).transform(data.where("_held"))
+        points = [(r["label"], float(r["rawPrediction"][1])) for r in scored.select("label", "rawPrediction").collect()]
+        pairs = [(y > n) + 0.5 * (y == n) for a, y in points if a for b, n in points if not b]
+        areas.append(sum(pairs) / len(pairs))
+    assert area == pytest.approx(max(areas), abs=0.02)
 
 
 def test_replace_by_key_leaves_other_tickers(spark):

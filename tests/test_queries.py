@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from tools.check import TABLES, compare
 
 SF_DIR = "/root/testdata/sf0.001"
-TRAINING = ("m02", "m05_score", "m06", "m07", "m08", "s07")
+TRAINING = ("m02_train", "m05_score", "m06", "m07", "m08", "s07")
 
 #: The text operators have their own tests.
 OWN = sorted(n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n))
