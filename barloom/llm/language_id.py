@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import chunks, flat
 
 BUCKETS = 1 << 16
+# Text scored at once: its trigrams take about 60 times as many bytes for a moment.
+SCORED_BYTES = 1 << 19
 SAMPLE_BYTES = 4_000_000
 SMOOTHING = 0.5
 ROUNDS = 12
@@ -201,7 +203,7 @@ def identify(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for part in chunks(map(beside, batches), "text"):
+        for part in chunks(map(beside, batches), "text", SCORED_BYTES):
             texts = part.column("text")
             rows = part.num_rows
             known = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"\pL"), False))
