@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What operators keep in a worker between partitions, by operator, and how to let it go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, release: Callable[[], None]) -> None:
+    _KEPT[operator] = release
+
+
+def release_others(operator: str) -> None:
+    """Let go of what other operators keep in this worker; Spark uses workers again for later jobs."""
+    others = [release for name, release in _KEPT.items() if name != operator]
+    for release in others:
+        release()
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: freed memory is used again, only not handed back
+            pass
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows, from 0) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

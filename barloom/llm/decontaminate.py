@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import chunks, flat, lower_table
+from barloom.llm.common import chunks, flat, keeps, lower_table
 from barloom.sources.stage import stage
 
 WINDOW_WORDS = 13
@@ -64,6 +64,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 _POWERS: list[np.ndarray] = []
+keeps("decontamination", _POWERS.clear)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

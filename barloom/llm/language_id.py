@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import chunks, flat
+from barloom.llm.common import chunks, flat, release_others
 
 BUCKETS = 1 << 16
 # Text scored at once: its trigrams take about 60 times as many bytes for a moment.
@@ -202,6 +202,7 @@ def identify(
         return pa.RecordBatch.from_arrays([row, text], names=["row", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others("language_id")
         table = shared.value
         for part in chunks(map(beside, batches), "text", SCORED_BYTES):
             texts = part.column("text")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import chunks, flat
+from barloom.llm.common import chunks, flat, keeps
 from barloom.llm.pretokens import token_lists
 from barloom.sources.stage import stage
 
@@ -85,6 +85,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+keeps("packing", encoder.cache_clear)
+
+
 @dataclass
 class Window:
     number: int
