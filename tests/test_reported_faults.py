@@ -5,10 +5,12 @@ import math
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
+from pyspark.sql import functions as F
 
-from barloom.operators import learning
+from barloom.operators import learning, models
 from barloom.operators.orders import apply_order_updates, status_update
 from barloom.operators.series import Trailing
+from barloom.session import fresh_path
 from barloom.streaming.runs import file_stream, run_to_table
 
 
@@ -70,7 +72,11 @@ def test_rows_with_missing_inputs_stay_in_scoring(spark):
     )
     chain = Pipeline(stages=[learning.assembler(), LogisticRegression(maxIter=5)])
     model = chain.fit(rows.where(learning.inputs_known()))
-    found = {r["id"]: r["high_delta"] for r in learning._predict(rows, model, "high_delta").collect()}
+    path = f"{fresh_path(spark, 'model')}/one"
+    model.write().save(path)
+    numbered = rows.withColumn("_model_high_delta", F.lit(0))
+    scored = models.predict(numbered, {0: models.load(spark, path)}, learning.INPUTS, ["high_delta"])
+    found = {r["id"]: r["high_delta"] for r in scored.collect()}
     assert found == {1: False, 2: True, 3: None, 4: None}
     arrays = {r["id"]: r["features"] for r in learning.feature_arrays(rows).collect()}
     assert arrays[3] == [None, 0.2, 0.3] and arrays[4] == [0.1, None, 0.3] and arrays[1] == [0.1, 0.2, 0.3]
