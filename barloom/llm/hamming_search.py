@@ -35,7 +35,10 @@ def masks(weight: int) -> np.ndarray:
 
 
 def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """`id, code`: one bit for each dimension, set if positive; rows without a vector are left out."""
+    """`id, code`: one bit for each dimension, set if positive; rows without a vector or an id are left out.
+
+    NaN and null elements count as zero, so do all of an empty vector.
+    """
     kind = vectors.schema[id_col].dataType.simpleString()
     source = vectors.filter(F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
@@ -143,7 +146,8 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     Both frames have `id, code`. Codes are dealt into shards of bounded size and queries into blocks of
     bounded size; every block meets every shard, and the shards' best meet per query. Of equal codes only
     the k smallest ids can be among the nearest, so no group of copies is larger than that. A query with
-    fewer than k codes gets them all. Repeated ids are rows of their own. Empty tables give no rows.
+    fewer than k codes gets them all. Codes with a repeated id are rows of their own; so are queries with a
+    repeated id and different codes, equal ones are one query. Empty tables give no rows.
     """
     id_kind, query_kind = codes.schema["id"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
     least = Window.partitionBy("code").orderBy("id")
@@ -168,6 +172,7 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return pa.table(
             {
                 "query_id": right.column("id").take(pa.array(q, pa.int64())),
+                "query_code": right.column("code").take(pa.array(q, pa.int64())),
                 "neighbor_id": left.column("id").take(pa.array(r, pa.int64())),
                 "distance": pa.array(d, pa.int64()),
             }
@@ -190,9 +195,9 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     near = (
         data.repartition(tasks, "shard", "block").groupBy("shard", "block")
         .cogroup(once.repartition(tasks, "shard", "block").groupBy("shard", "block"))
-        .applyInArrow(best, f"query_id {query_kind}, neighbor_id {id_kind}, distance long")
+        .applyInArrow(best, f"query_id {query_kind}, query_code binary, neighbor_id {id_kind}, distance long")
     )
-    ranked = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
+    ranked = Window.partitionBy("query_id", "query_code").orderBy("distance", "neighbor_id")
     return (
         near.withColumn("rank", F.row_number().over(ranked).cast("long"))
         .filter(F.col("rank") <= k)

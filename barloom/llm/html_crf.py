@@ -76,7 +76,7 @@ class Model:
         return path[::-1]
 
     def extract(self, page: str | None) -> str:
-        blocks = blocks_of(page or "")
+        blocks = blocks_of(page or "", self.number)
         return "\n".join(b.text for b, keep in zip(blocks, self.decode(blocks), strict=True) if keep)
 
 

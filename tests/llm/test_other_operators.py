@@ -1,10 +1,14 @@
 """Pages, benchmark passages, languages, addresses and Hamming search against plain versions."""
 
 import hashlib
+import math
+import random
 import re
+from itertools import combinations
 
 import duckdb
 import numpy as np
+import pytest
 
 from barloom.llm.decontaminate import decontaminate
 from barloom.llm.hamming_search import search, sign_codes
@@ -201,6 +205,64 @@ def test_addresses(spark):
     assert {r["judged"]["verdict"] for r in judge(frame, none, [Rule("com/", "allow")]).collect()} == {"allow"}
 
 
+def split_address(url):
+    """Tokens of addresses without a query, dots inside words or numbers."""
+    host, _, path = url.partition("://")[2].partition("/")
+    labels = host.split(".")
+    parts = [p for x in labels for p in re.split("[-_]", x) if p not in labels]
+    return [f"host:{host}", *(f"label:{x}" for x in labels), *(f"part:{p}" for p in parts), *(f"path:{w}" for w in path.split("/") if w)]
+
+
+def wilson(bad, n, z):
+    share = bad / n
+    return (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def test_mined_rules_equal_counts_of_all_token_sets(spark):
+    """Every token set of every blocked address, counted one by one, against mining with a span over all items."""
+    r = random.Random(5)
+    rows = []
+    for _ in range(400):
+        words = [r.choice("abcd"), r.choice("efg"), r.choice("hij")]
+        url = f"http://{r.choice(['x', 'y'])}.org/" + "/".join(words)
+        rows.append((url, r.random() < (0.9 if words[0] == "a" and words[1] == "e" else 0.7 if words[2] == "h" else 0.05)))
+    frame = spark.createDataFrame(rows, "url string, blocked boolean")
+    mined = mine(frame, support=0.02, span=12)
+    rules = {tuple(x["tokens"]): x for x in mined.collect()}
+    tokens = [set(split_address(u)) for u, _ in rows]
+    assert any(len({t for t in k if t.startswith("path:")}) > 1 for k in rules)
+    base, good = sum(b for _, b in rows) / len(rows), {}
+    for have in {frozenset(t) for t in tokens}:
+        for size in range(1, len(have) + 1):
+            for part in combinations(sorted(have), size):
+                if part not in good:
+                    n = sum(set(part) <= t for t in tokens)
+                    bad = sum(b and set(part) <= t for t, (_, b) in zip(tokens, rows, strict=True))
+                    kept = bad >= 10 and bad / n >= 0.5 and wilson(bad, n, 3.0) > base
+                    good[part] = (bad / n, bad / n / base, bad / len(rows)) if kept else None
+    for k, x in rules.items():
+        assert good[k] == pytest.approx((x["confidence"], x["lift"], x["support"]))
+    judged = judge(spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string"), mined, []).collect()
+    for x in judged:
+        best = max((v[0] for k, v in good.items() if v and set(k) <= tokens[x["page_id"]]), default=None)
+        assert (x["judged"]["confidence"], x["judged"]["verdict"]) == (pytest.approx(best) if best else None, "block" if best else "allow")
+        assert not best or set(x["judged"]["tokens"]) <= tokens[x["page_id"]]
+
+
+def test_mining_a_frequent_address_of_many_words(spark):
+    """Words of one long address that each stand elsewhere too: item sets stay bounded by the span."""
+    names = [f"w{chr(97 + i)}" for i in range(20)]
+    rows = [("http://bad.org/" + "/".join(names) + f"/k{chr(97 + k)}", True) for k in range(26)]
+    rows += [(f"http://good.org/{names[k % 20]}/z{chr(97 + k % 25)}", False) for k in range(600)]
+    rows += [("http://bad.org/" + "/".join(f"v{i}x" for i in range(3000)), True)] * 15
+    mined = mine(spark.createDataFrame(rows, "url string, blocked boolean"))
+    urls = [(0, rows[0][0]), (1, rows[30][0]), (2, rows[-1][0]), (3, None)]
+    got = judge(spark.createDataFrame([(*u, "x") for u in urls], "page_id long, url string, judged string"), mined).collect()
+    assert {x["page_id"]: x["judged"]["verdict"] for x in got} == {0: "block", 1: "allow", 2: "block", 3: "allow"}
+    assert judge(spark.createDataFrame([], "page_id long, url string"), mined).collect() == []
+    assert mine(spark.createDataFrame([("http://a.org/x", False)] * 30, "url string, blocked boolean")).collect() == []
+
+
 def test_search_with_ties_copies_and_odd_vectors(spark):
     r = np.random.default_rng(2)
     vectors = [(i, r.normal(size=64).tolist()) for i in range(300)]
@@ -218,6 +280,26 @@ def test_search_with_ties_copies_and_odd_vectors(spark):
     assert search(codes.limit(0), codes).collect() == []
 
 
+def test_search_with_repeated_query_ids(spark):
+    """Two queries of one id and opposite codes both get their nearest; equal ones are one query."""
+    codes = spark.createDataFrame([(i, bytes([i] * 8)) for i in range(8)] + [(3, bytes([255] * 8))], "id long, code binary")
+    asked = spark.createDataFrame([(1, bytes(8)), (1, bytes([255] * 8)), (1, bytes(8))], "id long, code binary")
+    got = sorted((x["distance"], x["rank"], x["neighbor_id"]) for x in search(codes, asked, k=2).collect())
+    assert got == [(0, 1, 0), (0, 1, 3), (8, 2, 1), (40, 2, 7)]
+
+
+def test_blocks_of_deep_pages_and_open_quotes():
+    n = 100_000
+    deep = blocks_of("<div class='menu'>x" * n + "</i></b>" * n + "<p class='own'>y")
+    assert len(deep) == n + 1 and deep[-1].tag == "p"
+    assert set(deep[-1].above) == {"tag:div", "name:menu", "tag:p", "name:own"}
+    assert set(blocks_of("<div class=menu><p>y", {"tag:p"})[0].above) == {"tag:p"}
+    inline = blocks_of("<b>" * n + "<h1>z</h1><div>x</div></a>" * 1000)
+    assert [b.tag for b in inline[:2]] == ["h1", "div"] and len(inline) == 2000
+    assert [b.text for b in blocks_of('<p class="a>first</p><p>b</p>')] == ["first", "b"]
+    assert [b.text for b in blocks_of("<ul><li>a<li>b</ul><p>c<div>d</div>e")] == ["a", "b", "c", "d", "e"]
+
+
 def test_digests_of_no_items(spark):
     rows = QUERIES["op2_decontamination"](spark, SF_DIR).filter("n_items = 0").collect()
     assert {r["items_sha256"] for r in rows} == {hashlib.sha256(b"").hexdigest()}
