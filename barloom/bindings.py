@@ -371,6 +371,34 @@ def instructions(spark, sf_dir) -> DataFrame:
     )
 
 
+def order_events(spark, sf_dir) -> DataFrame:
+    """Adds, status reports, fills, syncs and removes of orders, from ticks."""
+    k = F.col("k")
+    kind = F.when(k % 5 == 0, "add").when(k % 29 == 1, "remove").when(k % 7 == 2, "sync").when(k % 3 == 0, "fill").otherwise("status")
+    return status_reports(spark, sf_dir).select(
+        "order_id",
+        (F.col("order_id") % 3).alias("account"),
+        kind.alias("kind"),
+        "event_time",
+        sf.order_status(F.col("text")).alias("status"),
+        "fill_price",
+    )
+
+
+def instruction_versions(spark, sf_dir) -> DataFrame:
+    """An instruction of each ordering customer and account, changed with each of the customer's ticks of a kind."""
+    k = F.col("k")
+    return status_reports(spark, sf_dir).where(k % 13 < 4).select(
+        (F.col("order_id") % 3).alias("account"),
+        F.col("order_id").alias("ib_id"),
+        F.col("event_time").alias("changed_at"),
+        (F.col("order_id") * 100 + k % 13).alias("instruction_id"),
+        F.lit("open stock").alias("signal_id"),
+        F.when(k % 2 == 0, "day-trade").otherwise("day_trade").alias("strategy_id"),
+        F.when(k % 13 < 2, "new").otherwise("submitted").alias("order_status"),
+    )
+
+
 def positions(spark, sf_dir) -> DataFrame:
     """Positions left by the filled instructions of an account, symbol and contract."""
     filled = instructions(spark, sf_dir).where(F.col("order_status") == "filled")

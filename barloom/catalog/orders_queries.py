@@ -336,6 +336,35 @@ def o13(spark, d):
     return oo.order_state(_events(spark, d))
 
 
+# The registry by windows: removes part the events of an order into lives, the first add that finds an
+# instruction opens a life, and only the last life counts.
+REGISTRY = f"""SELECT order_id, account, instruction_id, signal_id, strategy_id, opened_at, status, fill_price, db_status, events FROM (
+  WITH ev AS (SELECT *, order_id % 3 AS account, {NAMED} AS named, CASE WHEN k % 5 = 0 THEN 1 WHEN k % 29 = 1 THEN 5 WHEN k % 7 = 2 THEN 4 WHEN k % 3 = 0 THEN 3 ELSE 2 END AS kind
+      FROM status_reports),
+  vers AS (SELECT order_id, account, event_time AS changed_at, order_id * 100 + k % 13 AS instruction_id, 'open stock' AS signal_id,
+      CASE WHEN k % 2 = 0 THEN 'day-trade' ELSE 'day_trade' END AS strategy_id, CASE WHEN k % 13 < 2 THEN 'new' ELSE 'submitted' END AS order_status
+      FROM ev WHERE k % 13 < 4),
+  live AS (SELECT * FROM (SELECT *, count(*) FILTER (WHERE kind = 5) OVER (PARTITION BY order_id ORDER BY event_time DESC, kind DESC) AS after FROM ev) WHERE after = 0),
+  tagged AS (SELECT l.*, (SELECT max({{'t': v.changed_at, 'i': v.instruction_id, 'g': v.signal_id, 's': v.strategy_id, 'o': v.order_status}}) FROM vers v
+      WHERE v.order_id = l.order_id AND v.account = l.account AND v.changed_at <= l.event_time) AS ins FROM live l WHERE kind = 1),
+  born AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY event_time, named NULLS FIRST) AS rn FROM tagged WHERE ins IS NOT NULL) WHERE rn = 1),
+  rest AS (SELECT l.order_id, l.kind, l.event_time, l.named, l.fill_price FROM live l JOIN born b ON b.order_id = l.order_id
+      WHERE l.kind IN (2, 3, 4) AND l.event_time >= b.event_time),
+  syn AS (SELECT order_id, max(event_time) AS at FROM rest WHERE kind = 4 GROUP BY 1),
+  agg AS (SELECT r.order_id, max({{'t': event_time, 'v': named}}) FILTER (WHERE kind = 2) AS now,
+      max({{'t': event_time, 'v': named}}) FILTER (WHERE kind = 2 AND event_time <= syn.at) AS kept,
+      max({{'t': event_time, 'v': r.fill_price}}) FILTER (WHERE kind = 3) AS fill, any_value(syn.at) AS synced, count(*) AS n FROM rest r LEFT JOIN syn ON syn.order_id = r.order_id GROUP BY 1)
+  SELECT b.order_id, b.account, b.ins.i AS instruction_id, b.ins.g AS signal_id, b.ins.s AS strategy_id, b.event_time AS opened_at,
+    CASE WHEN a.now IS NOT NULL THEN a.now.v ELSE b.named END AS status, a.fill.v AS fill_price,
+    CASE WHEN a.synced IS NULL THEN b.ins.o WHEN a.kept IS NOT NULL THEN a.kept.v ELSE b.named END AS db_status, CAST(coalesce(a.n, 0) AS BIGINT) AS events
+  FROM born b LEFT JOIN agg a ON a.order_id = b.order_id)"""
+
+
+@query("o13_order_registry", REGISTRY)
+def o13_registry(spark, d):
+    return oo.order_registry(b.order_events(spark, d), b.instruction_versions(spark, d))
+
+
 @query("t10_status_changes", f"SELECT order_id, status, fill_price, db_status, events, coalesce(status IN ('filled', 'cancelled'), false) AS removed FROM {STATE} WHERE status IS DISTINCT FROM db_status")
 def t10(spark, d):
     return oo.status_changes(oo.order_state(_events(spark, d)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from barloom import constants as c
 from barloom.operators.series import day_of, spread_join
+from barloom.sources.stage import stage
 
 GROUP = ["ticker", "action", "strategy", "session_period"]
 ROW = ["ticker", "action", "date"]
@@ -95,30 +96,30 @@ def _repeated(counts: DataFrame, value: str) -> DataFrame:
     return seen.where((F.col("n") >= 2) & F.col(value).isNotNull())
 
 
-def _cascade(rows: DataFrame) -> list[DataFrame]:
+def frequency_steps(rows: DataFrame) -> list[DataFrame]:
     """Value combinations with counts: all, then after each of the three steps.
 
-    The steps depend on the values alone, so they run on the counted combinations and
-    the rows are read only to count and to filter.
+    The steps depend on the values alone, so they run on the counted combinations, a stored
+    table, and the rows are read only to count and to filter.
     """
-    steps = [rows.groupBy(*GROUP, *VALUES).agg(F.count(F.lit(1)).alias("n"))]
+    steps = [stage(rows.groupBy(*GROUP, *VALUES).agg(F.count(F.lit(1)).alias("n")), "combinations")]
     for value in VALUES:
         others = [name for name in VALUES if name != value]
         seen = _repeated(steps[-1], value).drop("n")
-        steps.append(spread_join(steps[-1], seen, [*GROUP, value], others, "left_semi"))
+        steps.append(spread_join(steps[-1], seen, [*GROUP, value], others, "left_semi", measured=steps[0]))
     return steps
 
 
-def value_frequency_prune(rows: DataFrame) -> DataFrame:
+def value_frequency_prune(rows: DataFrame, steps: list[DataFrame] | None = None) -> DataFrame:
     """Keep rows whose volume delta repeats, of those whose open delta repeats, then the
     benchmark delta."""
-    kept = _cascade(rows)[-1].select(*GROUP, *VALUES)
-    return spread_join(rows, kept, [*GROUP, *VALUES], ["date"], "left_semi")
+    kept = (steps or frequency_steps(rows))[-1].select(*GROUP, *VALUES)
+    return spread_join(rows, kept, [*GROUP, *VALUES], ["date"], "left_semi", measured=rows)
 
 
-def possible_values(rows: DataFrame) -> DataFrame:
+def possible_values(rows: DataFrame, steps: list[DataFrame] | None = None) -> DataFrame:
     """The values that pass each step, one row per value."""
-    steps = _cascade(rows)
+    steps = steps or frequency_steps(rows)
     first, *rest = [
         _repeated(counts, value).select(*GROUP, F.lit(value).alias("kind"), F.col(value).alias("value"), "n")
         for counts, value in zip(steps, VALUES)
@@ -176,7 +177,7 @@ def label_conflicts(long_rows: DataFrame) -> DataFrame:
 def conflict_dates(long_rows: DataFrame) -> DataFrame:
     """Dates of the rows in conflicting pairs, per label."""
     pairs = label_conflicts(long_rows).drop("n")
-    hit = spread_join(long_rows, pairs, [*GROUP, "label", *PAIR], ["date"], "left_semi")
+    hit = spread_join(long_rows, pairs, [*GROUP, "label", *PAIR], ["date"], "left_semi", measured=long_rows)
     return hit.select(*GROUP, "label", "date")
 
 
@@ -188,7 +189,7 @@ def conflict_pairs(long_rows: DataFrame) -> DataFrame:
 def drop_conflicts(long_rows: DataFrame) -> DataFrame:
     """Rows that are in no conflicting pair of their label."""
     pairs = label_conflicts(long_rows).drop("n")
-    return spread_join(long_rows, pairs, [*GROUP, "label", *PAIR], ["date"], "left_anti")
+    return spread_join(long_rows, pairs, [*GROUP, "label", *PAIR], ["date"], "left_anti", measured=long_rows)
 
 
 # --- predictions --------------------------------------------------------------------

@@ -487,7 +487,7 @@ def commission_rows(reports: DataFrame) -> DataFrame:
 def instruction_for_order(executions: DataFrame, instructions: DataFrame) -> DataFrame:
     """Instruction behind each execution: same account and broker id."""
     known = instructions.select("account", "ib_id", "instruction_id", "signal_id", "strategy_id", "db_status")
-    return spread_join(executions, known, ["account", "ib_id"], ["execution_id"], "left")
+    return spread_join(executions, known, ["account", "ib_id"], ["execution_id"], "left", measured=executions)
 
 
 def upsert_executions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -615,6 +615,81 @@ def order_state(events: DataFrame) -> DataFrame:
     )
 
 
+EVENT_KINDS = ("add", "status", "fill", "sync", "remove")
+
+
+def order_registry(events: DataFrame, instructions: DataFrame) -> DataFrame:
+    """Open orders after all events, each with the instruction it was added by.
+
+    ``events`` has ``order_id, account, kind, event_time, status, fill_price`` with the kinds of
+    ``EVENT_KINDS``; ``instructions`` has versions ``account, ib_id, changed_at, instruction_id, signal_id,
+    strategy_id, order_status``. An add takes the newest version of its order's instruction that is no newer
+    than itself; without one, or while the order is open, it does nothing. Status and fill events set their
+    value, null included; a sync stores the status of its time; a remove ends the order until the next add. All
+    but adds are ignored for an order that is not open. At equal times kinds apply in the order of
+    ``EVENT_KINDS``, equal ones by their greatest value. Nothing is gathered by order: each step is an aggregate
+    that combines before the shuffle.
+    """
+    rank = F.array_position(F.array(*[F.lit(kind) for kind in EVENT_KINDS]), F.col("kind"))
+    known = events.where(F.col("kind").isin(*EVENT_KINDS) & F.col("order_id").isNotNull() & F.col("event_time").isNotNull())
+    known = known.withColumn("_at", F.struct(F.col("event_time").alias("time"), rank.alias("rank")))
+    # Removes end what came before; a remove of an order that is not open changes nothing either.
+    ended = known.where(F.col("kind") == "remove").groupBy("order_id").agg(F.max("_at").alias("_ended"))
+    adds = spread_join(known.where(F.col("kind") == "add"), ended, ["order_id"], ["event_time"], "left", measured=known)
+    adds = adds.where(F.col("_ended").isNull() | (F.col("_at") > F.col("_ended")))
+    versions = instructions.select(
+        F.col("ib_id").alias("order_id"), "account", F.col("changed_at").alias("_changed"),
+        F.struct("instruction_id", "signal_id", "strategy_id", "order_status").alias("_instruction"),
+    )
+    first_known = versions.groupBy("order_id", "account").agg(F.min("_changed").alias("_changed"))
+    # The first add that finds an instruction opens the order; only then its version is looked up.
+    found = adds.join(first_known, ["order_id", "account"]).where(F.col("_changed") <= F.col("event_time"))
+    opened = found.groupBy("order_id").agg(
+        F.min(F.struct("_at", "account", "status")).alias("_open")
+    ).select("order_id", "_open.account", F.col("_open._at").alias("_opened"), F.col("_open.status").alias("_status"))
+    by = (
+        opened.join(versions, ["order_id", "account"])
+        .where(F.col("_changed") <= F.col("_opened.time"))
+        .groupBy("order_id", "account", "_opened", "_status")
+        .agg(F.max(F.struct("_changed", "_instruction")).alias("_newest"))
+        .select("order_id", "account", "_opened", "_status", "_newest._instruction")
+    )
+    later = spread_join(known.drop("account"), by.select("order_id", "_opened"), ["order_id"], ["event_time"], measured=known)
+    later = later.where((F.col("_at") > F.col("_opened")) & F.col("kind").isin("status", "fill", "sync"))
+    synced = later.where(F.col("kind") == "sync").groupBy("order_id").agg(F.max("_at").alias("_synced"))
+    later = spread_join(later.drop("_opened"), synced, ["order_id"], ["event_time"], "left", measured=known)
+
+    def newest(column: str, when: Column) -> Column:
+        return F.max(F.when(when, F.struct("_at", column)))
+
+    is_status = F.col("kind") == "status"
+    state = later.groupBy("order_id").agg(
+        newest("status", is_status).alias("_now"),
+        newest("status", is_status & (F.col("_at") < F.col("_synced"))).alias("_stored"),
+        newest("fill_price", F.col("kind") == "fill").alias("_fill"),
+        F.max("_synced").alias("_synced"),
+        F.count(F.lit(1)).alias("_events"),
+    )
+
+    def after(name: str, value: str, otherwise: Column) -> Column:
+        return F.when(F.col(name).isNotNull(), F.col(f"{name}.{value}")).otherwise(otherwise)
+
+    return by.join(state, "order_id", "left").select(
+        "order_id",
+        "account",
+        "_instruction.instruction_id",
+        "_instruction.signal_id",
+        "_instruction.strategy_id",
+        F.col("_opened.time").alias("opened_at"),
+        after("_now", "status", F.col("_status")).alias("status"),
+        F.col("_fill.fill_price").alias("fill_price"),
+        F.when(F.col("_synced").isNotNull(), after("_stored", "status", F.col("_status")))
+        .otherwise(F.col("_instruction.order_status"))
+        .alias("db_status"),
+        F.coalesce("_events", F.lit(0)).alias("events"),
+    )
+
+
 def status_changes(states: DataFrame) -> DataFrame:
     """Orders whose status is not stored yet; final ones leave the registry."""
     changed = states.where(~F.col("status").eqNullSafe(F.col("db_status")))

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 CHUNK_ROWS = 8192
 JOIN_COPIES = 16
+HOT_SHARE = 256
+TRACKED_KEYS = 1 << 14
 # exp(600) is within the range of a double; exp(-1455) times the largest double is below the least one
 VANISHED, REPRESENTABLE = 1455.0, 600.0
 
@@ -30,6 +32,19 @@ def month_of(date: str = "date") -> Column:
     return F.trunc(day_of(date), "month")
 
 
+def hot_copies(rows: DataFrame, key: Sequence[str]) -> Column:
+    """Copies of each key that holds over 1/256 of the rows, by the hash of the key, as a scalar subquery.
+
+    A frequent-items sketch counts the keys in the plan's own run, so the map has at most 256 entries and the
+    copies of all keys together are no more than about 512, whatever the number of rows.
+    """
+    top = F.expr(f"approx_top_k(_key, {HOT_SHARE}, {TRACKED_KEYS})")
+    counted = rows.select(F.xxhash64(*key).alias("_key")).agg(top.alias("top"), F.count(F.lit(1)).alias("n"))
+    hot = F.filter("top", lambda x: x["count"] * HOT_SHARE > F.col("n"))
+    copies = F.transform(hot, lambda x: F.struct(x["item"], F.ceil(x["count"] * HOT_SHARE / F.col("n")).cast("int")))
+    return counted.select(F.map_from_entries(copies).alias("copies")).scalar()
+
+
 def spread_join(
     rows: DataFrame,
     table: DataFrame,
@@ -37,13 +52,19 @@ def spread_join(
     spread_by: Sequence[str],
     how: str = "inner",
     copies: int = JOIN_COPIES,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
-    """Join rows to a table with one row per key, hot keys split over ``copies`` tasks.
+    """Join rows to a table with one row per key, hot keys split over several tasks.
 
-    Spark still broadcasts the table when its size is below the session's threshold.
+    With ``measured``, a frame whose keys are spread like those of the rows, a key gets as many copies as its
+    share of that frame asks for and all others stay single; else every key has ``copies``. The result is the
+    same whatever was measured. Spark still broadcasts the table when its size is below the session's threshold.
     """
-    slot = F.pmod(F.xxhash64(*spread_by), F.lit(copies)).cast("int")
-    slots = F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
+    split = F.lit(copies)
+    if measured is not None:
+        split = F.coalesce(F.element_at(hot_copies(measured, key), F.xxhash64(*key)), F.lit(1))
+    slot = F.pmod(F.xxhash64(*spread_by), split).cast("int")
+    slots = F.explode(F.sequence(F.lit(0), split - 1))
     return (
         rows.withColumn("_slot", slot)
         .join(table.withColumn("_slot", slots), [*key, "_slot"], how)

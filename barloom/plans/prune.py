@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from barloom.operators import labels as ll
 from barloom.operators import params as pp
+from barloom.sources.stage import stage
 
 
 @dataclass(frozen=True)
@@ -30,14 +31,18 @@ def prune_training_rows(features: DataFrame, params: DataFrame) -> Pruned:
 
 
 def prune_labelled(labelled: DataFrame) -> Pruned:
-    """Pruning of labelled rows, best a stored table: it is read more than once."""
+    """Pruning of labelled rows, best a stored table: it is read more than once.
+
+    Value combinations are counted once for all steps, and the rows left by them are stored for the conflicts.
+    """
     banded = ll.benchmark_band_filter(labelled)
-    possible = ll.value_frequency_prune(banded)
+    steps = ll.frequency_steps(banded)
+    possible = stage(ll.value_frequency_prune(banded, steps), "possible")
     long_rows = ll.long_labels(possible)
     return Pruned(
         labelled=labelled,
         keep_dates=banded.select(*ll.GROUP, "date"),
-        values=ll.possible_values(banded),
+        values=ll.possible_values(banded, steps),
         possible_dates=possible.select(*ll.GROUP, "date"),
         conflict_pairs=ll.conflict_pairs(long_rows),
         conflict_dates=ll.conflict_dates(long_rows),

@@ -12,22 +12,22 @@ from barloom.operators.bars import with_day
 from barloom.operators.series import spread_join
 from barloom.sources.tables import scan
 
-FILES_PER_KEY = 16
+FILE_ROWS = 20_000_000
 RAW_COLUMNS = ["open", "high", "low", "close", "volume", "day", "day_open"]
 
 
-def replace_by_key(df: DataFrame, path: str, key: Sequence[str] = ("ticker",)) -> None:
+def replace_by_key(df: DataFrame, path: str, key: Sequence[str] = ("ticker",), file_rows: int = FILE_ROWS) -> None:
     """Replace the partitions of the keys in ``df``, leave all others.
 
-    Each key is spread over at most ``FILES_PER_KEY`` tasks: a hot ticker is written by
-    several, and no ticker gets a file from every task of the job.
+    Rows are rebalanced by key: adaptive execution splits a key by its measured size into tasks of the
+    session's advisory size and puts small keys together, so a key with ten times the rows is written by ten
+    times the tasks and no small key gets a file from every task. A file holds at most ``file_rows`` rows.
     """
-    rest = [name for name in df.columns if name not in key]
-    slot = F.pmod(F.xxhash64(*rest), F.lit(FILES_PER_KEY))
     (
-        df.repartition(*[F.col(name) for name in key], slot)
+        df.hint("rebalance", *key)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("maxRecordsPerFile", file_rows)
         .partitionBy(*key)
         .parquet(path)
     )

@@ -1,5 +1,6 @@
 """Hand-worked labels, pruning, signals and orders."""
 
+import random
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -322,3 +323,45 @@ def test_all_orders_of_a_hot_ticker_day_are_ranked_by_blocks(spark):
         got.setdefault(r["ticker"], []).append((r["rank"], r["ib_id"]))
     want = {"A": sorted(ids[:-2], reverse=True) + [None, None], "B": [5], None: [9, 7], "C": list(range(8999, -1, -1))}
     assert {k: sorted(v, key=lambda x: x[0]) for k, v in got.items()} == {k: list(enumerate(v, 1)) for k, v in want.items()}
+
+
+def registry_by_steps(events, versions):
+    """One event after another, as a plain loop."""
+    kinds = {k: i for i, k in enumerate(oo.EVENT_KINDS)}
+    live = {}
+    for o, account, kind, time, status, price in sorted(events, key=lambda e: (e[3], kinds[e[2]])):
+        if kind == "add" and o not in live:
+            known = [v for v in versions if v[0] == account and v[1] == o and v[2] <= time]
+            if known:
+                v = max(known, key=lambda v: v[2])
+                live[o] = [v[3], status, None, v[6]]
+        elif kind == "remove":
+            live.pop(o, None)
+        elif o in live and kind == "status":
+            live[o][1] = status
+        elif o in live and kind == "fill":
+            live[o][2] = price
+        elif o in live and kind == "sync":
+            live[o][3] = live[o][1]
+    return {o: tuple(v) for o, v in live.items()}
+
+
+def test_order_registry_equals_a_loop_over_events(spark):
+    """All five kinds, unknown orders, orders added again after their end, versions before and after an add."""
+    r = random.Random(3)
+    minute = lambda m: at("2024-01-02 10:00:00") + timedelta(minutes=m)
+    events, versions = [], []
+    for o in range(1, 120):
+        for m in r.sample(range(200), r.randint(1, 25)):
+            kind = r.choice(["add", "status", "status", "fill", "sync", "remove" if o % 4 else "sync"])
+            events.append((o, o % 2, kind, minute(m), r.choice(["submitted", "filled", None]), r.choice([1.5, 2.5])))
+        for m in r.sample(range(200), r.randint(0, 4)):
+            versions.append((o % 2 if o % 9 else 5, o, minute(m), o * 1000 + m, "s", "day-trade", r.choice(["new", "submitted"])))
+    events += [(o, 1, "status", minute(500), "filled", None) for o in (777, 778)]
+    schema = "order_id long, account long, kind string, event_time timestamp_ntz, status string, fill_price double"
+    known = "account long, ib_id long, changed_at timestamp_ntz, instruction_id long, signal_id string, strategy_id string, order_status string"
+    odd = [(None, 1, "add", minute(1), "new", None), (5, 1, "add", None, "new", None), (5, 1, "other", minute(1), "x", None)]
+    got = oo.order_registry(spark.createDataFrame(events + odd, schema), spark.createDataFrame(versions, known))
+    rows = {x["order_id"]: (x["instruction_id"], x["status"], x["fill_price"], x["db_status"]) for x in got.collect()}
+    assert rows == registry_by_steps(events, versions) and len(rows) > 30
+    assert oo.order_registry(spark.createDataFrame([], schema), spark.createDataFrame(versions, known)).collect() == []

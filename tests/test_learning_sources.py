@@ -169,3 +169,22 @@ def test_partial_update_and_upsert(spark):
     assert rows_of(sinks.partial_update(table, new, ["ticker"]).fillna("-"), "ticker", "conid", "industry") == [("A", 1, "y"), ("B", 2, "-")]
     assert rows_of(sinks.upsert(table, new, ["ticker"]).fillna("-"), "ticker", "conid", "industry") == [("A", 1, "y"), ("B", 2, "-"), ("C", 3, "z")]
 
+
+
+def test_a_larger_key_is_written_by_more_tasks(spark, tmp_path):
+    """Files follow the measured size of a key; the other keys of the table stay."""
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(size, "40KB")
+    try:
+        path = str(tmp_path / "sized")
+        sinks.replace_by_key(spark.createDataFrame([("OLD", 1, "x")], "ticker string, id long, text string"), path)
+        rows = spark.range(0, 22000, 1, 16).select(
+            F.when(F.col("id") % 11 == 0, "SMALL").otherwise("LARGE").alias("ticker"), "id", F.sha2(F.col("id").cast("string"), 256).alias("text")
+        )
+        sinks.replace_by_key(rows, path)
+        files = {t: len(list((tmp_path / "sized" / f"ticker={t}").glob("*.parquet"))) for t in ("OLD", "SMALL", "LARGE")}
+        assert files["OLD"] == 1 and files["SMALL"] <= 4 and files["LARGE"] >= 3 * files["SMALL"]
+        back = spark.read.parquet(path)
+        assert back.count() == 22001 and back.select("id", "ticker").distinct().count() == 22001
+    finally:
+        spark.conf.unset(size)

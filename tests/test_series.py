@@ -138,3 +138,40 @@ def test_single_bar(spark):
     one = bars(spark, [("A", at("2024-01-02 10:00:00"), 1, 2, 1, 2, 5)])
     row = ff.benchmark_averages(one).collect()[0]
     assert row["fast_ema"] == row["slow_sma"] == 1.5
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_measured_spread_join(spark, how):
+    """The same rows as a plain join, also for null keys, whatever the frame that is measured."""
+    k = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 900)
+    rows = spark.range(9000).withColumn("k", k)
+    table = spark.range(500).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    want = rows.join(table, "k", how)
+    names = sorted(want.columns)
+    for measured in (rows, rows.limit(0), table):
+        got = series.spread_join(rows, table, ["k"], ["id"], how, measured=measured)
+        assert sorted(got.columns) == names
+        assert rows_of(got.fillna(-1), *names) == rows_of(want.fillna(-1), *names)
+
+
+def test_copies_follow_the_share_of_a_key(spark):
+    """A key with a third of the rows is split by its share; a table of uniform keys is not copied."""
+    skewed = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    copies = spark.range(1).select(series.hot_copies(skewed, ["k"]).alias("c"), F.xxhash64(F.lit(0).cast("long")).alias("h")).first()
+    assert set(copies["c"]) == {copies["h"]} and 85 <= copies["c"][copies["h"]] <= 87
+    uniform = spark.range(30000).select((F.col("id") % 3000).alias("k"))
+    assert spark.range(1).select(series.hot_copies(uniform, ["k"])).first()[0] == {}
+
+
+def test_hot_key_reaches_tasks_by_its_share(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(30000).withColumn("k", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
+        table = spark.range(30000).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+        joined = series.spread_join(rows, table, ["k"], ["id"], measured=rows).where("k = 0")
+        tasks = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) == 8 and max(t["count"] for t in tasks) < 3000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
