@@ -70,7 +70,7 @@ def o02(spark, d):
         OR CASE WHEN c.strategy = 'trend' THEN trend_ml ELSE correction_ml END)""",
 )
 def p17(spark, d):
-    states = ss.states_by_day(ss.order_states(b.day_orders(spark, d)))
+    states = ss.states_by_hour(ss.order_states(b.day_orders(spark, d)))
     return ss.entry_signals(b.live_bars(spark, d), b.params(spark, d), states)
 
 

@@ -92,7 +92,7 @@ def t05(spark, d):
 def t06(spark, d):
     """Ticks to bars to day context to signals in one query, against the tables of parameters and orders."""
     params = stage(b.params(spark, d), "params")
-    states = stage(ss.states_by_day(ss.order_states(b.day_orders(spark, d))), "states")
+    states = stage(ss.states_by_hour(ss.order_states(b.day_orders(spark, d))), "states")
     bars = b.live_columns(sb.stamped_days(_ticks(spark, d), "2 hours", b.SPEC.bars_per_day))
     return run_to_table(ss.entry_signals(bars, params, states), "signals")[0]
 

@@ -13,6 +13,7 @@ from barloom.functions import scalars as sf
 from barloom.operators import params as pp
 from barloom.operators.bars import latest_bar
 from barloom.operators.series import day_of, spread_join
+from barloom.sources.stage import stage
 
 TERMINAL = ("filled", "cancelled", "inactive")
 
@@ -89,36 +90,31 @@ def orders_today(orders: DataFrame, variant: str, **match: str) -> DataFrame:
     if variant == "signal":
         rank = F.row_number().over(Window.partitionBy("ticker", "day").orderBy(F.desc("ib_id")))
         return tagged.withColumn("rank", rank).where(F.col("rank") <= c.ROWS_PER_POSITION)
-    return _ranked_by_blocks(tagged)
+    return _ranked(tagged)
 
 
-def _ranked_by_blocks(tagged: DataFrame, blocks: int = 4096) -> DataFrame:
-    """Rank by newest id in each (ticker, day): inside blocks of ids, after the counts of the blocks before.
+def _ranked(tagged: DataFrame) -> DataFrame:
+    """Rank by newest id in each (ticker, day): inside ranges of the sorted orders, after the counts of the ranges before.
 
-    Each ticker-day cuts its own span of ids into at most so many blocks. Rows without an id come last, by minute.
+    The ranges come from a sample of the sort key, so they hold about equal numbers of orders however many a
+    ticker-day has and however its ids are spread. They are stored, as both the counts and the ranks need the
+    same ones. Orders without an id come last, the newest first.
     """
     key = ["ticker", "day"]
-
-    def same(left: Sequence[str]) -> Column:
-        equal = F.lit(True)
-        for name in left:
-            equal = equal & F.col(name).eqNullSafe(F.col(f"_of_{name}"))
-        return equal
-
-    def of(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-        return rows.withColumnsRenamed({name: f"_of_{name}" for name in names})
-
-    ends = of(tagged.groupBy(*key).agg(F.min("ib_id").alias("_low"), F.max("ib_id").alias("_high")), key)
-    width = F.floor((F.col("_high") - F.col("_low")) / blocks) + 1
-    minute = F.hour("date") * 60 + F.minute("date")
-    block = F.when(F.col("ib_id").isNull(), minute).otherwise(F.floor((F.col("ib_id") - F.col("_low")) / width))
-    placed = tagged.join(ends, same(key)).withColumns({"_none": F.col("ib_id").isNull(), "_block": block})
-    cell = [*key, "_none", "_block"]
-    before = Window.partitionBy(*key).orderBy("_none", F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    starts = of(starts.select(*cell, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), cell)
-    inside = F.row_number().over(Window.partitionBy(*cell).orderBy(F.desc("ib_id")))
-    numbered = placed.drop("_of_ticker", "_of_day").withColumn("_inside", inside).join(starts, same(cell))
+    newest = [F.desc_nulls_last("ib_id"), F.desc_nulls_last("date")]
+    dealt = tagged.repartitionByRange(*key, *newest).withColumn("_range", F.spark_partition_id())
+    dealt = stage(dealt, "ranges")
+    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(
+        *[F.col(name).alias(f"_of_{name}") for name in (*key, "_range")],
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+    )
+    inside = F.row_number().over(Window.partitionBy(*key, "_range").orderBy(*newest))
+    same = F.lit(True)
+    for name in (*key, "_range"):
+        same = same & F.col(name).eqNullSafe(F.col(f"_of_{name}"))
+    numbered = dealt.withColumn("_inside", inside).join(starts, same)
     return numbered.select(*tagged.columns, (F.col("_start") + F.col("_inside")).cast("int").alias("rank"))
 
 

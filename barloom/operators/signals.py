@@ -89,27 +89,33 @@ def order_states(orders: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("orders"), of(c.LIMIT).alias("limit_orders"), of(c.STOP).alias("stop_orders")
     )
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("ib_id")))
-    newest = (
-        dated.withColumn("_rank", rank)
-        .where(F.col("_rank") <= c.ROWS_PER_POSITION)
-        .groupBy(*key)
-        .agg(F.collect_list(F.struct("ib_id", "order_type", "fill_price")).alias("_new"))
-    )
-    so_far = Window.partitionBy(*BY_DAY).orderBy("since").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.slice(F.sort_array(F.flatten(F.collect_list("_new").over(so_far)), asc=False), 1, c.ROWS_PER_POSITION)
+    newest = dated.withColumn("_rank", rank).where(F.col("_rank") <= c.ROWS_PER_POSITION)
+    # Counts of a minute stand on its first row only, so that running sums take them once.
+    first = [F.when(F.col("_rank") == 1, F.col(name)).alias(name) for name in ("orders", "limit_orders", "stop_orders")]
+    rows = counts.join(newest, key).select(*key, "_rank", *first, F.struct("ib_id", "order_type", "fill_price").alias("_out0"))
+    by_time = Window.partitionBy(*BY_DAY).orderBy("since", "_rank")
+    so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
+    # The greatest so far; whatever it pushes out competes for the next place.
+    places = range(1, c.ROWS_PER_POSITION + 1)
+    for i in places:
+        rows = rows.withColumn(f"_top{i}", F.max(f"_out{i - 1}").over(so_far))
+        before = F.lag(f"_top{i}").over(by_time)
+        pushed = F.when(before.isNotNull() & F.col(f"_out{i - 1}").isNotNull(), F.least(f"_out{i - 1}", before))
+        rows = rows.withColumn(f"_out{i}", pushed)
 
     def fill(kind: str):
-        return F.get(F.filter("_last", lambda o: o["order_type"] == kind), F.lit(0))["fill_price"]
+        return F.coalesce(*[F.when(F.col(f"_top{i}.order_type") == kind, F.struct(f"_top{i}.fill_price")) for i in places])["fill_price"]
 
     return (
-        counts.join(newest, key)
-        .withColumn("_last", last)
-        .select(
+        rows.select(
             *key,
             *[F.sum(name).over(so_far).alias(name) for name in ("orders", "limit_orders", "stop_orders")],
             fill(c.LIMIT).alias("limit_fill"),
             fill(c.STOP).alias("stop_fill"),
+            F.lead("since").over(by_time).alias("_next"),
         )
+        .where(~F.col("_next").eqNullSafe(F.col("since")))
+        .drop("_next")
         .withColumn("positions", F.floor(F.col("orders") / c.ROWS_PER_POSITION).cast("int"))
     )
 
@@ -138,24 +144,42 @@ def position_gate(orders: DataFrame, params: DataFrame) -> DataFrame:
 # --- entry --------------------------------------------------------------------------
 
 
-def states_by_day(states: DataFrame) -> DataFrame:
-    """Order states of a ticker and day in one array, by time."""
+def states_by_hour(states: DataFrame) -> DataFrame:
+    """Order states that a bar of each (ticker, day, hour) may see, in one array by time.
+
+    An hour has the states that begin in it, at most one a minute, after the one that held before; hours without
+    any have that one alone. So a bar looks at 61 states at most, a ticker and day have 24 rows at most, and bars
+    meet them by an equal key, in batches and in streams.
+    """
     names = [name for name in states.columns if name not in (*BY_DAY, "since")]
-    return states.groupBy(*BY_DAY).agg(F.sort_array(F.collect_list(F.struct("since", *names))).alias("_states"))
+    begun = F.sort_array(F.collect_list(F.struct("since", *names)))
+    # An order of a day's last minute holds from the next day on, which no bar of its day sees.
+    hours = (
+        states.where(day_of("since") == F.col("day"))
+        .groupBy(*BY_DAY, F.hour("since").alias("_from"))
+        .agg(begun.alias("_begun"))
+    )
+    by_hour = Window.partitionBy(*BY_DAY).orderBy("_from")
+    held = F.lag(F.element_at("_begun", -1)).over(by_hour)
+    until = F.coalesce(F.lead("_from").over(by_hour), F.lit(24)) - 1
+    spread = hours.withColumns({"_held": held, "_until": until}).withColumn("hour", F.explode(F.sequence("_from", "_until")))
+    own = F.concat(F.array_compact(F.array("_held")), F.col("_begun"))
+    later = F.slice("_begun", -1, 1)
+    return spread.select(*BY_DAY, "hour", F.when(F.col("hour") == F.col("_from"), own).otherwise(later).alias("_states"))
 
 
 def entry_signals(bars: DataFrame, params: DataFrame, states: DataFrame) -> DataFrame:
     """Bars that open a position, per action of their ticker.
 
     Needs the bar's close, prev_day_close, buy_signal, sell_signal, predictions and
-    benchmark_trend. ``states`` are those of ``states_by_day``; a bar sees the orders up to
+    benchmark_trend. ``states`` are those of ``states_by_hour``; a bar sees the orders up to
     its own time. A bar before the day's first order is not held back.
     """
     allowed = permissions(performance_gate(params))
     sides = allowed.select("ticker", "action").distinct().groupBy("ticker").agg(F.collect_set("action").alias("_actions"))
     acted = spread_join(bars, sides, ["ticker"], ["date"]).withColumn("action", F.explode("_actions")).drop("_actions")
-    tagged = acted.withColumns({"strategy": strategy_of(F.col("action")), "day": day_of()})
-    keyed = pp.attach_params(tagged, allowed).join(states, BY_DAY, "left")
+    tagged = acted.withColumns({"strategy": strategy_of(F.col("action")), "day": day_of(), "hour": F.hour("date")})
+    keyed = pp.attach_params(tagged, allowed).join(states, [*BY_DAY, "hour"], "left")
     seen = F.filter("_states", lambda state: state["since"] <= F.col("date"))
     keyed = keyed.withColumn("_state", F.try_element_at(seen, F.lit(-1))).select("*", "_state.*")
     ml = F.when(F.col("strategy") == "trend", cond.trend_ml_condition()).otherwise(cond.correction_ml_condition())

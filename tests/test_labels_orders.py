@@ -1,10 +1,12 @@
 """Hand-worked labels, pruning, signals and orders."""
 
+import itertools
 import random
 from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from barloom import constants as c
 from barloom.functions import scalars as sf
 from barloom.operators import labels as ll
 from barloom.operators import orders as oo
@@ -229,7 +231,7 @@ def test_conditions_and_entry(spark):
         base = dict(close=11.0, prev_day_close=10.0, buy_signal=True, sell_signal=False, high_delta=None, low_delta=None, high_stop=None, low_stop=None, benchmark_trend=None)
         base.update(bar)
         df = spark.createDataFrame([("A", when, *base.values())], schema)
-        none = ss.states_by_day(ss.order_states(orders(spark).where("false")))
+        none = ss.states_by_hour(ss.order_states(orders(spark).where("false")))
         return ss.entry_signals(df, p, none).count()
 
     assert entries(params(spark)) == 1
@@ -254,7 +256,7 @@ def test_orders_after_the_bar_do_not_block_it(spark):
 
     def hours(time):
         placed = orders(spark).withColumn("date", F.lit(f"2024-01-02 {time}").cast("timestamp_ntz"))
-        states = ss.states_by_day(ss.order_states(placed))
+        states = ss.states_by_hour(ss.order_states(placed))
         return [r["date"].hour for r in ss.entry_signals(bar, params(spark), states).orderBy("date").collect()]
 
     assert hours("15:00:00") == [10, 14]
@@ -273,6 +275,39 @@ def test_newest_bracket_decides_over_the_day(spark):
     ]
 
 
+def test_order_states_equal_a_loop(spark):
+    pick = random.Random(5)
+    kinds = (c.MARKET, c.STOP, c.LIMIT)
+    rows = []
+    for n in range(400):
+        time = at("2024-01-02 00:00:00") + timedelta(days=pick.randrange(2), seconds=pick.choice([30, 60, 3600]) * pick.randrange(24))
+        number = pick.choice([None, pick.randrange(60), 1000 + n])
+        rows.append((pick.choice("AAB"), time, number, pick.choice(kinds), pick.choice([None, float(n)])))
+    rows.append(("B", at("2024-01-02 23:59:30"), 5000, c.LIMIT, 1.0))
+    table = spark.createDataFrame(rows, "ticker string, date timestamp_ntz, ib_id long, order_type string, fill_price double")
+    states = ss.order_states(table).collect()
+    # Rows of one minute with the same id compete for three places in no order of their own.
+    for s in states:
+        seen = [r for r in rows if r[0] == s["ticker"] and r[1].date() == s["day"] and r[1] <= s["since"]]
+        assert s["orders"] == len(seen)
+        assert (s["limit_orders"], s["stop_orders"]) == tuple(sum(r[3] == k for r in seen) for k in (c.LIMIT, c.STOP))
+        top = sorted((r[2] if r[2] is not None else -1 for r in seen), reverse=True)[:3]
+        if len(top) == 3 and len({r[2] for r in seen if (-1 if r[2] is None else r[2]) >= top[2]}) == 3 and top[2] >= 1000:
+            newest = sorted((r for r in seen if r[2] is not None and r[2] >= top[2]), key=lambda r: -r[2])
+            for kind, name in ((c.LIMIT, "limit_fill"), (c.STOP, "stop_fill")):
+                assert s[name] == next((r[4] for r in newest if r[3] == kind), None)
+    assert {(s["ticker"], s["since"]) for s in states} == {
+        (r[0], r[1] if r[1].second == 0 else r[1].replace(second=0) + timedelta(minutes=1)) for r in rows
+    }
+
+    begun = [s for s in states if s["since"].date() == s["day"]]
+    hours = {(h["ticker"], h["day"], h["hour"]): [x["since"] for x in h["_states"]] for h in ss.states_by_hour(ss.order_states(table)).collect()}
+    for ticker, day, hour in itertools.product("AB", {s["day"] for s in begun}, range(24)):
+        own = sorted(s["since"] for s in begun if (s["ticker"], s["day"]) == (ticker, day))
+        want = [t for t in own if t.hour < hour][-1:] + [t for t in own if t.hour == hour]
+        assert hours.get((ticker, day, hour), []) == want and len(want) <= 61
+
+
 def test_params_defaults(spark):
     p = params(spark, stop_trades=None, limit_trades=None, trail_percent=None, limit_price=None, limit_time=None, min_trail_percent=None)
     buy = F.lit("BUY")
@@ -317,7 +352,7 @@ def test_all_orders_of_a_hot_ticker_day_are_ranked_by_blocks(spark):
     table = spark.createDataFrame(rows, "ticker string, date timestamp_ntz, ib_id long")
     ranked = oo.orders_today(table, "type")
     plan = ranked._jdf.queryExecution().optimizedPlan().toString()
-    assert "windowspecdefinition(ticker#" in plan and "_block" in plan
+    assert "windowspecdefinition(ticker#" in plan and "_range" in plan
     got = {}
     for r in ranked.collect():
         got.setdefault(r["ticker"], []).append((r["rank"], r["ib_id"]))
