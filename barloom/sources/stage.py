@@ -22,3 +22,23 @@ def stage_path(df: DataFrame, name: str, by: Sequence[str] = ()) -> str:
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
     return path
+
+
+class Steps:
+    """Stored steps of one job that go once its result is stored."""
+
+    def __init__(self) -> None:
+        self._kept: list[tuple[DataFrame, str]] = []
+
+    def stage(self, df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+        path = stage_path(df, name, by)
+        self._kept.append((df, path))
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        """Delete the files. Frames that read them must not be run again."""
+        while self._kept:
+            df, path = self._kept.pop()
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

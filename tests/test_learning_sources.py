@@ -2,6 +2,7 @@
 
 import random
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.ml import Pipeline
@@ -13,7 +14,7 @@ from barloom.plans import daytrade
 from barloom.session import fresh_path
 from barloom.sources import documents as docs
 from barloom.sources import sinks
-from barloom.sources.stage import stage
+from barloom.sources.stage import Steps, stage
 from tests.helpers import at, bars, rows_of
 from tests.test_labels_orders import labelled
 
@@ -188,3 +189,15 @@ def test_a_larger_key_is_written_by_more_tasks(spark, tmp_path):
         assert back.count() == 22001 and back.select("id", "ticker").distinct().count() == 22001
     finally:
         spark.conf.unset(size)
+
+
+def test_steps_remove_their_own_files_only(spark):
+    steps = Steps()
+    kept = stage(spark.range(5).toDF("n"), "kept")
+    first = steps.stage(kept, "first")
+    result = stage(steps.stage(first.where("n > 1"), "second", ["n"]), "result")
+    folders = {Path(f.removeprefix("file:")).parent for f in first.inputFiles()}
+    steps.remove()
+    assert folders and not any(folder.exists() for folder in folders)
+    assert kept.count() == 5 and sorted(r["n"] for r in result.collect()) == [2, 3, 4]
+    steps.remove()
