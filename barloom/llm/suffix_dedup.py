@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import chunks, flat, text_key
 from barloom.llm.suffix_merge import Hashes, mix, repeated_windows
-from barloom.sources.stage import stage
+from barloom.sources.stage import Steps, stage
 
 LENGTH = 400
 CELL_ROWS = 8192
@@ -117,13 +117,16 @@ def remove_repeats(
     looked = stage(looked.filter(F.size("places") > 0).withColumn("number", F.monotonically_increasing_id()), "places")
     places = looked.select("number", F.inline("places"))
 
+    steps = Steps()
+    # Stored, so that the join reads two shuffles of its own and adaptive execution can split bytes that many places share.
     often = places.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("g")
+    often = steps.stage(often, "often")
     candidates = stage(places.join(often, "g").select(places.columns), "candidates")
     around = ["g", "f", "la", "ra"]
     pieces = candidates.groupBy(*around).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("number", "a", "low", "high")).alias("one")
     )
-    pieces = stage(pieces, "pieces")
+    pieces = steps.stage(pieces, "pieces")
     # Equal surroundings decide each other whole; those seen once need the others of their cells.
     sure = pieces.filter(F.col("n") > 1).select(*around, (side - F.col("ra")).alias("least"), F.col("la").alias("most"))
 
@@ -161,11 +164,11 @@ def remove_repeats(
         cut, "g long, f long, la int, ra int, n long, cell long, low int, high int, left int, piece binary"
     )
 
-    cells = stage(cells, "cells")
+    cells = steps.stage(cells, "cells")
     # Rows that are alone in their cell, or all decided already, ask nothing there.
     counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
     counts = counts.filter((F.col("rows") > 1) & (F.col("least") == 1))
-    large = stage(counts.filter(F.col("rows") > cell_rows).select("cell"), "large")
+    large = steps.stage(counts.filter(F.col("rows") > cell_rows).select("cell"), "large")
     ready = cells.join(large, "cell", "left_anti").join(counts.select("cell"), "cell", "left_semi")
     # Of a cell with too many rows, those with equal bytes under all windows of its places decide each other and
     # go on as one row. What stays too large is split by the longer stretches of each half of its places. The
@@ -182,7 +185,7 @@ def remove_repeats(
         merged = split.groupBy(*equal).agg(
             F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.first(F.struct(*around, "left", "piece")).alias("one")
         )
-        merged = stage(merged, "merged")
+        merged = steps.stage(merged, "merged")
         now = split.filter(F.col("n") == 1).join(merged.filter(F.col("rows") > 1).select(*equal), equal, "left_semi")
         now = now.select(
             *around, F.greatest("low", side - F.col("ra")).alias("least"), F.least(F.col("high") - 1, "la").alias("most")
@@ -192,7 +195,7 @@ def remove_repeats(
         counts = cells.filter(F.col("high") - F.col("low") > 1).groupBy("cell")
         counts = counts.agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
         counts = counts.filter((F.col("rows") > 1) & (F.col("least") == 1))
-        large = stage(counts.filter(F.col("rows") > cell_rows).select("cell"), "large")
+        large = steps.stage(counts.filter(F.col("rows") > cell_rows).select("cell"), "large")
         fit = cells.join(large, "cell", "left_anti").join(counts.select("cell"), "cell", "left_semi")
         ready = ready.unionByName(fit)
         between = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
@@ -250,6 +253,8 @@ def remove_repeats(
     found = found if decided is None else found.unionByName(decided)
     found = found.groupBy(*around).agg(F.min("least").alias("least"), F.max("most").alias("most"))
     answers = stage(sure.unionByName(found), "answers")
+    # Only places, candidates and answers are read from here on.
+    steps.remove()
 
     spans = (
         candidates.join(answers, around)

@@ -10,7 +10,7 @@ import numpy as np
 
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 PHRASE_GRAM = 8
-PHRASE_MASK = 15
+PHRASE_MASK = 63
 
 
 class Hashes:
