@@ -193,7 +193,7 @@ def test_a_larger_key_is_written_by_more_tasks(spark, tmp_path):
 
 def test_steps_remove_their_own_files_only(spark):
     steps = Steps()
-    kept = stage(spark.range(5).toDF("n"), "kept")
+    kept = stage(spark.range(5).select(F.col("id").alias("n"), (F.col("id") * 2).alias("twice")), "kept")
     first = steps.stage(kept, "first")
     result = stage(steps.stage(first.where("n > 1"), "second", ["n"]), "result")
     folders = {Path(f.removeprefix("file:")).parent for f in first.inputFiles()}
