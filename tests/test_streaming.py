@@ -208,6 +208,21 @@ def test_state_of_a_finished_order_goes(spark):
     assert held[2] < held[1]
 
 
+def test_many_orders_share_state(spark):
+    """State is kept by bucket of orders; ids beyond doubles and a missing id stay apart."""
+    first, big = at("2024-01-02 10:00:00"), 2**53
+    ids = [None, 0, big, big + 1, *range(10, 2000)]
+    marks = ["submitted", "submitted", "filled"]
+    rows = [(o, first + timedelta(minutes=m), s) for o in ids for m, s in enumerate(marks) if s != "filled" or o != 0]
+    folder = fresh_path(spark, "events")
+    land_mixed(spark, [*rows, (1, at("2024-01-03 12:00:00"), "submitted")], STATUS, folder, 1)
+    out, query = run_to_table(st.status_stream(file_stream(spark, folder, STATUS), keep_finished=10 * st.DAY), "changes")
+    got = {(r["order_id"], r["event_time"], r["status"], r["removed"]) for r in out.collect()}
+    assert got == {(o, when, s, s == "filled") for o, when, s in rows if when != first + timedelta(minutes=1)}
+    assert out.count() == len(got)
+    assert state_rows(query) < len(ids)
+
+
 def test_ticks_to_stamped_bars_in_one_query(spark):
     """Out-of-order ticks, one file a batch: bars, their day's open and the close before equal the batch ones."""
     stamps = [(d, h, m, s) for d in (2, 3, 4) for h in (10, 11) for m in range(0, 60, 7) for s in (0, 20, 40)]
