@@ -13,7 +13,7 @@ from barloom.session import fresh_path
 from barloom.streaming import bars as sb
 from barloom.streaming import orders as so
 from barloom.streaming import state as st
-from barloom.streaming.runs import count_late, file_stream, late_rows, run_to_table
+from barloom.streaming.runs import count_late, file_stream, late_rows, run_to_end, run_to_table
 from tests.helpers import at, rows_of
 
 TICK = "ticker string, ts timestamp_ntz, open double, high double, low double, close double, volume bigint, count bigint"
@@ -208,6 +208,23 @@ def test_state_of_a_finished_order_goes(spark):
     assert held[2] < held[1]
 
 
+def test_a_feed_that_ends_gives_its_last_rows(spark):
+    """Bars and quotes behind the watermark go out with the end of the feed, from several batches as well."""
+    rows = [("A", at("2024-01-02 10:00:10"), 1.0), ("A", at("2024-01-02 13:00:00"), 4.0), ("A", at("2024-01-03 10:00:00"), 2.0), ("A", at("2024-01-03 10:00:20"), 3.0)]
+    folder = fresh_path(spark, "ticks")
+    for row in rows:
+        land(spark.createDataFrame([(row[0], row[1], *[row[2]] * 4, 1, 1)], TICK), folder)
+    days, _ = run_to_end(file_stream(spark, folder, TICK, maxFilesPerTrigger="1"), "ts", lambda t: sb.stamped_days(t, "2 hours"), "days")
+    got = rows_of(days, "date", "close", "day_open", "prev_day_close")
+    assert got == [(at("2024-01-02 10:00:00"), 1.0, 1.0, None), (at("2024-01-02 12:00:00"), 4.0, 1.0, None), (at("2024-01-03 10:00:00"), 3.0, 2.0, 4.0)]
+
+    def quotes(ticks):
+        return st.quote_state(ticks.select(F.col("ticker").alias("contract"), "ts", (F.col("close").cast("int") % 2 + 1).alias("field"), F.col("close").alias("price")))
+
+    standing, _ = run_to_end(file_stream(spark, folder, TICK, maxFilesPerTrigger="1"), "ts", quotes, "quotes")
+    assert rows_of(standing, "ts", "bid", "ask") == [(rows[1][1], 4.0, 1.0), (rows[2][1], 2.0, 1.0), (rows[3][1], 2.0, 3.0)]
+
+
 def test_many_orders_share_state(spark):
     """State is kept by bucket of orders; ids beyond doubles and a missing id stay apart."""
     first, big = at("2024-01-02 10:00:00"), 2**53
