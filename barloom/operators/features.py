@@ -189,7 +189,8 @@ def screen_columns(
     """Average and relative volume, average true range, change and 52-week extremes."""
 
     def add(rows: DataFrame, frames: Trailing) -> DataFrame:
-        ranged = rows.withColumn("_previous", F.lag("close").over(frames.ordered)).withColumn(
+        extremes = frames.with_extremes(rows, year_bars, {"_top": "high"}, {"_bottom": "low"})
+        ranged = extremes.withColumn("_previous", F.lag("close").over(frames.ordered)).withColumn(
             "_range",
             F.greatest(
                 F.col("high") - F.col("low"),
@@ -199,8 +200,7 @@ def screen_columns(
         )
         means = frames.with_means(ranged, "volume", {"avg_volume": volume_bars})
         means = frames.with_means(means, "_range", {"average_true_range": range_bars})
-        extremes = frames.with_extremes(means, year_bars, {"_top": "high"}, {"_bottom": "low"})
-        return extremes.withColumns(
+        return means.withColumns(
             {
                 "relative_volume": F.try_divide(F.col("volume").cast("double"), F.col("avg_volume")),
                 "change": F.col("close") - F.col("_previous"),
@@ -210,5 +210,5 @@ def screen_columns(
         ).drop("_previous", "_range", "_top", "_bottom")
 
     reach = max(volume_bars, year_bars, range_bars + 1) - 1
-    return trailing(daily, reach, add, chunk_rows=chunk_rows).drop("_chunk")
+    return trailing(daily, reach, add, chunk_rows=chunk_rows, block=year_bars).drop("_chunk")
 

@@ -162,15 +162,17 @@ class Trailing:
     """Trailing frames inside the chunks of :func:`trailing`.
 
     Means come from running sums and long extremes from block extremes, so the work per
-    row does not grow with the frame.
+    row does not grow with the frame. With ``block``, rows have their block of so many; the order names it
+    as well, which moves no row and lets one sort serve the chunks and their blocks.
     """
 
-    def __init__(self, key: Sequence[str]) -> None:
-        self.keys = [*key, "_chunk"]
+    def __init__(self, key: Sequence[str], block: int | None = None) -> None:
+        self.keys, self.block = [*key, "_chunk"], block
 
     @property
     def ordered(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy("seq")
+        by = ["seq"] if self.block is None else ["_block", "seq"]
+        return Window.partitionBy(*self.keys).orderBy(*by)
 
     def last(self, n: int) -> WindowSpec:
         return self.ordered.rowsBetween(1 - n, 0)
@@ -204,7 +206,8 @@ class Trailing:
         """Maximum (``target: source``) and minimum of the last n values.
 
         With the series cut into blocks of n rows, a frame is the end of one block and the
-        start of the next: a running extreme forward and one backward answer every frame.
+        start of the next: a running extreme forward and one backward answer every frame. The backward one
+        comes first, so that all that go forward share a sort; best before other columns are added.
         """
         block = Window.partitionBy(*self.keys, "_block")
         forward = block.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -217,8 +220,10 @@ class Trailing:
             for _, join, names in parts
             for t in names
         }
+        if self.block == n:
+            return rows.withColumns(tails).withColumns(heads).withColumns(found).drop(*heads, *tails)
         blocks = rows.withColumn("_block", F.floor(F.col("seq") / n))
-        return blocks.withColumns({**heads, **tails}).withColumns(found).drop("_block", *heads, *tails)
+        return blocks.withColumns(tails).withColumns(heads).withColumns(found).drop("_block", *heads, *tails)
 
 
 def trailing(
@@ -228,11 +233,12 @@ def trailing(
     key: Sequence[str] = ("ticker",),
     order: str = "date",
     chunk_rows: int = CHUNK_ROWS,
+    block: int | None = None,
 ) -> DataFrame:
     """Add columns over the last n rows, n - 1 summing up to at most ``reach``.
 
     Every chunk gets copies of the ``reach`` rows before it. The result keeps ``seq`` and
-    ``_chunk``.
+    ``_chunk``. ``block`` is the frame of the extremes, if there are any.
     """
     chunk_rows = max(chunk_rows, reach + 1)
     numbered = rows if "seq" in rows.columns else number_rows(rows, key, order)
@@ -246,7 +252,9 @@ def trailing(
         .withColumns({"_chunk": F.col("_copy.chunk"), "_own": F.col("_copy.own")})
         .drop("_copy")
     )
-    return add(chunks, Trailing(key)).where("_own").drop("_own")
+    if block is not None:
+        chunks = chunks.withColumn("_block", F.floor(F.col("seq") / block))
+    return add(chunks, Trailing(key, block)).where("_own").drop("_own", "_block")
 
 
 def exponential_averages(

@@ -52,6 +52,25 @@ def test_extremes_across_chunks_and_blocks(spark, chunk, n):
     assert rows_of(got, "ticker", "date", "top", "bottom") == rows_of(want, "ticker", "date", "top", "bottom")
 
 
+@pytest.mark.parametrize("chunk,n", [(8, 6), (50, 7), (8192, 20)])
+def test_extremes_in_the_order_of_blocks(spark, chunk, n):
+    df = ramp(spark, 100, ("A", "B"))
+
+    def add(rows, frames):
+        return frames.with_means(frames.with_extremes(rows, n, {"top": "high"}, {"bottom": "low"}), "close", {"mean": 5})
+
+    names = ["ticker", "date", "top", "bottom", "mean"]
+    got = series.trailing(df, n - 1, add, chunk_rows=chunk, block=n)
+    assert "_block" not in got.columns
+    assert rows_of(got, *names) == rows_of(series.trailing(df, n - 1, add, chunk_rows=chunk), *names)
+
+
+def test_screen_columns_sort_chunks_once_each_way(spark):
+    """Each sort of a chunked table holds its rows while the others do."""
+    plan = ff.screen_columns(ramp(spark, 40, ("A", "B")))._jdf.queryExecution().executedPlan().toString()
+    assert sum("Sort [" in line and "_chunk" in line for line in plan.splitlines()) == 2
+
+
 @pytest.mark.parametrize("chunk", [16, 100, 256, 8192])
 def test_ema_against_direct_sum(spark, chunk):
     df = ramp(spark, 600)
