@@ -13,7 +13,7 @@ from barloom.session import fresh_path
 from barloom.streaming import bars as sb
 from barloom.streaming import orders as so
 from barloom.streaming import state as st
-from barloom.streaming.runs import count_late, file_stream, late_rows, run_to_end, run_to_table
+from barloom.streaming.runs import count_late, file_stream, late_rows, replay, run_to_end, run_to_table
 from tests.helpers import at, rows_of
 
 TICK = "ticker string, ts timestamp_ntz, open double, high double, low double, close double, volume bigint, count bigint"
@@ -291,3 +291,62 @@ def test_execution_without_commission_comes_out_once(spark):
     paid = [("b", 2.0), ("c", 2.0), ("d", 2.0), ("e", 2.0)]
     assert seen[0] == [] and seen[1] == paid[:2]
     assert seen[3] == [("a", None), *paid]
+
+
+# --- replayed executions and commissions ----------------------------------------------------------
+
+PAYMENT = "execution_id string, date timestamp_ntz, quantity double, n bigint"
+
+
+def payments(spark, seed, count=1500):
+    """Rows in no order of time; ids and times repeat, some are null, and one id has a third of the rows."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(count):
+        name = None if i % 50 == 0 else "hot" if i % 3 == 0 else f"x{rng.randrange(200)}"
+        time = None if i % 97 == 0 else at("2024-01-01 00:00:00") + timedelta(hours=rng.randrange(0, 24 * 60), microseconds=rng.randrange(3))
+        rows.append((name, time, rng.choice([None, float("nan"), 0.1, -0.0]), rng.choice([None, 2**60 + i])))
+    return spark.createDataFrame(rows, PAYMENT)
+
+
+def met(left, right, how):
+    near = F.abs(F.unix_micros(left["date"].cast("timestamp")) - F.unix_micros(right["date"].cast("timestamp"))) <= 86_400_000_000
+    joined = left.join(right, (left["execution_id"] == right["execution_id"]) & near, how)
+    return joined.select(left["execution_id"], left["date"], left["quantity"], left["n"], right["quantity"].alias("fee"), right["n"].alias("m"))
+
+
+def texts_of(df):
+    return sorted(str(tuple(row)) for row in df.collect())
+
+
+def test_replayed_table_in_no_order_of_time_joins_all_rows_in_several_batches(spark):
+    left, right, folder = payments(spark, 1), payments(spark, 2), fresh_path(spark, "unordered")
+    left.repartition(6).write.parquet(f"{folder}/left.parquet")
+    right.repartition(6).write.parquet(f"{folder}/right.parquet")
+    feeds = [replay(spark, folder, PAYMENT, f"{name}.parquet", "date", limit=8000) for name in ("left", "right")]
+    for how in ("inner", "left_outer"):
+        fees = feeds[1]().withColumnsRenamed({"quantity": "fee", "n": "m"})
+        out, query = run_to_table(so.executions_with_commissions(feeds[0](), fees, how=how, buckets=5), "met")
+        batches = [p for p in query.recentProgress if p["numInputRows"]]
+        assert len(batches) > 3 and late_rows(query) == 0
+        want = met(left, right, how)
+        if how == "left_outer":
+            last = min(df.agg(F.max("date")).first()[0] for df in (left, right))
+            known = F.col("date") < F.lit(last - timedelta(hours=25))
+            paid = met(left, right, "inner").select("execution_id", "date", "n").distinct()
+            open_ = want.join(paid, [want[c].eqNullSafe(paid[c]) for c in ("execution_id", "date", "n")], "left_anti")
+            want = met(left, right, "inner").unionAll(open_.where(known))
+        assert texts_of(out) == texts_of(want)
+        # parts of buckets wait, not rows, and go once the watermark has passed them
+        assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] < 60
+
+
+def test_replayed_table_of_one_batch_keeps_parts_and_not_rows(spark):
+    folder = fresh_path(spark, "one")
+    payments(spark, 3).write.parquet(f"{folder}/rows.parquet")
+    feed = replay(spark, folder, PAYMENT, "rows.parquet", "date")
+    fees = feed().select("execution_id", "date", F.col("quantity").alias("fee"))
+    out, query = run_to_table(so.executions_with_commissions(feed(), fees), "one")
+    assert out.count() == met(payments(spark, 3), payments(spark, 3), "inner").count()
+    # a bucket has a part and a timer, and an entry for each in an index
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) < 1500
