@@ -29,6 +29,8 @@ from barloom.schemas import MODEL_REGISTRY
 
 INPUTS = ["volume_delta", "open_delta", "benchmark_delta"]
 POOLED = "*"
+# Every iteration of a fit is a job of one task a partition; fewer rows are not worth a task.
+ROWS_PER_TASK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -157,13 +159,14 @@ def train_classifiers(
     seed: int = 42,
     parallelism: int = 2,
     at_once: int = 4,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Fit every branch that has both label values, store the best model under ``root``, return the registry rows.
 
     Branches without a model, or without a validation, are registered with the reason.
     ``long_rows`` should be a stored table, best partitioned by action, strategy and
     period, so that a search reads only its own rows. Rows with a missing label or input do
-    not train.
+    not train. A search runs on as many partitions as its rows fill, whatever files they lie in.
     """
 
     def fit(branch: Row):
@@ -174,6 +177,7 @@ def train_classifiers(
         data = long_rows.where(one.rows() & (F.col("label") == one.label) & F.col("value").isNotNull() & inputs_known()).select(
             F.col("value").cast("int").alias("label"), *INPUTS, held_back().alias("_held")
         )
+        data = data.coalesce(-(-(branch["yes"] + branch["no"]) // rows_per_task))
         model, area = search(data, branch["reason"] is None, seed, parallelism)
         name = "-".join(map(str, (one.action, one.strategy, one.session_period, one.label)))
         path = f"{root}/{name}" if one.ticker == POOLED else f"{root}/{name}-{one.ticker}"

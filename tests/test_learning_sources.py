@@ -99,6 +99,22 @@ def test_tickers_with_opposite_models_predict_oppositely(spark):
         assert [r["high_delta"] for r in scored.where("volume_delta = 9").collect()] == [None]
 
 
+def test_a_search_has_the_partitions_its_rows_fill(spark, monkeypatch):
+    """All rows of a branch train, on partitions by their count and not by the files they lie in."""
+    whole = opposite(spark)
+    files = stage(whole.repartition(16), "files")
+    real, seen = ml.search, []
+
+    def noted(data, *rest):
+        seen.append((data.rdd.getNumPartitions(), data.count()))
+        return real(data, False)
+
+    monkeypatch.setattr(ml, "search", noted)
+    for rows_per_task in (ml.ROWS_PER_TASK, 400):
+        ml.train_classifiers(files, fresh_path(spark, "models"), rows_per_task=rows_per_task)
+    assert seen == [(1, whole.count()), (2, whole.count())]
+
+
 @pytest.mark.parametrize("kind", ["logistic", "forest", "perceptron"])
 def test_numbers_of_a_model_predict_as_the_model(spark, kind):
     rng = random.Random(4)
